@@ -75,14 +75,9 @@ def with_rank(df: DataFrame, key: str, group: str | None = None, name: str = "pl
     of one bucket are ranked together, so no task orders a whole group.
     """
     groups = [group] if group else []
-    ends = df.groupBy(*groups).agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
-    width = F.ceil((F.col("_high") - F.col("_low") + 1) / F.lit(buckets)).cast("bigint")
-    if group:
-        spans = df.join(F.broadcast(ends) if _few(ends) else ends, group)
-    else:
-        low, high = df.agg(F.min(key), F.max(key)).first()
-        spans = df.withColumn("_low", F.lit(low).cast("bigint")).withColumn("_high", F.lit(high).cast("bigint"))
-    spans = spans.withColumn("_bucket", F.floor((F.col(key) - F.col("_low")) / width).cast("int")).drop("_low", "_high")
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // buckets))
+    spans = df.withColumn("_bucket", F.floor((F.col(key) - F.lit(low or 0)) / F.lit(width)).cast("int"))
     before = W.partitionBy(*groups).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     counts = spans.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
@@ -91,7 +86,3 @@ def with_rank(df: DataFrame, key: str, group: str | None = None, name: str = "pl
     joined = ranked.join(starts, [*groups, "_bucket"])
     return joined.withColumn(name, F.col("_start") + F.col("_rank") - 1).drop("_start", "_rank", "_bucket")
 
-
-def _few(df: DataFrame) -> bool:
-    """Whether a group table is small enough to broadcast: at most 10,000 rows, counted."""
-    return df.limit(10_001).count() <= 10_000
