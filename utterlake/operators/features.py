@@ -33,7 +33,7 @@ def _count_kernel(term_type: str, low: int, high: int):
         import numpy as np
         import pyarrow as pa
 
-        points = np.frombuffer(row.as_py().encode("utf-32-le"), dtype="uint32").astype("int64")
+        points = np.frombuffer(row.as_py().encode("utf-32-le"), dtype="uint32").astype("int64") + 1
         grams = []
         for size in range(low, min(high, len(points)) + 1):
             code = np.zeros(len(points) - size + 1, dtype="int64")
@@ -80,7 +80,7 @@ def word_bags(df: DataFrame, key: str, text: str = "text", carry: Sequence[str]
 def char_bags(df: DataFrame, key: str, text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """Character 2-grams and 3-grams with their counts; a gram is an exact BIGINT code.
 
-    A code holds up to three characters in 21 bits each, the first one highest.
+    A code holds up to three characters in 21 bits each, the first one highest; 0 is no character.
     """
     return _bags(df, [key, *carry], fold_blanks(text), "bigint", 2, 3)
 
@@ -89,8 +89,8 @@ def gram_text(code: Column | str) -> Column:
     """The characters of a gram code."""
     value = F.col(code) if isinstance(code, str) else code
     points = [F.shiftright(value, 21 * place).bitwiseAND(F.lit((1 << 21) - 1)) for place in (2, 1, 0)]
-    chars = [F.decode(F.unhex(F.lpad(F.hex(p), 8, "0")), "UTF-32BE") for p in points]
-    return F.concat(chars[0], chars[1], F.when(points[2] > 0, chars[2]).otherwise(F.lit("")))
+    digits = [F.when(p > 0, F.lpad(F.hex(p - 1), 8, "0")).otherwise(F.lit("")) for p in points]
+    return F.decode(F.unhex(F.concat(F.lit("0000FEFF"), *digits)), "UTF-32")
 
 
 def term_rows(bags: DataFrame, *keep: str) -> DataFrame:
