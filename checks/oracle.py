@@ -215,9 +215,10 @@ def bag(out: str, src: str, key: str, keep: str = "") -> str:
 def char_bag(out: str, src: str, key: str, keep: str = "") -> str:
     keep = keep and ", " + keep
     return rf"""{out}_f AS (SELECT {key}{keep}, regexp_replace(lower(text), '[\s\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]{{2,}}', ' ', 'g') AS t FROM {src}),
-{out}_g AS (SELECT {key}{keep}, unnest(list_concat(
-    list_transform(range(1, length(t)), lambda i: substr(t, i::INT, 2)),
-    list_transform(range(1, length(t) - 1), lambda i: substr(t, i::INT, 3)))) AS term FROM {out}_f),
+{out}_c AS (SELECT {key}{keep}, unnest(string_split(t, '')) AS c, unnest(range(0, length(t))) AS i FROM {out}_f),
+{out}_n AS (SELECT {key}{keep}, c, lead(c) OVER w AS c2, lead(c, 2) OVER w AS c3 FROM {out}_c WINDOW w AS (PARTITION BY {key} ORDER BY i)),
+{out}_g AS (SELECT {key}{keep}, c || c2 AS term FROM {out}_n WHERE c2 IS NOT NULL
+  UNION ALL SELECT {key}{keep}, c || c2 || c3 FROM {out}_n WHERE c3 IS NOT NULL),
 {out} AS (SELECT {key}{keep}, term, count(*) AS tf FROM {out}_g GROUP BY ALL)"""
 
 
