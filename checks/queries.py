@@ -411,7 +411,7 @@ def predict_batch(spark, d):
 
 
 def train_compare(spark, d):
-    return train_classical(v.utterances(spark, d)).metrics.select("model", r6("accuracy"))
+    return train_classical(v.utterances(spark, d), max_features=1 << 16).metrics.select("model", r6("accuracy"))
 
 
 def sigmoid_confidence(spark, d):

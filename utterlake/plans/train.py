@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from utterlake.operators.checks import drop_null, require_columns
 from utterlake.operators.classify import fit_naive_bayes
 from utterlake.operators.evaluate import accuracy, best_model, classification_report
-from utterlake.operators.linear import fit_features, fit_logreg, fit_svm, prepared
+from utterlake.operators.linear import MAX_FEATURES, fit_features, fit_logreg, fit_svm, prepared
 from utterlake.operators.split import stratified_split
 from utterlake.operators.stats import response_pool
 from utterlake.rules import EVAL_SHARE, MODEL_ORDER, NB_ALPHA, SEED
@@ -50,6 +50,7 @@ def train_classical(
     key: str = "row_id",
     eval_share: float = EVAL_SHARE,
     seed: int = SEED,
+    max_features: int = MAX_FEATURES,
 ) -> TrainResult:
     """Fit one or all models, report on held-out rows and name the best one.
 
@@ -76,7 +77,7 @@ def train_classical(
     models, reports, metrics = {}, {}, None
     features = rows = labels = None
     if {"logreg", "svm"} & set(names):
-        features = fit_features(train, "text")
+        features = fit_features(train, "text", max_features)
         rows, labels = prepared(train, features, "intent", "text")
         rows = materialize(rows, "features")
     for name in names:
