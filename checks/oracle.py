@@ -183,11 +183,11 @@ TAX_TEMPLATES = values("ttp", "intent, template", list(v.TAXONOMY_TEMPLATES.item
 # Preparation
 
 PREPARED = f"""{UTT}, {PAIRS}, {EXTERNAL}, {REGIONAL}, {TEMPLATES}, {PATTERNS},
-uni AS (SELECT row_id AS position, * FROM ext UNION ALL SELECT row_id + (1::BIGINT << 48), * FROM reg),
+uni AS (SELECT row_id AS position, * FROM ext UNION ALL SELECT row_id + (1::BIGINT << 56), * FROM reg),
 cln AS {cleaned('uni', 'position,')},
 kno AS (SELECT * FROM cln WHERE intent IN (SELECT intent FROM tpl)),
 {fill('kno', 'tpl')},
-fil AS (SELECT * FROM kno UNION ALL SELECT row_id + (2::BIGINT << 48), * FROM ({SEEDED})),
+fil AS (SELECT * FROM kno UNION ALL SELECT row_id + (2::BIGINT << 56), * FROM ({SEEDED})),
 ded AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY text, intent ORDER BY position) AS rn FROM fil) WHERE rn = 1),
 {split_ctes('s1', 'ded', 'intent', 'position', '42', 0.2, 'train', 'eval')},
 hld AS (SELECT * EXCLUDE (split) FROM s1 WHERE split = 'eval'),
@@ -321,7 +321,7 @@ SQL: dict[str, str] = {
     "taxonomy_load": with_(TAXONOMY, TAX_TEMPLATES)
     + """SELECT b.row_id, b.text, t.core_intent AS intent, p.template AS response, 'en' AS language, 'mobile' AS channel, 'benchmark' AS source
 FROM (SELECT doc_id AS row_id, text, source AS label_name FROM documents
-      UNION ALL SELECT item_id + (1::BIGINT << 48), text, 'src' || (item_id % 20) FROM benchmark) b
+      UNION ALL SELECT item_id + (1::BIGINT << 55), text, 'src' || (item_id % 20) FROM benchmark) b
 JOIN tax t ON b.label_name = t.src_label LEFT JOIN ttp p ON p.intent = t.core_intent""",
     "label_name_lookup": with_(NAMES) + "SELECT vec_id, e.label, label_name FROM embeddings e JOIN nam ON nam.label = e.label",
     "clean_text": f"SELECT doc_id AS row_id, {clean('text')} AS text FROM documents",
@@ -377,7 +377,7 @@ SELECT event_type, round(m, 6) AS eval_loss, round(CASE WHEN m < 50 THEN exp(m)
 SELECT intent, n, round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n)::DOUBLE, 6) AS weight FROM c""",
     "dedup_first": with_(UTT)
     + """SELECT position, row_id, intent, source FROM (SELECT *, row_number() OVER (PARTITION BY text, intent ORDER BY position) AS rn FROM
- (SELECT row_id AS position, row_id, text, intent, source FROM utt UNION ALL SELECT row_id + (1::BIGINT << 48), row_id, text, intent, 'second' FROM utt)) WHERE rn = 1""",
+ (SELECT row_id AS position, row_id, text, intent, source FROM utt UNION ALL SELECT row_id + (1::BIGINT << 56), row_id, text, intent, 'second' FROM utt)) WHERE rn = 1""",
     "dedup_pair": with_(UTT, USABLE, PAIR_FIRST) + "SELECT position, text, response FROM pfi",
     "seeded_sample": f"SELECT doc_id AS row_id, lang AS intent FROM documents ORDER BY {md5_order('42', 'doc_id')} LIMIT 150",
     "stratified_split": with_(UTT, split_ctes("s1", "utt", "intent", "row_id", "42", 0.2, "train", "eval"))
@@ -398,7 +398,7 @@ SELECT intent, n, round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n):
     + "SELECT qid, substr(text, 1, 80) || '...' AS short, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS line FROM ask",
     "union_sources": with_(UTT, PAIRS, EXTERNAL, REGIONAL)
     + """SELECT row_id AS position, row_id, intent, language, channel, source FROM ext
-UNION ALL SELECT row_id + (1::BIGINT << 48), row_id, intent, language, channel, source FROM reg""",
+UNION ALL SELECT row_id + (1::BIGINT << 56), row_id, intent, language, channel, source FROM reg""",
     "synthetic_fill": with_(UTT, f"cln AS {cleaned('utt')}", PATTERNS, fill("cln", "tpl")) + SEEDED,
     "synthetic_fill_focus": with_(UTT, f"cln AS {cleaned('utt')}", f"fcs AS (SELECT * FROM cln WHERE {focus_where('text')})", fill("fcs", "tpl"))
     + f"""SELECT place * {v.MIN_PER_INTENT} + i AS row_id, replace(replace({q(R.focus_format)}, '{{words}}', replace(intent, '_', ' ')), '{{number}}', (i + 1)::VARCHAR) AS text,

@@ -8,21 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-ROW_BITS = 48
+from utterlake.session import materialize
 
+ROW_BITS = 56
+MAX_SOURCES = 126
 
-def union_sources(frames: Sequence[DataFrame], row_id: str = "row_id") -> DataFrame:
+
+def union_sources(frames: Sequence[DataFrame], row_id: str = "row_id", bits: int = ROW_BITS) -> DataFrame:
     """Rows of all sources with a unique ``position`` that follows source order, then row order.
 
-    The source number sits above 48 bits of ``row_id``, so one BIGINT orders the whole union.
+    The source number sits above ``bits`` bits of ``row_id``, so one BIGINT orders the whole union.
+    56 bits hold the scan numbers of eight million file splits.
     """
+    if len(frames) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     placed = []
     for order, df in enumerate(frames):
-        inside = (F.col(row_id) >= 0) & (F.col(row_id) < F.lit(1 << ROW_BITS))
+        inside = (F.col(row_id) >= 0) & (F.col(row_id) < F.lit(1 << bits))
         checked = F.when(inside, F.col(row_id)).otherwise(
             F.raise_error(F.concat(F.lit("row id out of range: "), F.col(row_id).cast("string"))).cast("bigint")
         )
-        placed.append(df.withColumn("position", checked + F.lit(order << ROW_BITS)))
+        placed.append(df.withColumn("position", checked + F.lit(order << bits)))
     out = placed[0]
     for df in placed[1:]:
         out = out.unionByName(df, allowMissingColumns=True)
@@ -68,21 +74,19 @@ def dedup_pair(df: DataFrame, position: str = "position") -> DataFrame:
     return _keep(df, pair_digest(), position)
 
 
-def with_rank(df: DataFrame, key: str, group: str | None = None, name: str = "place", buckets: int = 65_536) -> DataFrame:
-    """Dense positions from 0 by a unique BIGINT ``key``, inside ``group`` when given.
+def with_rank(df: DataFrame, key: str, group: str | None = None, name: str = "place") -> DataFrame:
+    """Dense positions from 0 by a unique ``key``, inside ``group`` when given.
 
-    The key range is cut into equal buckets; counts of earlier buckets are summed and only the rows
-    of one bucket are ranked together, so no task orders a whole group.
+    Rows are range-partitioned once and written with the number of their range. Sizes of earlier
+    ranges are summed and rows are ranked inside their range, so a large group takes many tasks.
     """
     groups = [group] if group else []
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // buckets))
-    spans = df.withColumn("_bucket", F.floor((F.col(key) - F.lit(low or 0)) / F.lit(width)).cast("int"))
-    before = W.partitionBy(*groups).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    counts = spans.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *groups, key).withColumn("_range", F.spark_partition_id())
+    placed = materialize(ranged, "ranges")
+    before = W.partitionBy(*groups).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    counts = placed.groupBy(*groups, "_range").agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = W.partitionBy(*groups, "_bucket").orderBy(key)
-    ranked = spans.withColumn("_rank", F.row_number().over(inside))
-    joined = ranked.join(starts, [*groups, "_bucket"])
-    return joined.withColumn(name, F.col("_start") + F.col("_rank") - 1).drop("_start", "_rank", "_bucket")
-
+    inside = W.partitionBy(*groups, "_range").orderBy(key)
+    joined = placed.withColumn("_rank", F.row_number().over(inside)).join(starts, [*groups, "_range"])
+    return joined.withColumn(name, F.col("_start") + F.col("_rank") - 1).drop("_start", "_rank", "_range")

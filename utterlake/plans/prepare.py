@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from utterlake.functions.text import clean_text, contains_keyword, normalize_intent, strip
 from utterlake.operators.augment import diversify_responses, synthetic_fill, synthetic_fill_focus
 from utterlake.operators.checks import require_rows
-from utterlake.operators.dedup import dedup_first, union_sources
+from utterlake.operators.dedup import ROW_BITS, dedup_first, union_sources
 from utterlake.operators.split import three_way_split
 from utterlake.operators.stats import dataset_stats, stats_document
 from utterlake.operators.taxonomy import allow_intents
@@ -87,7 +87,7 @@ def prepared_rows(sources: Sequence[DataFrame], rules: Rules, options: PrepareOp
         fill = synthetic_fill_focus if options.focus else synthetic_fill
         seeds = fill(known, options.min_per_intent, rules)
         # The fill comes after all sources, so its rows lose against equal ones.
-        placed = seeds.withColumn("position", F.col("row_id") + F.lit(len(sources) << 48))
+        placed = seeds.withColumn("position", F.col("row_id") + F.lit(len(sources) << ROW_BITS))
         rows = known.unionByName(placed, allowMissingColumns=True)
     if options.diversify:
         rows = diversify_responses(rows, rules)

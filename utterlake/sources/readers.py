@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from utterlake import schemas
 from utterlake.functions.text import normalize_intent, strip
 from utterlake.operators.checks import require_columns
-from utterlake.operators.dedup import union_sources
+from utterlake.operators.dedup import ROW_BITS, union_sources
 from utterlake.operators.split import seeded_sample
 from utterlake.operators.taxonomy import default_response, map_taxonomy
 from utterlake.rules import (
@@ -158,7 +158,8 @@ def load_taxonomy_corpus(
     """Both parts of a labelled benchmark, mapped to core intents, with an optional seeded cap."""
     for part in (train, test):
         require_columns(part, ["label_name"], "Benchmark corpus")
-    both = union_sources([numbered(train), numbered(test)])
+    # One bit less, so that the numbers still fit a later union.
+    both = union_sources([numbered(train), numbered(test)], bits=ROW_BITS - 1)
     mapped = map_taxonomy(
         both.withColumn("row_id", F.col("position")), "label_name", rules.taxonomy, source, rules.templates
     )
