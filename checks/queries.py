@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks import views as v
@@ -15,7 +15,7 @@ from utterlake.operators.classify import NaiveBayesModel, fit_naive_bayes
 from utterlake.plans.prepare import PrepareOptions, clean_rows, focus_filter, min_length, prepare_dataset
 from utterlake.plans.train import train_classical
 from utterlake.rules import MODEL_ORDER
-from utterlake.session import scratch_path
+from utterlake.session import materialize, scratch_path
 from utterlake.sources import readers
 from utterlake.streaming.answers import answer_stream
 
@@ -373,7 +373,7 @@ def _summary(vectors: DataFrame, key: str, term) -> DataFrame:
     """Terms, weight sum and heaviest term of each vector; the first term wins ties."""
     rows = vectors.select(key, F.explode(F.arrays_zip("terms", "weights")).alias("p"))
     rows = rows.select(key, F.round("p.weights", 10).alias("w"), F.col("p.terms").alias("t"))
-    top = rows.withColumn("best", F.max("w").over(features_window(key)))
+    top = rows.withColumn("best", F.max("w").over(Window.partitionBy(key)))
     return top.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_terms"),
         F.round(F.sum("w"), 5).alias("weight_sum"),
@@ -382,15 +382,9 @@ def _summary(vectors: DataFrame, key: str, term) -> DataFrame:
     )
 
 
-def features_window(key: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key)
-
-
 def tfidf_word(spark, d):
     rows = v.utterances(spark, d)
-    bags = features.word_bags(rows, "row_id")
+    bags = materialize(features.word_bags(rows, "row_id"), "bags")
     fitted = features.Tfidf(features.fit_idf(bags, rows.count()))
     return _summary(fitted.vectors(bags, "row_id"), "row_id", lambda c: c)
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from utterlake.functions.text import fold_blanks, word_ngrams
+from utterlake.functions.text import fold_blanks, word_tokens
 from utterlake.operators.joins import hot_keys, salted_lookup
 
 
@@ -22,59 +22,92 @@ def spread_by(df: DataFrame, key: str) -> DataFrame:
     return df if len(df.inputFiles()) >= parts else df.repartition(parts, key)
 
 
-def _count_kernel(term_type: str, low: int, high: int):
-    """Distinct terms and their counts for each row of a batch, on Arrow arrays."""
+def _word_kernel():
+    """Counts of words and neighbouring pairs for each row of a batch, from its word lists."""
 
-    def words(row):
-        found = row.values.value_counts()
-        return found.field("values"), found.field("counts")
+    def counted(row, code):
+        import numpy as np
+
+        size = int(code.max()) + 1 if len(code) else 1
+        keys, counts = np.unique(row * size + code, return_counts=True)
+        return keys // size, keys % size, counts
 
-    def chars(row):
+    def run(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            lists = batch.column("_text")
+            encoded = lists.flatten().dictionary_encode()
+            names, code = encoded.dictionary, encoded.indices.to_numpy().astype("int64")
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            near = row[:-1] == row[1:]
+            width = max(len(names), 1)
+            pairs, pair = np.unique((code[:-1] * width + code[1:])[near], return_inverse=True)
+            one_row, one, one_n = counted(row, code)
+            two_row, two, two_n = counted(row[:-1][near], pair)
+            joined = pc.binary_join_element_wise(names.take(pa.array(pairs // width)), names.take(pa.array(pairs % width)), " ")
+            rows = np.concatenate([one_row, two_row])
+            order = np.argsort(rows, kind="stable")
+            terms = pa.concat_arrays([names.take(pa.array(one)), joined.take(pa.array(two))]).take(pa.array(order))
+            counts = pa.array(np.concatenate([one_n, two_n])[order].astype("int64"))
+            yield _with_lists(pa, batch, np.bincount(rows, minlength=len(lists)), terms, counts)
+
+    _with_lists = _list_columns()
+    return run
+
 
-        points = np.frombuffer(row.as_py().encode("utf-32-le"), dtype="uint32").astype("int64") + 1
-        grams = []
+def _char_kernel(low: int, high: int):
+    """Counts of character n-grams, as codes, for each row of a batch."""
+
+    def codes(text):
+        import numpy as np
+
+        points = np.frombuffer(text.encode("utf-32-le"), dtype="uint32").astype("int64") + 1
+        grams = [points[:0]]
         for size in range(low, min(high, len(points)) + 1):
             code = np.zeros(len(points) - size + 1, dtype="int64")
             for place in range(size):
                 code += points[place : len(points) - size + 1 + place] << (21 * (2 - place))
             grams.append(code)
-        codes, counts = np.unique(np.concatenate(grams) if grams else points[:0], return_counts=True)
-        return pa.array(codes), pa.array(counts)
+        return np.unique(np.concatenate(grams), return_counts=True)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        one = chars if term_type == "bigint" else words
-        kind = pa.int64() if term_type == "bigint" else pa.string()
         for batch in batches:
-            rows = [one(value) for value in batch.column("_text")]
-            ends = np.cumsum([0] + [len(r[0]) for r in rows]).astype("int32")
+            found = [codes(text.as_py()) for text in batch.column("_text")]
+            terms = pa.array(np.concatenate([f[0] for f in found] or [np.zeros(0, "int64")]))
+            counts = pa.array(np.concatenate([f[1] for f in found] or [np.zeros(0, "int64")]).astype("int64"))
+            yield _with_lists(pa, batch, np.array([len(f[0]) for f in found], dtype="int64"), terms, counts)
 
-            def lists(part, item, rows=rows, ends=ends):
-                values = pa.chunked_array([r[part] for r in rows], None if rows else item)
-                return pa.ListArray.from_arrays(pa.array(ends), values.cast(item).combine_chunks())
+    _with_lists = _list_columns()
+    return run
 
-            kept = [batch.column(n) for n in batch.schema.names if n != "_text"]
-            names = [n for n in batch.schema.names if n != "_text"] + ["terms", "tfs"]
-            yield pa.RecordBatch.from_arrays([*kept, lists(0, kind), lists(1, pa.int64())], names=names)
 
-    return run
+def _list_columns():
+    """Puts ``terms`` and ``tfs`` in place of ``_text``; made here so that workers need no import."""
+
+    def build(pa, batch, lengths, terms, counts):
+        ends = pa.array([0, *lengths.cumsum().tolist()], pa.int32())
+        kept = [n for n in batch.schema.names if n != "_text"]
+        columns = [*[batch.column(n) for n in kept], *[pa.ListArray.from_arrays(ends, v) for v in (terms, counts)]]
+        return pa.RecordBatch.from_arrays(columns, names=[*kept, "terms", "tfs"])
+
+    return build
 
 
-def _bags(df: DataFrame, keep: Sequence[str], value: Column, term_type: str, low: int = 0, high: int = 0) -> DataFrame:
+def _bags(df: DataFrame, keep: Sequence[str], value: Column, term_type: str, kernel) -> DataFrame:
     rows = spread_by(df, keep[0]).select(*keep, value.alias("_text")).where("_text is not null")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
-    return rows.mapInArrow(
-        _count_kernel(term_type, low, high), f"{kept}, terms array<{term_type}>, tfs array<bigint>"
-    )
+    return rows.mapInArrow(kernel, f"{kept}, terms array<{term_type}>, tfs array<bigint>")
 
 
 def word_bags(df: DataFrame, key: str, text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """Words and word pairs of each text with their counts."""
-    return _bags(df.where(F.col(text).isNotNull()), [key, *carry], word_ngrams(text), "string")
+    return _bags(df, [key, *carry], word_tokens(text), "string", _word_kernel())
 
 
 def char_bags(df: DataFrame, key: str, text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
@@ -82,7 +115,7 @@ def char_bags(df: DataFrame, key: str, text: str = "text", carry: Sequence[str]
 
     A code holds up to three characters in 21 bits each, the first one highest; 0 is no character.
     """
-    return _bags(df, [key, *carry], fold_blanks(text), "bigint", 2, 3)
+    return _bags(df, [key, *carry], fold_blanks(text), "bigint", _char_kernel(2, 3))
 
 
 def gram_text(code: Column | str) -> Column:

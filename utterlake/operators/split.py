@@ -16,6 +16,7 @@ from utterlake.functions.text import strip
 from utterlake.operators.dedup import key_digest
 from utterlake.operators.joins import hot_keys, salted_lookup
 from utterlake.rules import EVAL_SHARE, SEED
+from utterlake.session import materialize
 
 
 def order_hash(seed: int | str, key: str) -> Column:
@@ -138,7 +139,7 @@ def stratified_split(
 def three_way_split(df: DataFrame, label: str = "intent", key: str = "row_id", seed: int = SEED) -> DataFrame:
     """80/10/10 ``train``, ``val`` and ``test``: the evaluation fifth is split in two by the same rule."""
     first = stratified_split(df, label, EVAL_SHARE, key, seed)
-    held = first.where("split = 'eval'").drop("split")
+    held = materialize(first.where("split = 'eval'").drop("split"), "held")
     second = stratified_split(held, label, 0.5, key, f"{seed}|held", names=("val", "test"))
     return first.where("split = 'train'").unionByName(second)
 
