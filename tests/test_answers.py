@@ -81,11 +81,12 @@ def model(examples):
     return fit_naive_bayes(examples.withColumnRenamed("ex_id", "row_id"))
 
 
-@pytest.mark.parametrize("blocks", [(512, 1024, 4096), (1, 1, 3), (2, 3, 7)])
+@pytest.mark.parametrize("blocks", [(16384, 32768, 1024, 4096), (1, 1, 1, 3), (2, 3, 2, 7), (99, 99, 3, 5)])
 def test_nearest_example_against_brute_force(spark, index, monkeypatch, blocks):
     monkeypatch.setattr(retrieve, "EXAMPLE_ROWS", blocks[0])
     monkeypatch.setattr(retrieve, "QUESTION_ROWS", blocks[1])
-    monkeypatch.setattr(retrieve, "SLICE", blocks[2])
+    monkeypatch.setattr(retrieve, "CHUNK_ROWS", blocks[2])
+    monkeypatch.setattr(retrieve, "SLICE", blocks[3])
     rows = [(n * 10 + k, intent, text) for n, text in QUESTIONS for k, intent in enumerate(("pay", "card", "loan", "none"))]
     asked = spark.createDataFrame(rows, "qid bigint, intent string, text string")
     got = {r.qid: (r.ex_id, r.sim) for r in retrieve.similarity_top1(asked, index).collect()}
@@ -118,6 +119,14 @@ def test_one_hot_intent_is_cut_into_cells(spark, monkeypatch):
     assert got.where("qid - 1000 = ex_id and sim = 1.0").count() == 300
 
 
+def test_repeated_questions_all_get_their_answer(spark, index):
+    rows = [(n, "card", "where is my  lost card" if n % 2 else "Where is my lost card") for n in range(50)]
+    rows += [(60, "pay", "where is my lost card"), (61, "card", "block")]
+    asked = spark.createDataFrame(rows, "qid bigint, intent string, text string")
+    got = {r.qid: r.ex_id for r in retrieve.similarity_top1(asked, index).collect()}
+    assert got == {n: nearest(i, t)[0] for n, i, t in rows}
+
+
 def bayes(train, text, alpha=0.5):
     def bag(t):
         words = re.findall(r"\w\w+", t.lower())

@@ -99,15 +99,17 @@ def _list_columns():
     return build
 
 
-def _bags(df: DataFrame, keep: Sequence[str], value: Column, term_type: str, kernel) -> DataFrame:
-    rows = spread_by(df, keep[0]).select(*keep, value.alias("_text")).where("_text is not null")
+def _bags(df: DataFrame, keep: Sequence[str], text: str, value: Column, term_type: str, kernel) -> DataFrame:
+    # The null test is on the plain column: on ``value`` it would be pushed down and computed twice.
+    known = df.where(F.col(text).isNotNull()).select(*dict.fromkeys([*keep, text]))
+    rows = spread_by(known, keep[0]).select(*keep, value.alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
     return rows.mapInArrow(kernel, f"{kept}, terms array<{term_type}>, tfs array<bigint>")
 
 
 def word_bags(df: DataFrame, key: str, text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """Words and word pairs of each text with their counts."""
-    return _bags(df, [key, *carry], word_tokens(text), "string", _word_kernel())
+    return _bags(df, [key, *carry], text, word_tokens(text), "string", _word_kernel())
 
 
 def char_bags(df: DataFrame, key: str, text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
@@ -115,7 +117,7 @@ def char_bags(df: DataFrame, key: str, text: str = "text", carry: Sequence[str]
 
     A code holds up to three characters in 21 bits each, the first one highest; 0 is no character.
     """
-    return _bags(df, [key, *carry], fold_blanks(text), "bigint", _char_kernel(2, 3))
+    return _bags(df, [key, *carry], text, fold_blanks(text), "bigint", _char_kernel(2, 3))
 
 
 def gram_text(code: Column | str) -> Column:
