@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import views as v
@@ -371,14 +371,15 @@ def char_ngrams(spark, d):
 
 def _summary(vectors: DataFrame, key: str, term) -> DataFrame:
     """Terms, weight sum and heaviest term of each vector; the first term wins ties."""
-    rows = vectors.select(key, F.explode(F.arrays_zip("terms", "weights")).alias("p"))
-    rows = rows.select(key, F.round("p.weights", 10).alias("w"), F.col("p.terms").alias("t"))
-    top = rows.withColumn("best", F.max("w").over(Window.partitionBy(key)))
-    return top.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_terms"),
-        F.round(F.sum("w"), 5).alias("weight_sum"),
-        F.round(F.max("w"), DIGITS).alias("weight_max"),
-        term(F.min(F.when(F.col("w") == F.col("best"), F.col("t")))).alias("top_term"),
+    rows = vectors.select(key, "terms", F.transform("weights", lambda w: F.round(w, 10)).alias("w"))
+    rows = rows.withColumn("best", F.array_max("w"))
+    heaviest = F.filter(F.arrays_zip("w", "terms"), lambda p: p["w"] == F.col("best"))
+    return rows.select(
+        key,
+        F.size("terms").cast("bigint").alias("n_terms"),
+        F.round(F.aggregate("w", F.lit(0.0), lambda a, w: a + w), 5).alias("weight_sum"),
+        F.round("best", DIGITS).alias("weight_max"),
+        term(F.array_min(F.transform(heaviest, lambda p: p["terms"]))).alias("top_term"),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utterlake.functions.text import sentences
+from utterlake.operators.features import spread_by
 from utterlake.rules import Rules
 
 ROUTES = [
@@ -59,8 +60,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents: the language is the intent, the second sentence the response."""
-    return table(spark, sf_dir, "documents").select(
+    """Documents: the language is the intent, the second sentence the response.
+
+    The table is one file here, so its rows are spread before the sentences are cut.
+    """
+    return spread_by(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("row_id"),
         "text",
         F.col("lang").alias("intent"),
