@@ -17,9 +17,12 @@ from utterlake.operators.joins import hot_keys, salted_lookup
 
 
 def spread_by(df: DataFrame, key: str) -> DataFrame:
-    """Hash rows by key unless the input already lies in as many files as there are parts."""
+    """Hash rows by key unless the input already lies in as many files as there are parts.
+
+    The number of parts is left to adaptive execution, which knows the size of the rows.
+    """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df if len(df.inputFiles()) >= parts else df.repartition(parts, key)
+    return df if len(df.inputFiles()) >= parts else df.repartition(F.col(key))
 
 
 def _word_kernel():
