@@ -1,10 +1,13 @@
 """Queries of this subpackage and their SQL."""
 
-from utterlake.llm import quality_rules
+from utterlake.llm import fingerprints, quality_rules, url_filters
 
 QUERIES = {
+    "op3_url_filters": url_filters.op3_url_filters,
+    "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 SQL = {
+    "op3_url_filters": url_filters.SQL,
     "op8_quality_rules": quality_rules.SQL,
 }
