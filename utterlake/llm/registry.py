@@ -1,15 +1,17 @@
 """Queries of this subpackage and their SQL."""
 
-from utterlake.llm import fingerprints, quality_rules, substring_dedup, url_filters
+from utterlake.llm import fingerprints, jaccard_join, quality_rules, substring_dedup, url_filters
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_url_filters": url_filters.op3_url_filters,
+    "op5_ngram_jaccard_join": jaccard_join.op5_ngram_jaccard_join,
     "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
     "op3_url_filters": url_filters.SQL,
+    "op5_ngram_jaccard_join": jaccard_join.SQL,
     "op8_quality_rules": quality_rules.SQL,
 }
