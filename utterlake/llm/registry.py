@@ -1,9 +1,10 @@
 """Queries of this subpackage and their SQL."""
 
-from utterlake.llm import fingerprints, jaccard_join, quality_rules, substring_dedup, url_filters
+from utterlake.llm import fingerprints, jaccard_join, packing, quality_rules, substring_dedup, url_filters
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_url_filters": url_filters.op3_url_filters,
     "op5_ngram_jaccard_join": jaccard_join.op5_ngram_jaccard_join,
     "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
