@@ -38,9 +38,10 @@ def _byte_codes(lower: bool) -> np.ndarray:
 
 
 class Words:
-    """Words of a text column: ``start``, ``end`` (bytes), ``first`` (word number of each row's first word, with an end)."""
+    """Words of a text column, ``blank`` telling which bytes part words: ``start``, ``end`` (bytes), ``first`` (word number of each row's first word, with an end)."""
 
-    def __init__(self, column) -> None:
+    def __init__(self, column, blank: np.ndarray = _BLANK) -> None:
+        self.blank = blank
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
             column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
@@ -49,7 +50,7 @@ class Words:
         at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
         self.data = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
         self.at = at - at[0]
-        inside = ~_BLANK[self.data]
+        inside = ~blank[self.data]
         before, after = np.zeros_like(inside), np.zeros_like(inside)
         before[1:], after[:-1] = inside[:-1], inside[1:]
         edges = self.at[(self.at > 0) & (self.at < len(self.data))]
@@ -86,7 +87,7 @@ class Words:
         """The words as one string array."""
         lengths = self.end - self.start
         ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        return pa.LargeStringArray.from_buffers(len(self), pa.py_buffer(ends), pa.py_buffer(self.data[~_BLANK[self.data]]))
+        return pa.LargeStringArray.from_buffers(len(self), pa.py_buffer(ends), pa.py_buffer(self.data[~self.blank[self.data]]))
 
     def joined(self, keep: np.ndarray) -> pa.Array:
         """Kept words of each row, joined by one space."""

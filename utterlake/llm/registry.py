@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from utterlake.llm import fingerprints, jaccard_join, packing, quality_rules, substring_dedup, url_filters
+from utterlake.llm import fingerprints, jaccard_join, packing, pii, quality_classifier, quality_rules, substring_dedup, url_filters
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -9,6 +9,8 @@ QUERIES = {
     "op5_ngram_jaccard_join": jaccard_join.op5_ngram_jaccard_join,
     "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_quality_classifier": quality_classifier.op9_quality_classifier,
+    "op10_pii": pii.op10_pii,
 }
 SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
