@@ -1,12 +1,13 @@
 """Queries of this subpackage and their SQL."""
 
-from utterlake.llm import fingerprints, jaccard_join, packing, pii, quality_classifier, quality_rules, substring_dedup, url_filters
+from utterlake.llm import fingerprints, jaccard_join, packing, pii, quality_classifier, quality_rules, substring_dedup, toxicity, url_filters
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_url_filters": url_filters.op3_url_filters,
     "op5_ngram_jaccard_join": jaccard_join.op5_ngram_jaccard_join,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
