@@ -1,11 +1,12 @@
 """Queries of this subpackage and their SQL."""
 
-from utterlake.llm import fingerprints, jaccard_join, packing, pii, quality_classifier, quality_rules, substring_dedup, toxicity, url_filters
+from utterlake.llm import fingerprints, jaccard_join, packing, pii, quality_classifier, quality_rules, sentencepiece_sampling, substring_dedup, toxicity, url_filters
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_url_filters": url_filters.op3_url_filters,
+    "op4_sentencepiece_sampling": sentencepiece_sampling.op4_sentencepiece_sampling,
     "op5_ngram_jaccard_join": jaccard_join.op5_ngram_jaccard_join,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
