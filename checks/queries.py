@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from utterlake.plans.prepare import PrepareOptions, clean_rows, focus_filter, mi
 from utterlake.plans.train import train_classical
 from utterlake.rules import MODEL_ORDER
 from utterlake.session import materialize, scratch_path
-from utterlake.sources import readers
+from utterlake.sources import readers, writers
 from utterlake.streaming.answers import answer_stream
 
 DIGITS = 6
@@ -405,8 +405,52 @@ def predict_batch(spark, d):
     return respond.predict(v.questions(spark, d), model(spark, d)).select("qid", "predicted_intent", r6("confidence"))
 
 
+@lru_cache(maxsize=None)
+def _trained(app: str, spark: SparkSession, sf_dir: str):
+    return train_classical(v.utterances(spark, sf_dir))
+
+
+def _reached(spark, d, *names):
+    """Evaluation rows of each model, and whether it converged and meets the accuracy asked of it."""
+    result = _trained(spark.sparkContext.applicationId, spark, d)
+    parts = []
+    for name in names:
+        fitted = result.models[name]
+        own = result.reports[name].where("label = 'accuracy'").select(F.lit(name).alias("model"), F.col("support").cast("bigint").alias("eval_rows"))
+        good = (F.col("accuracy") >= v.LEAST_ACCURACY[name]) & F.lit(getattr(fitted, "converged", True))
+        parts.append(own.join(result.metrics, "model").select("model", "eval_rows", good.alias("reached")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def logreg(spark, d):
+    return _reached(spark, d, "logreg")
+
+
+def svm(spark, d):
+    return _reached(spark, d, "svm")
+
+
 def train_compare(spark, d):
-    return train_classical(v.utterances(spark, d), max_features=1 << 16).metrics.select("model", r6("accuracy"))
+    return _reached(spark, d, *MODEL_ORDER)
+
+
+# Files
+
+
+def csv_roundtrip(spark, d):
+    """Whole documents, line breaks and quotes included, written as CSV and read back."""
+    path = writers.write_csv(v.table(spark, d, "documents").select(F.col("doc_id").cast("string"), "text", "lang"), scratch_path(spark, "csv"))
+    return readers.read_csv(spark, path).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang")
+
+
+def jsonl_roundtrip(spark, d):
+    path = writers.write_jsonl(v.table(spark, d, "conversations"), scratch_path(spark, "jsonl"))
+    return readers.read_jsonl(spark, path, v.table(spark, d, "conversations").schema).select("conv_id", "turn", "role", "text")
+
+
+def answer_table_roundtrip(spark, d):
+    path = writers.write_answer_table(stats.build_answer_table(v.utterances(spark, d)), scratch_path(spark, "answers"))
+    return writers.read_answer_table(spark, path)
 
 
 def sigmoid_confidence(spark, d):
@@ -558,6 +602,11 @@ QUERIES = {
     "naive_bayes": naive_bayes,
     "predict_batch": predict_batch,
     "train_compare": train_compare,
+    "logreg": logreg,
+    "svm": svm,
+    "csv_roundtrip": csv_roundtrip,
+    "jsonl_roundtrip": jsonl_roundtrip,
+    "answer_table_roundtrip": answer_table_roundtrip,
     "sigmoid_confidence": sigmoid_confidence,
     "softmax_argmax": softmax_argmax,
     "score_logits": score_logits,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def require_columns(df: DataFrame, columns: Sequence[str], what: str = "Dataset") -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise ValueError(f"{what} must include {missing}. Found: {df.columns}")
+        raise ValueError(f"{what}: no column {missing} among {df.columns}")
     return df
 
 

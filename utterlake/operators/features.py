@@ -16,15 +16,6 @@ from utterlake.functions.text import fold_blanks, word_tokens
 from utterlake.operators.joins import hot_keys, salted_lookup
 
 
-def spread_by(df: DataFrame, key: str) -> DataFrame:
-    """Hash rows by key unless the input already lies in as many files as there are parts.
-
-    The number of parts is left to adaptive execution, which knows the size of the rows.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df if len(df.inputFiles()) >= parts else df.repartition(F.col(key))
-
-
 def _word_kernel():
     """Counts of words and neighbouring pairs for each row of a batch, from its word lists."""
 
@@ -105,7 +96,7 @@ def _list_columns():
 def _bags(df: DataFrame, keep: Sequence[str], text: str, value: Column, term_type: str, kernel) -> DataFrame:
     # The null test is on the plain column: on ``value`` it would be pushed down and computed twice.
     known = df.where(F.col(text).isNotNull()).select(*dict.fromkeys([*keep, text]))
-    rows = spread_by(known, keep[0]).select(*keep, value.alias("_text"))
+    rows = known.select(*keep, value.alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
     return rows.mapInArrow(kernel, f"{kept}, terms array<{term_type}>, tfs array<bigint>")
 

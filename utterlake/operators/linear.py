@@ -5,42 +5,51 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import (
+    LinearSVC,
+    LogisticRegression,
+    LogisticRegressionModel,
+    OneVsRest,
+    OneVsRestModel,
+)
 from pyspark.ml.feature import (
     IDF,
     CountVectorizer,
     ElementwiseProduct,
-    HashingTF,
     Normalizer,
     StringIndexer,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utterlake.functions.numeric import sigmoid
 from utterlake.functions.text import word_ngrams
 from utterlake.operators.evaluate import class_weights
-from utterlake.operators.features import spread_by
+from utterlake.operators.joins import BROADCAST_ROWS
+from utterlake.operators.split import seeded_sample
 
-MAX_FEATURES = 1 << 20
+#: Labelled rows that a linear model is fitted on, at most: what Spark ML keeps on the driver is bounded
+#: by the terms of so many texts. Naive Bayes is fitted on all rows.
+FIT_ROWS = 100_000
 TOLERANCE = 1e-4
-LOGREG_ITER = 50
-SVM_ITER = 30
+LOGREG_ITER = 2000
+SVM_ITER = 1000
 
 
 @dataclass
 class LinearModel:
-    """Fitted features and classifier; ``labels`` are the sorted classes."""
+    """Fitted features and classifier; ``labels`` are the sorted classes, ``converged`` whether no iteration limit was met."""
 
     name: str
     features: PipelineModel
     classifier: object
     labels: list[str]
+    converged: bool = True
 
-    def predict(self, df: DataFrame, text: str = "text") -> DataFrame:
-        """``df`` with ``predicted_intent`` and ``confidence``."""
+    def predict(self, df: DataFrame, key: str = "row_id", text: str = "text") -> DataFrame:
+        """``df`` with ``predicted_intent`` and ``confidence``; ``key`` is not needed, rows are scored where they are."""
         scored = self.classifier.transform(self.features.transform(with_terms(df, text)))
         names = F.array(*[F.lit(v) for v in self.labels])
         if self.name == "logreg":
@@ -56,25 +65,33 @@ class LinearModel:
     def save(self, path: str) -> None:
         self.features.write().overwrite().save(f"{path}/features")
         self.classifier.write().overwrite().save(f"{path}/classifier")
+        rows = [(n, label, self.name, self.converged) for n, label in enumerate(self.labels)]
+        spark = SparkSession.active()
+        about = spark.createDataFrame(rows, "place int, class string, name string, converged boolean")
+        about.coalesce(1).write.mode("overwrite").parquet(f"{path}/classes")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LinearModel:
+        rows = spark.read.parquet(f"{path}/classes").orderBy("place").collect()
+        kind = LogisticRegressionModel if rows[0]["name"] == "logreg" else OneVsRestModel
+        features = PipelineModel.load(f"{path}/features")
+        return cls(rows[0]["name"], features, kind.load(f"{path}/classifier"), [r["class"] for r in rows], rows[0]["converged"])
 
 
 def with_terms(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("_terms", word_ngrams(F.coalesce(F.col(text), F.lit(""))))
 
 
-def fit_features(df: DataFrame, text: str, limit: int = MAX_FEATURES) -> PipelineModel:
-    """Counts, smooth idf with one added, unit length.
+def fit_rows(df: DataFrame, key: str, limit: int = FIT_ROWS) -> DataFrame:
+    """The labelled rows to fit on: all of them up to ``limit``, else a seeded sample of so many."""
+    return seeded_sample(df, limit, key)
+
 
-    Up to ``limit`` distinct terms keep a place each; a larger vocabulary is hashed into ``limit``
-    places, so what reaches the driver has a fixed size.
-    """
-    work = with_terms(spread_by(df, df.columns[0]), text).select("_terms")
-    known = work.select(F.explode("_terms").alias("t")).agg(F.approx_count_distinct("t", 0.01)).first()[0]
-    # The estimate is good to a few percent; the margin keeps a counted vocabulary whole.
-    if known <= 0.9 * limit:
-        counter = CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=1.0, vocabSize=limit)
-    else:
-        counter = HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=limit)
+def fit_features(df: DataFrame, text: str) -> PipelineModel:
+    """Counts over the whole vocabulary of the rows, smooth idf with one added, unit length."""
+    work = with_terms(df, text).select("_terms")
+    known = work.select(F.explode("_terms").alias("t")).agg(F.count_distinct("t")).first()[0]
+    counter = CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=1.0, vocabSize=max(known, 1))
     first = Pipeline(stages=[counter, IDF(inputCol="_tf", outputCol="_idf")]).fit(work)
     # Spark ML's idf has no one added; scaling the counts by idf + 1 gives the wanted weights.
     scale = Vectors.dense(first.stages[1].idf.toArray() + 1.0)
@@ -88,8 +105,9 @@ def prepared(df: DataFrame, features: PipelineModel, label: str, text: str) -> t
     indexer = StringIndexer(inputCol=label, outputCol="label_id", stringOrderType="alphabetAsc", handleInvalid="error")
     fitted = indexer.fit(df)
     weights = class_weights(df, label).select(label, "weight")
-    spread = spread_by(df, df.columns[0]).join(weights, label)
-    rows = fitted.transform(features.transform(with_terms(spread, text)))
+    # The indexer has read the labels already, so their number is known.
+    weights = F.broadcast(weights) if len(fitted.labels) <= BROADCAST_ROWS else weights
+    rows = fitted.transform(features.transform(with_terms(df.join(weights, label), text)))
     return rows.select("features", "label_id", "weight"), list(fitted.labels)
 
 
@@ -107,7 +125,8 @@ def fit_logreg(rows: DataFrame, labels: list[str], features: PipelineModel, c: f
         maxIter=max_iter,
         tol=TOLERANCE,
     )
-    return LinearModel("logreg", features, model.fit(rows), labels)
+    fitted = model.fit(rows)
+    return LinearModel("logreg", features, fitted, labels, fitted.summary.totalIterations < max_iter)
 
 
 def fit_svm(rows: DataFrame, labels: list[str], features: PipelineModel, c: float = 1.0, max_iter: int = SVM_ITER) -> LinearModel:
@@ -122,4 +141,6 @@ def fit_svm(rows: DataFrame, labels: list[str], features: PipelineModel, c: floa
         tol=TOLERANCE,
     )
     many = OneVsRest(classifier=one, featuresCol="features", labelCol="label_id", parallelism=4)
-    return LinearModel("svm", features, many.fit(rows), labels)
+    fitted = many.fit(rows)
+    done = all(m.summary().totalIterations < max_iter for m in fitted.models)
+    return LinearModel("svm", features, fitted, labels, done)

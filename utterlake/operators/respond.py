@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from utterlake.functions.numeric import argmax, fixed4, softmax
-from utterlake.operators.classify import NaiveBayesModel
+from utterlake.operators.classify import TextModel
 from utterlake.operators.joins import hot_keys, salted_lookup, small_table
 from utterlake.operators.retrieve import AnswerIndex, similarity_top1
 from utterlake.operators.taxonomy import lookup_label
@@ -140,13 +140,13 @@ def report_ladder(
     )
 
 
-def predict(df: DataFrame, model: NaiveBayesModel, rules: Rules | None = None) -> DataFrame:
+def predict(df: DataFrame, model: TextModel, rules: Rules | None = None) -> DataFrame:
     """``(qid, text, predicted_intent, confidence)``, routed by keywords when the rules have routes."""
     out = model.predict(df.select("qid", "text"), "qid")
     return keyword_route(out, rules.routes).drop("routed") if rules and rules.routes else out
 
 
-def answer(questions: DataFrame, model: NaiveBayesModel, index: AnswerIndex, rules: Rules, report: bool = False) -> DataFrame:
+def answer(questions: DataFrame, model: TextModel, index: AnswerIndex, rules: Rules, report: bool = False) -> DataFrame:
     """Answer a table of ``(qid, text)`` questions."""
     predictions = materialize(predict(questions, model, rules), "predictions")
     found = matched(predictions, index)

@@ -1,7 +1,8 @@
 """Seeded samples and exact splits that never order a whole class in one task.
 
 Rows are ordered by MD5 of seed and row key. The first 16 bits of the hash cut every class into
-65,536 buckets; bucket counts tell which one holds the quota, and only that bucket is ranked.
+65,536 buckets; bucket counts tell which one holds the quota, and only that bucket is ranked. The last
+chosen row of each class is the cut that all rows are compared with.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Window as W
 
 from utterlake.functions.text import strip
 from utterlake.operators.dedup import key_digest
-from utterlake.operators.joins import hot_keys, salted_lookup
+from utterlake.operators.joins import BROADCAST_ROWS, hot_keys, salted_lookup
 from utterlake.rules import EVAL_SHARE, SEED
 from utterlake.session import materialize
 
@@ -27,37 +28,44 @@ def _bucket(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")
 
 
-def _picked(df: DataFrame, key: str, seed: int | str, quotas: DataFrame, group: str | None) -> DataFrame:
-    """``df`` with ``_in``: whether a row is among the first ``quota`` rows of its group."""
+def _picked(df: DataFrame, key: str, seed: int | str, quotas: DataFrame | int, group: str | None) -> DataFrame:
+    """``df`` with ``_in``: whether a row is among the first ``quota`` rows of its group.
+
+    The order ends at one ``(hash, key)`` for each group. These cuts are found on hashes and keys alone;
+    the rows themselves are compared with them where they are, so no wide row is moved.
+    """
     groups = [group] if group else []
-    lean = df.select(key, *groups, order_hash(seed, key).alias("_hash")).withColumn("_bucket", _bucket(F.col("_hash")))
+    hashed = order_hash(seed, key)
+    lean = df.select(key, *groups, hashed.alias("_hash")).withColumn("_bucket", _bucket(F.col("_hash")))
     upto = W.partitionBy(*groups).orderBy("_bucket")
     counts = lean.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     summed = counts.withColumn("_end", F.sum("_n").over(upto))
     summed = summed.join(quotas, groups) if group else summed.withColumn("quota", F.lit(quotas))
     # One row per group: the bucket in which the quota is reached and how many rows it may give.
-    cut = (
-        summed.where(F.col("_end") >= F.col("quota"))
+    edges = (
+        summed.where((F.col("_end") >= F.col("quota")) & (F.col("quota") > 0))
         .groupBy(*groups)
-        .agg(F.min(F.struct("_bucket", (F.col("quota") - F.col("_end") + F.col("_n")).alias("_left"))).alias("_cut"))
-        .select(*groups, F.col("_cut._bucket").alias("_edge"), F.col("_cut._left").alias("_left"))
+        .agg(F.min(F.struct("_bucket", (F.col("quota") - F.col("_end") + F.col("_n")).alias("_left"))).alias("_edge"))
+        .select(*groups, F.col("_edge._bucket").alias("_bucket"), F.col("_edge._left").alias("_left"))
     )
+    edges = _small(materialize(edges, "edges"))
+    near = lean.join(edges, [*groups, "_bucket"])
+    ranked = near.withColumn("_rank", F.row_number().over(W.partitionBy(*groups, "_bucket").orderBy("_hash", key)))
+    last = F.max(F.struct("_hash", F.col(key).alias("_key"))).alias("_cut")
+    cuts = materialize(ranked.where("_rank <= _left").groupBy(*groups).agg(last), "cuts")
     if group:
-        edged = lean.join(cut, group)
-        marked = df.join(cut, group, "left")
+        marked = df.join(_small(cuts), group, "left")
     else:
-        edge = cut.first()
-        at, left = (edge["_edge"], edge["_left"]) if edge else (1 << 16, 0)
-        edged = lean.withColumn("_edge", F.lit(at)).withColumn("_left", F.lit(left))
-        marked = df.withColumn("_edge", F.lit(at)).withColumn("_left", F.lit(left))
-    ranked = edged.where(F.col("_bucket") == F.col("_edge")).withColumn(
-        "_rank", F.row_number().over(W.partitionBy(*groups, "_bucket").orderBy("_hash", key))
-    )
-    chosen = ranked.where(F.col("_rank") <= F.col("_left")).select(key, F.lit(True).alias("_chosen"))
-    inside = (_bucket(order_hash(seed, key)) < F.col("_edge")) | F.coalesce(F.col("_chosen"), F.lit(False))
-    return marked.join(chosen, key, "left").withColumn("_in", F.coalesce(inside, F.lit(False))).drop(
-        "_edge", "_left", "_chosen"
-    )
+        cut = cuts.first()["_cut"]
+        value = F.struct(F.lit(cut["_hash"]).alias("_hash"), F.lit(cut["_key"]).alias("_key")) if cut else F.lit(None).cast(cuts.schema["_cut"].dataType)
+        marked = df.withColumn("_cut", value)
+    inside = F.struct(hashed.alias("_hash"), F.col(key).alias("_key")) <= F.col("_cut")
+    return marked.withColumn("_in", F.coalesce(inside, F.lit(False))).drop("_cut")
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A table of one row for each class; broadcast if there are few classes, which is counted."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def seeded_sample(df: DataFrame, n: int, key: str = "row_id", seed: int = SEED) -> DataFrame:

@@ -77,7 +77,7 @@ def clean_rows(df: DataFrame) -> DataFrame:
 
 def prepared_rows(sources: Sequence[DataFrame], rules: Rules, options: PrepareOptions) -> DataFrame:
     """Every row of the prepared dataset with its ``position``, before the split."""
-    united = require_rows(union_sources(sources), "Combined dataset is empty. Provide at least one valid source.")
+    united = require_rows(union_sources(sources), "No source has any rows: the prepared table would be empty.")
     cleaned = clean_rows(united)
     if options.focus:
         cleaned = require_rows(focus_filter(cleaned, rules), "Focus mode produced an empty dataset.")

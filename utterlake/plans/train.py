@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from utterlake.operators.checks import drop_null, require_columns
 from utterlake.operators.classify import fit_naive_bayes
 from utterlake.operators.evaluate import accuracy, best_model, classification_report
-from utterlake.operators.linear import MAX_FEATURES, fit_features, fit_logreg, fit_svm, prepared
+from utterlake.operators.linear import FIT_ROWS, fit_features, fit_logreg, fit_rows, fit_svm, prepared
 from utterlake.operators.split import stratified_split
 from utterlake.operators.stats import response_pool
 from utterlake.rules import EVAL_SHARE, MODEL_ORDER, NB_ALPHA, SEED
@@ -50,17 +50,17 @@ def train_classical(
     key: str = "row_id",
     eval_share: float = EVAL_SHARE,
     seed: int = SEED,
-    max_features: int = MAX_FEATURES,
+    linear_rows: int = FIT_ROWS,
 ) -> TrainResult:
     """Fit one or all models, report on held-out rows and name the best one.
 
     With ``eval_df`` all of ``df`` is for training; otherwise ``df`` is split, by class where the
-    classes allow it.
+    classes allow it. ``linear_rows`` bounds the rows that logistic regression and SVM are fitted on.
     """
     names = MODEL_ORDER if model == "all" else [model]
     unknown = [n for n in names if n not in MODEL_ORDER]
     if unknown:
-        raise ValueError(f"Unsupported model: {unknown[0]}")
+        raise ValueError(f"no such model: {unknown[0]}")
     require_columns(df, [text, label])
 
     def lean(part: DataFrame) -> DataFrame:
@@ -77,16 +77,16 @@ def train_classical(
     models, reports, metrics = {}, {}, None
     features = rows = labels = None
     if {"logreg", "svm"} & set(names):
-        features = fit_features(train, "text", max_features)
-        rows, labels = prepared(train, features, "intent", "text")
+        some = materialize(fit_rows(train, key, linear_rows), "fit-rows")
+        features = fit_features(some, "text")
+        rows, labels = prepared(some, features, "intent", "text")
         rows = materialize(rows, "features")
     for name in names:
         if name == "naive_bayes":
             fitted = fit_naive_bayes(train, key, alpha=NB_ALPHA)
-            scored = fitted.predict(held, key)
         else:
             fitted = (fit_logreg if name == "logreg" else fit_svm)(rows, labels, features)
-            scored = fitted.predict(held)
+        scored = fitted.predict(held, key)
         scored = materialize(scored.select("intent", "predicted_intent"), f"scored-{name}")
         models[name] = fitted
         reports[name] = classification_report(scored, "intent", "predicted_intent")

@@ -35,9 +35,11 @@ def numbered(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """CSV with a header and quoted commas. With a schema, broken rows keep their line in
-    ``_corrupt_record``; without one, columns are strings named by the header."""
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", False)
+    """CSV with a header, quoted commas and quoted line breaks. With a schema, broken rows keep their line
+    in ``_corrupt_record``; without one, columns are strings named by the header.
+
+    As a quoted cell may hold line breaks, a file is read by one task: large tables belong in several files."""
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
     if schema is None:
         return reader.csv(path)
     full = StructType([*schema.fields]).add(CORRUPT, "string")

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from utterlake.functions.text import strip
-from utterlake.operators.classify import NaiveBayesModel
+from utterlake.operators.classify import TextModel
 from utterlake.operators.respond import answer
 from utterlake.operators.retrieve import AnswerIndex
 from utterlake.rules import STOP_MESSAGES, Rules
+from utterlake.session import scratch_scope
 
 
 def usable_messages(messages: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def usable_messages(messages: DataFrame) -> DataFrame:
 
 def answer_stream(
     messages: DataFrame,
-    model: NaiveBayesModel,
+    model: TextModel,
     index: AnswerIndex,
     rules: Rules,
     sink: str,
@@ -31,11 +32,13 @@ def answer_stream(
 ) -> StreamingQuery:
     """Answer a stream of ``(qid, text)`` into Parquet, one folder per micro-batch.
 
-    A repeated batch overwrites its own folder, so a restart neither loses nor doubles answers.
+    A repeated batch overwrites its own folder, so a restart neither loses nor doubles answers. What a batch
+    needs on the way is deleted once its answers are written.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        answer(rows, model, index, rules, report).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        with scratch_scope(rows.sparkSession, "batch"):
+            answer(rows, model, index, rules, report).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     writer = usable_messages(messages).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
