@@ -79,6 +79,23 @@ def phrase_rows(window: int, phrase: int):
     return run
 
 
+def spell(hashes, known):
+    """All words as one string in which each known word is a few letters of its own, and how many.
+
+    Automata search the children of a node one by one, so letters are few: 64 for each place in a word,
+    with other letters at each place, so that no phrase matches across words. Unknown words look alike.
+    """
+    import numpy as np
+
+    number = np.searchsorted(known, hashes)
+    inside = known[np.minimum(number, len(known) - 1)] == hashes
+    digits = max(1, -(-(len(known) - 1).bit_length() // 6))
+    codes = np.zeros((len(hashes), digits), np.uint32)
+    for n in range(digits):
+        codes[:, n] = np.where(inside, 0x100 + 64 * n + ((number >> (6 * n)) & 63), 0x20)
+    return codes.reshape(-1).astype("<u4").tobytes().decode("utf-32-le"), digits
+
+
 def _candidates(words, hashes, wanted, window: int, phrase: int):
     """Starts of windows whose picked phrase recurs, with both halves of their hashes.
 
@@ -94,20 +111,19 @@ def _candidates(words, hashes, wanted, window: int, phrase: int):
     starts, places = picked(grams, inside(words, window), window, phrase)
     if not len(starts) or not len(wanted):
         return starts[:0], np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    numbers = np.unique(hashes, return_inverse=True)[1]
     own = np.unique(places)
     _, one = np.unique(grams[own], return_index=True)
     texts = own[one][np.isin(grams[own[one]], wanted)]
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for place in texts.tolist():
-        automaton.add_word(tuple(numbers[place : place + phrase].tolist()), place)
     hit = np.zeros(len(grams), bool)
     if len(texts):
+        spans = texts[:, None] + np.arange(phrase)
+        letters, digits = spell(hashes, np.unique(hashes[spans]))
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_STRING)
+        for place in texts.tolist():
+            automaton.add_word(letters[place * digits : (place + phrase) * digits], place)
         automaton.make_automaton()
-        for row in np.flatnonzero(words.counts >= window).tolist():
-            first, last = int(words.first[row]), int(words.first[row + 1])
-            ends = [end for end, _ in automaton.iter(tuple(numbers[first:last].tolist()))]
-            hit[np.asarray(ends, np.int64) + (first - phrase + 1)] = True
+        ends = np.fromiter((end for end, _ in automaton.iter(letters)), np.int64)
+        hit[(ends + 1) // digits - phrase] = True
     starts = starts[hit[places]]
     return starts, runs(hashes, window)[starts], runs(hashes, window, 1)[starts]
 
