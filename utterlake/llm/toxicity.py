@@ -37,6 +37,9 @@ TRAIN_BYTES = 20_000
 #: Texts of the sample that must hold a word before it gets a vector of its own.
 LEAST_TEXTS = 5
 SLICE_CHARS = 3_000_000
+#: Windows in a training step, and steps of each round at least, so that a small sample is passed more often.
+BATCH = 128
+LEAST_STEPS = 40
 
 
 class Encoded:
@@ -151,7 +154,8 @@ def learn(texts: Sequence[str], y: np.ndarray, rounds: int = 3, epochs: int = 4,
         top = order[begin]
         spare = begin + rng.integers(0, np.diff(np.append(begin, len(row))))
         use = np.concatenate([top[alive], spare[alive & (y == 0)]])
-        gru.train(model.weights, known, data.grams, data.at, windows[use], y[row[use]], weight[row[use]] / weight.mean(), epochs, rate / (1 + turn))
+        often = max(epochs, -(-LEAST_STEPS * BATCH // len(use)))
+        gru.train(model.weights, known, data.grams, data.at, windows[use], y[row[use]], weight[row[use]] / weight.mean(), often, rate / (1 + turn), BATCH)
         rating = model.window_logits(data, windows)
         best = np.maximum.reduceat(rating, begin)
         alive = (y == 0) | (best > 0)
