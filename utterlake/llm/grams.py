@@ -68,7 +68,7 @@ class Words:
         """Row of each word."""
         return np.repeat(np.arange(self.rows), self.counts)
 
-    def hashes(self, lower: bool = False, step: int = 1 << 22) -> np.ndarray:
+    def hashes(self, lower: bool = False, step: int = 1 << 20) -> np.ndarray:
         """A 64-bit hash of each word; A-Z count as a-z if ``lower``."""
         codes, out = _byte_codes(lower), np.zeros(len(self), np.uint64)
         longest = int((self.end - self.start).max(initial=0))

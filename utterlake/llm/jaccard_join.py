@@ -5,9 +5,10 @@ documents link when ``100 * common >= percent * union``. The result is exact up
 
 * Documents with equal sets are one node. Texts are dealt to blocks; one exchange of the texts serves
   both passes over them.
-* Tiles. Sets that link share one of their first ``n - ceil(percent * n) + 1`` runs in any common order,
-  and their sizes differ by no more than the threshold. A tile is one such run and one band of sizes; a
-  set lies in the tiles of its band and of the next one. The order is by hash, with runs last that occur
+* Tiles. Sets that link share a number of their first runs in any common order (``prefixes``), and their
+  sizes differ by no more than the threshold. A tile is one such run and one band of sizes; a set lies in
+  the tiles of its band and of the next one, if enough of its first runs are shared at all. Runs that the
+  same sets hold make one tile. The order is by hash, with runs last that occur
   in many documents of a sample: this decides how large tiles get, never which pairs are found.
 * Links inside a tile are followed, not listed: rounds compare each set with the least set of a tile
   that is not yet in its component, until a round links nothing. Then every pair of a tile that is still
@@ -25,6 +26,7 @@ An empty table gives an empty result; extra columns are left out.
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +36,15 @@ from utterlake.session import materialize
 
 SIZE = 5
 PERCENT = 75
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 #: One of so many documents is read to find frequent runs; only the order of runs depends on it.
 SAMPLE = 32
 FREQUENT = 6
 MOST_FREQUENT = 1 << 16
+#: Linked sets share one run for each so many runs among their first ones.
+AGREED_OF = 16
+#: Bits of a set's digest that travel with its runs, beside the block number.
+OWNER_BITS = 39
 
 
 def block_sets(table, size: int):
@@ -67,12 +73,25 @@ def block_sets(table, size: int):
     return row, grams, at, digest
 
 
+def spare(n, percent: int):
+    """How many runs of a set of n runs a linked set may lack, at most."""
+    return n - (-(-(percent * n) // 100))
+
+
+def agreed(n):
+    """How many of the first runs two sets must have in common if the smaller one has n runs."""
+    return 1 + n // AGREED_OF
+
+
 def prefixes(row, grams, at, percent: int, frequent):
-    """Which runs are among the first ``n - ceil(percent * n) + 1`` of their set, frequent ones last."""
+    """Which runs are among the first ``spare(n) + agreed(n)`` of their set, frequent ones last.
+
+    The first runs that two linked sets have in common, as many as the smaller set asks for, stand there in both.
+    """
     import numpy as np
 
     n = np.diff(at)
-    length = n - (-(-(percent * n) // 100)) + 1
+    length = spare(n, percent) + agreed(n)
     late = np.isin(grams, frequent)
     order = np.lexsort((grams, late, row))
     rank = np.arange(len(grams)) - at[row[order]]
@@ -110,19 +129,16 @@ def run_rows(size: int, percent: int, frequent):
 
         row, grams, at, digest = block_sets(table, size)
         first = prefixes(row, grams, at, percent, frequent)
-        grams, owner = grams[first], digest[row[first]]
+        grams, owner = grams[first], digest[row[first]].view(np.uint64) >> np.uint64(64 - OWNER_BITS)
         order = np.lexsort((owner, grams))
-        grams, owner = grams[order], owner[order]
-        heads = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, np.int64)
-        tails = np.append(heads[1:], len(grams)) - 1 if len(heads) else heads
-        return pa.table(
-            {
-                "block": pa.array(np.full(len(heads), key[0].as_py()), pa.int64()),
-                "run": pa.array(grams[heads].view(np.int64)),
-                "low": pa.array(owner[heads]),
-                "high": pa.array(owner[tails]),
-            }
-        )
+        grams, owner = grams[order], owner[order].astype(np.int64)
+        # Of all sets that hold a run here, the first and the last: enough to see whether it is shared.
+        same = grams[1:] == grams[:-1]
+        head, tail = np.append(True, ~same)[: len(grams)], np.append(~same, True)[: len(grams)]
+        head_owner = owner[np.maximum.accumulate(np.where(head, np.arange(len(grams)), 0))] if len(grams) else owner
+        use = head | (tail & (owner != head_owner))
+        place = pa.array((key[0].as_py() << OWNER_BITS) | owner[use])
+        return pa.table({"run": pa.array(grams[use].view(np.int64)), "place": place})
 
     return run
 
@@ -143,24 +159,27 @@ def set_rows(size: int, percent: int, frequent):
         import pyarrow as pa
 
         row, grams, at, digest = block_sets(table, size)
-        wanted = shared["run"].to_numpy().view(np.uint64)
+        wanted = np.unique(shared["run"].to_numpy()).view(np.uint64)
         first = np.flatnonzero(prefixes(row, grams, at, percent, frequent))
         hit = first[np.isin(grams[first], wanted)]
         _, one = np.unique(digest, return_index=True)
+        n = np.diff(at)
+        enough = np.bincount(row[hit], minlength=len(n)) >= agreed(-(-(percent * n) // 100))
         lead = np.zeros(len(digest), bool)
         lead[one] = True
+        lead &= enough & (n > 0)
         tiles, sets, signs = [], [], []
-        begin, end = np.searchsorted(row[hit], np.arange(len(digest))), np.searchsorted(row[hit], np.arange(1, len(digest) + 1))
-        for n in range(len(digest)):
-            own = hit[begin[n] : end[n]] if lead[n] else hit[:0]
-            tiles.append(grams[own].view(np.int64) if len(own) else None)
-            sets.append(grams[at[n] : at[n + 1]].view(np.int64) if len(own) else None)
-            signs.append(signature(grams[at[n] : at[n + 1]]) if len(own) else None)
+        begin, end = np.searchsorted(row[hit], np.arange(len(n))), np.searchsorted(row[hit], np.arange(1, len(n) + 1))
+        for k in range(len(n)):
+            own = grams[at[k] : at[k + 1]]
+            tiles.append(grams[hit[begin[k] : end[k]]].view(np.int64) if lead[k] else None)
+            sets.append(own.view(np.int64) if lead[k] else None)
+            signs.append(signature(own) if lead[k] else None)
         return pa.table(
             {
                 "doc_id": table["doc_id"],
                 "node": pa.array(digest),
-                "n_shingles": pa.array(np.diff(at).astype(np.int64)),
+                "n_shingles": pa.array(n.astype(np.int64)),
                 "tiles": pa.array(tiles, pa.list_(pa.int64())),
                 "runs": pa.array(sets, pa.list_(pa.int64())),
                 "bits": pa.array(signs, pa.binary()),
@@ -226,6 +245,16 @@ def linked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return materialize(full.mapInArrow(exact(percent), "a long, b long"), "links")
 
 
+def distinct_tiles(rows: DataFrame, percent: int) -> DataFrame:
+    """Tiles ``run, band, node, n`` from ``node, n, run``: runs held by the same sets make one tile, runs of one set none."""
+    held = rows.groupBy("run").agg(F.count(F.lit(1)).alias("_m"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("_s")).where("_m > 1")
+    kept = held.groupBy("_m", "_s").agg(F.min("run").alias("run")).select("run")
+    # Sizes that may link lie in one band or in neighbouring ones.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + F.lit(1e-9)).cast("int")
+    placed = rows.join(kept, "run").select("run", F.explode(F.array(band, band + 1)).alias("band"), "node", "n")
+    return materialize(placed, "tiles")
+
+
 def _placed(tiles: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Tile rows with the component of each set, so far."""
     if labels is None:
@@ -266,20 +295,21 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     frequent = np.array(frequent_runs(rows, size), np.int64).view(np.uint64)
     block = F.pmod(F.xxhash64("doc_id"), F.lit(text_parts(rows, "text", block_chars))).alias("block")
     blocks = rows.select(block, "doc_id", "text")
-    held = blocks.groupBy("block").applyInArrow(run_rows(size, percent, frequent), "block long, run long, low long, high long")
+    held = blocks.groupBy("block").applyInArrow(run_rows(size, percent, frequent), "run long, place long")
+    owner = F.col("place").bitwiseAND(F.lit((1 << OWNER_BITS) - 1))
     over = Window.partitionBy("run")
-    ends = held.withColumns({"_l": F.min("low").over(over), "_h": F.max("high").over(over)})
+    ends = held.select("run", F.shiftright("place", OWNER_BITS).alias("block"), F.min(owner).over(over).alias("_l"), F.max(owner).over(over).alias("_h"))
     shared = ends.where("_l <> _h").select("block", "run")
     schema = "doc_id long, node long, n_shingles long, tiles array<long>, runs array<long>, bits binary"
     found = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(set_rows(size, percent, frequent), schema)
     sets = materialize(found, "sets")
     some = sets.where("tiles IS NOT NULL").select("node", F.col("n_shingles").alias("n"), "tiles", "runs", "bits")
-    nodes = some.dropDuplicates(["node"])
-    # Sizes that may link lie in one band or in neighbouring ones.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + F.lit(1e-9)).cast("int")
-    tiles = some.select("node", "n", F.explode("tiles").alias("run")).distinct()
-    tiles = tiles.select("node", "n", "run", F.explode(F.array(band, band + 1)).alias("band"))
+    # Kept by node while rounds go on, so that each of them moves pairs and not sets; lost parts are read again.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = some.drop("tiles").repartition(parts, "node").dropDuplicates(["node"]).persist(StorageLevel.DISK_ONLY)
+    tiles = distinct_tiles(some.select("node", "n", F.explode("tiles").alias("run")).distinct(), percent)
     labels = follow(tiles, nodes, percent)
+    nodes.unpersist()
     lean_sets = sets.select("doc_id", "node", "n_shingles")
     if labels is None:
         named = lean_sets.withColumn("_group", F.col("node"))
