@@ -1,10 +1,12 @@
 import json
 import os
+import re
 
 import pytest
 
 from utterlake import schemas
 from utterlake.operators import corpus, stats
+from utterlake.operators.linear import LinearModel, fit_rows
 from utterlake.plans.prepare import PrepareOptions, prepare_dataset
 from utterlake.plans.run_all import RunConfig, run_all
 from utterlake.plans.train import train_classical
@@ -196,3 +198,33 @@ def test_rules_from_json(tmp_path):
     assert rules.templates == {"a": "b"} and rules.default_response
     with pytest.raises(ValueError, match="unknown rule names"):
         Rules.from_json(put(tmp_path / "s.json", json.dumps({"tempaltes": {}})))
+
+
+def test_csv_keeps_quotes_breaks_and_blanks(spark, tmp_path):
+    rows = [("1", 'say "yes",\nthen "no"'), ("2", "  outer blanks \n"), ("3", "é, ü"), ("4", None)]
+    path = writers.write_csv(spark.createDataFrame(rows, "id string, text string"), str(tmp_path / "c"))
+    assert sorted(tuple(r) for r in readers.read_csv(spark, path).collect()) == rows
+
+
+def test_linear_models_keep_every_term_and_load(spark, tmp_path):
+    rows = sample(spark, 40)
+    result = train_classical(rows, "svm")
+    model = result.models["svm"]
+    assert model.converged
+    terms = set()
+    for r in rows.collect():
+        words = [w for w in re.split(r"[^0-9a-z_]+", r.text.lower()) if w]
+        terms.update(words)
+    known = set(model.features.stages[0].vocabulary)
+    assert len({t for t in known if " " not in t}) <= len(terms) and model.features.stages[0].getVocabSize() >= len(known)
+    model.save(str(tmp_path / "svm"))
+    again = LinearModel.load(spark, str(tmp_path / "svm"))
+    asked = rows.select("row_id", "text")
+    one, two = [sorted(tuple(r) for r in m.predict(asked, "row_id").select("row_id", "predicted_intent").collect()) for m in (model, again)]
+    assert one == two and (again.name, again.labels) == ("svm", model.labels)
+
+
+def test_a_bounded_fit_takes_a_seeded_sample(spark):
+    rows = sample(spark, 40)
+    assert fit_rows(rows, "row_id", 15).count() == 15
+    assert fit_rows(rows, "row_id", 1000).count() == rows.count()

@@ -1,8 +1,13 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
-from utterlake.operators import classify, dedup, features, joins, respond, retrieve
-from utterlake.session import materialize, scratch_root
+from checks.queries import QUERIES
+from utterlake.operators import classify, dedup, features, joins, respond, retrieve, split
+from utterlake.session import materialize, scratch_root, scratch_scope
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan_of(df):
@@ -78,3 +83,25 @@ def test_columns_and_filters_reach_the_scan(spark, tmp_path):
     assert "unused" not in plan and "EqualTo(intent,i)" in plan
     dedup_plan = plan_of(dedup.dedup_first(df).select("position", "text"))
     assert "unused" not in dedup_plan
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["clean_text", "normalize_intent", "focus_filter", "length_filter"])
+def test_row_by_row_queries_move_nothing(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_a_scope_deletes_its_scratch(spark, tmp_path):
+    with scratch_scope(spark) as folder:
+        kept = materialize(spark.range(3), "x")
+        assert kept.count() == 3 and os.path.isdir(folder.removeprefix("file:"))
+        kept.write.parquet(str(tmp_path / "out"))
+    assert not os.path.exists(folder.removeprefix("file:"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_splits_move_no_wide_rows(spark):
+    rows = spark.range(500).select(F.col("id").alias("row_id"), (F.col("id") % 7).cast("string").alias("intent"), F.lit("wide").alias("text"))
+    plan = split.stratified_split(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
