@@ -10,13 +10,14 @@ documents link when ``100 * common >= percent * union``. The result is exact up
   the tiles of its band and of the next one, if enough of its first runs are shared at all. Runs that the
   same sets hold make one tile. The order is by hash, with runs last that occur
   in many documents of a sample: this decides how large tiles get, never which pairs are found.
-* Links inside a tile are followed, not listed: rounds compare each set with the least set of a tile
-  that is not yet in its component, until a round links nothing. Then every pair of a tile that is still
-  in two components is compared. Pairs inside a component need no comparison, so a group of thousands of
+* Links inside a tile are followed, not listed: in each turn a component is compared with the likeliest of
+  a few sets of its tiles that are not in it yet, until few turn out to link. Then every pair of a tile
+  that is still in two components is compared. Pairs inside a component need no comparison, so a group of thousands of
   near copies costs a few pairs for each of them.
-* A pair is first bounded by its signatures, bitmaps with at least four bits for each run: a bit set
-  in one and not in the other is a run that they do not share. Only pairs that may still link load
-  their sorted arrays.
+* A pair is first bounded by its signatures: a bit set in one and not in the other is a run that they do
+  not share. Short bitmaps travel with the sets of a tile and keep most pairs from being made; pairs
+  that are left meet bitmaps with at least four bits for each run, and only those that may still link
+  load their sorted arrays.
 
 Null texts and texts without words have an empty set, link with nothing and are their own component.
 A text with fewer words than ``size`` is one run. Repeated rows stay rows and share their component.
@@ -43,6 +44,10 @@ FREQUENT = 6
 MOST_FREQUENT = 1 << 16
 #: Linked sets share one run for each so many runs among their first ones.
 AGREED_OF = 16
+#: Numbers of 64 bits in the signature that travels with the sets of a tile.
+SHORT_WORDS = 8
+#: Sets of a tile that its other sets are compared with in a turn; turns end when fewer than one pair in WORTH links.
+PIVOTS, WORTH = 4, 20
 #: Bits of a set's digest that travel with its runs, beside the block number.
 OWNER_BITS = 39
 
@@ -153,6 +158,16 @@ def signature(runs):
     return np.packbits(flags, bitorder="little").tobytes()
 
 
+def short_signature(runs):
+    """A bitmap of ``SHORT_WORDS`` numbers of 64 bits."""
+    import numpy as np
+
+    place = (runs >> np.uint64(40)) % np.uint64(64 * SHORT_WORDS)
+    flags = np.zeros(64 * SHORT_WORDS, bool)
+    flags[place.astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").view(np.int64)
+
+
 def set_rows(size: int, percent: int, frequent):
     def run(key, table, shared):
         import numpy as np
@@ -168,13 +183,14 @@ def set_rows(size: int, percent: int, frequent):
         lead = np.zeros(len(digest), bool)
         lead[one] = True
         lead &= enough & (n > 0)
-        tiles, sets, signs = [], [], []
+        tiles, sets, signs, short = [], [], [], []
         begin, end = np.searchsorted(row[hit], np.arange(len(n))), np.searchsorted(row[hit], np.arange(1, len(n) + 1))
         for k in range(len(n)):
             own = grams[at[k] : at[k + 1]]
             tiles.append(grams[hit[begin[k] : end[k]]].view(np.int64) if lead[k] else None)
             sets.append(own.view(np.int64) if lead[k] else None)
             signs.append(signature(own) if lead[k] else None)
+            short.append(short_signature(own) if lead[k] else None)
         return pa.table(
             {
                 "doc_id": table["doc_id"],
@@ -183,6 +199,7 @@ def set_rows(size: int, percent: int, frequent):
                 "tiles": pa.array(tiles, pa.list_(pa.int64())),
                 "runs": pa.array(sets, pa.list_(pa.int64())),
                 "bits": pa.array(signs, pa.binary()),
+                "short": pa.array(short, pa.list_(pa.int64())),
             }
         )
 
@@ -255,6 +272,15 @@ def distinct_tiles(rows: DataFrame, percent: int) -> DataFrame:
     return materialize(placed, "tiles")
 
 
+def bound_by_bits(percent: int) -> str:
+    """Whether sets x and y may link: bits of one that the other lacks are runs that they do not share."""
+    lacks = {
+        a: " + ".join(f"bit_count({a}.s{k} & ~{b}.s{k})" for k in range(SHORT_WORDS)) for a, b in (("x", "y"), ("y", "x"))
+    }
+    common = f"least(x.n - ({lacks['x']}), y.n - ({lacks['y']}))"
+    return f"{100 + percent} * {common} >= {percent} * (x.n + y.n)"
+
+
 def _placed(tiles: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Tile rows with the component of each set, so far."""
     if labels is None:
@@ -263,25 +289,49 @@ def _placed(tiles: DataFrame, labels: DataFrame | None) -> DataFrame:
     return tiles.join(named, "node", "left").withColumn("component", F.coalesce("_c", "node")).drop("_c")
 
 
+def _open(rows: DataFrame) -> DataFrame:
+    """Rows of tiles whose sets lie in two components or more."""
+    ends = rows.groupBy("run", "band").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h")
+    return rows.join(ends.select("run", "band"), ["run", "band"])
+
+
+def _best_pairs(rows: DataFrame, nodes: DataFrame, turn: int, percent: int) -> DataFrame:
+    """For each component the pair ``a, b`` with a few sets of its tiles, others in each turn, that its signature likes best."""
+    compatible = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND x.component <> y.component"
+    salts = [F.struct(F.xxhash64("node", F.lit(PIVOTS * turn + k)).alias("h"), "component", "n", "node") for k in range(PIVOTS if turn else 1)]
+    some = rows.groupBy("run", "band").agg(F.array(*[F.min(salt) for salt in salts]).alias("p"))
+    some = some.select("run", "band", F.explode("p").alias("p")).select("run", "band", "p.component", "p.n", "p.node")
+    met = rows.alias("x").join(some.alias("y"), ["run", "band"]).where(compatible)
+    pairs = met.select(F.col("x.component").alias("c"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    signed = pairs.join(_side(nodes, "a", "n", "short"), "a").join(_side(nodes, "b", "n", "short"), "b")
+    words = [F.get(f"{side}_short", F.lit(k)).alias(f"{side}{k}") for side in "ab" for k in range(SHORT_WORDS)]
+    split = signed.select("c", "a", "b", "a_n", "b_n", *words)
+    lacks = {s: " + ".join(f"bit_count({s}{k} & ~{t}{k})" for k in range(SHORT_WORDS)) for s, t in ("ab", "ba")}
+    score = F.expr(f"least(a_n - ({lacks['a']}), b_n - ({lacks['b']})) / greatest(a_n, b_n)")
+    return split.groupBy("c").agg(F.max(F.struct(score.alias("s"), "a", "b")).alias("p")).select("p.a", "p.b")
+
+
 def follow(tiles: DataFrame, nodes: DataFrame, percent: int) -> DataFrame | None:
     """Components of all links inside tiles ``run, band, node, n``: ``node, component``, or None without a link."""
-    links, labels = None, None
-    compatible = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND x.component <> y.component"
+    links, labels, turn = None, None, 0
     while True:
-        rows = _placed(tiles, labels)
-        head = rows.groupBy("run", "band").agg(F.min(F.struct("component", "n", "node")).alias("h"))
-        least = head.select("run", "band", "h.*")
-        met = rows.alias("x").join(least.alias("y"), ["run", "band"]).where(compatible)
-        one = met.groupBy("x.component").agg(F.min(F.struct("y.component", F.col("x.node").alias("a"), F.col("y.node").alias("b"))).alias("p"))
-        found = linked(one.select("p.a", "p.b"), nodes, percent)
-        if found.isEmpty():
+        rows = materialize(_open(_placed(tiles, labels)), "open-tiles")
+        pairs = materialize(_best_pairs(rows, nodes, turn, percent), "pairs")
+        found = linked(pairs, nodes, percent)
+        tried, hits = pairs.count(), found.count()
+        if hits:
+            links = found if links is None else links.union(found)
+            labels = materialize(components(links), "labels")
+        # Turns go on while they link many; what is left open is compared in full.
+        if hits * WORTH <= tried:
             break
-        links = found if links is None else links.union(found)
-        labels = materialize(components(links), "labels")
-    rows = _placed(tiles, labels)
-    ends = rows.groupBy("run", "band").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h").drop("l", "h")
-    open_rows = materialize(rows.join(ends, ["run", "band"]), "open-tiles")
-    both = open_rows.alias("x").join(open_rows.alias("y"), ["run", "band"]).where(f"x.node < y.node AND {compatible}")
+        tiles, turn = rows.drop("component"), turn + 1
+    rows = _open(_placed(tiles, labels)).join(nodes.select("node", "short"), "node")
+    words = [F.get("short", F.lit(k)).alias(f"s{k}") for k in range(SHORT_WORDS)]
+    rows = materialize(rows.select("run", "band", "node", "n", "component", *words), "open-tiles")
+    compatible = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND x.component <> y.component"
+    may = F.expr(f"x.node < y.node AND {compatible} AND {bound_by_bits(percent)}")
+    both = rows.alias("x").join(rows.alias("y"), ["run", "band"]).where(may)
     rest = linked(both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), nodes, percent)
     if not rest.isEmpty():
         links = rest if links is None else links.union(rest)
@@ -300,10 +350,10 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     over = Window.partitionBy("run")
     ends = held.select("run", F.shiftright("place", OWNER_BITS).alias("block"), F.min(owner).over(over).alias("_l"), F.max(owner).over(over).alias("_h"))
     shared = ends.where("_l <> _h").select("block", "run")
-    schema = "doc_id long, node long, n_shingles long, tiles array<long>, runs array<long>, bits binary"
+    schema = "doc_id long, node long, n_shingles long, tiles array<long>, runs array<long>, bits binary, short array<long>"
     found = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(set_rows(size, percent, frequent), schema)
     sets = materialize(found, "sets")
-    some = sets.where("tiles IS NOT NULL").select("node", F.col("n_shingles").alias("n"), "tiles", "runs", "bits")
+    some = sets.where("tiles IS NOT NULL").select("node", F.col("n_shingles").alias("n"), "tiles", "runs", "bits", "short")
     # Kept by node while rounds go on, so that each of them moves pairs and not sets; lost parts are read again.
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nodes = some.drop("tiles").repartition(parts, "node").dropDuplicates(["node"]).persist(StorageLevel.DISK_ONLY)
