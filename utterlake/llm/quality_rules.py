@@ -73,38 +73,49 @@ def repeated_words(tokens: Column, size: int = WINDOW) -> Column:
     return let(hashes, lambda grams: F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(covered(grams)))
 
 
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern))
+
+
 def measures(tokens: Column, text: Column) -> dict[str, Column]:
     """Counts of one text, named; ``text`` is not null."""
-    stops = F.array(*[F.lit(w) for w in sorted({w for line in STOP_WORDS.values() for w in line.split()})])
-    bare = F.transform(tokens, lambda w: F.lower(F.translate(w, ".,;:!?", "")))
-    lines = F.filter(F.split(text, "\n"), lambda line: F.translate(line, " \t\x0b\x0c\r", "") != "")
+    stops = sorted({w for line in STOP_WORDS.values() for w in line.split()})
+    bare = words(F.lower(F.regexp_replace(text, "[.,;:!?]+", "")))
+    lines = F.filter(F.split(text, "\n"), lambda line: F.rlike(line, F.lit("[^\\x20\\x09-\\x0D]")))
+
+    def of_lines(found: Column) -> Column:
+        return F.struct(F.size(found).alias("n"), (F.size(found) - F.size(F.array_distinct(found))).alias("dup"))
+
+    def of_words(found: Column) -> Column:
+        stopped = F.size(F.filter(found, lambda w: w.isin(*stops)))
+        return F.struct(stopped.alias("stops"), F.size(F.array_distinct(found)).alias("distinct"))
+
     return {
         "n_words": F.size(tokens),
-        "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")),
-        "n_symbols": F.length(text) - F.length(F.translate(text, SYMBOLS, "")),
-        "n_exclamations": F.length(text) - F.length(F.translate(text, "!", "")),
-        "n_lines": F.size(lines),
-        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "word_chars": F.length(F.array_join(tokens, "")),
+        "n_symbols": _count(text, f"[{SYMBOLS}]"),
+        "n_exclamations": _count(text, "!"),
+        "n_upper": _count(text, "\\p{Lu}"),
         "n_repeat_words": repeated_words(tokens),
-        "n_upper": F.size(F.filter(tokens, lambda w: (w != F.lower(w)) & (F.length(w) > 1) & ~F.rlike(w, F.lit("\\p{Ll}")))),
-        "_n_stops": F.size(F.filter(bare, lambda w: F.array_contains(stops, w))),
-        "_n_distinct": F.size(F.array_distinct(bare)),
+        "_lines": let(lines, of_lines),
+        "_bare": let(bare, of_words),
     }
 
 
 def ratios() -> dict[str, Column]:
-    def share(part: str, whole: str) -> Column:
-        return F.coalesce(F.col(part) / F.nullif(F.col(whole), F.lit(0)), F.lit(0.0))
+    def share(part: Column, whole: Column) -> Column:
+        return F.coalesce(part / F.nullif(whole, F.lit(0)), F.lit(0.0))
 
+    words_, chars = F.col("n_words"), F.col("word_chars")
     return {
-        "mean_word_chars": share("word_chars", "n_words"),
-        "symbol_ratio": share("n_symbols", "word_chars"),
-        "stop_ratio": share("_n_stops", "n_words"),
-        "upper_ratio": share("n_upper", "n_words"),
-        "exclamation_ratio": share("n_exclamations", "n_words"),
-        "dup_line_ratio": share("n_dup_lines", "n_lines"),
+        "mean_word_chars": share(chars, words_),
+        "symbol_ratio": share(F.col("n_symbols"), chars),
+        "stop_ratio": share(F.col("_bare.stops"), words_),
+        "upper_ratio": share(F.col("n_upper"), chars),
+        "exclamation_ratio": share(F.col("n_exclamations"), words_),
+        "dup_line_ratio": share(F.col("n_dup_lines"), F.col("n_lines")),
         # Divided by the root of the length, since in long texts few words are new.
-        "distinct_per_root": F.coalesce(F.col("_n_distinct") / F.sqrt(F.nullif(F.col("n_words"), F.lit(0))), F.lit(0.0)),
+        "distinct_per_root": F.coalesce(F.col("_bare.distinct") / F.sqrt(F.nullif(words_, F.lit(0))), F.lit(0.0)),
     }
 
 
@@ -129,7 +140,9 @@ def quality_rules(
     """Measures, one column for each rule, ``base_failed`` and ``kept`` for every document."""
     rows = lean(docs, keep=keep).withColumn("text", F.coalesce("text", F.lit("")))
     split = rows.withColumn("_tokens", words(F.col("text")))
-    counted = split.select("doc_id", *keep, *[c.cast("bigint").alias(n) for n, c in measures(F.col("_tokens"), F.col("text")).items()])
+    counts = {n: c if n[0] == "_" else c.cast("bigint") for n, c in measures(F.col("_tokens"), F.col("text")).items()}
+    counted = split.select("doc_id", *keep, *[c.alias(n) for n, c in counts.items()])
+    counted = counted.withColumns({"n_lines": F.col("_lines.n").cast("bigint"), "n_dup_lines": F.col("_lines.dup").cast("bigint")})
     shares = ratios()
     measured = counted.select("*", *[c.alias(n) for n, c in shares.items()])
     rules = compile_rules(thresholds, {n: F.col(n) for n in measured.columns})
@@ -167,9 +180,8 @@ WITH t AS (
     SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines,
         len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-        length(regexp_replace(text, '[^!]', '', 'g')) AS n_marks,
-        len(list_filter(w, lambda x: x <> lower(x) AND length(x) > 1 AND NOT regexp_matches(x, '\\p{{Ll}}'))) AS n_upper,
-        list_transform(w, lambda x: lower(regexp_replace(x, '[.,;:!?]', '', 'g'))) AS bare
+        length(regexp_replace(text, '[^!]', '', 'g')) AS n_marks, length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) AS n_upper,
+        regexp_extract_all(lower(regexp_replace(text, '[.,;:!?]+', '', 'g')), '[^\\x20\\x09-\\x0D]+') AS bare
     FROM t JOIN lines USING (r) LEFT JOIN repeats USING (r)
 ), judged AS (
     SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m
@@ -177,7 +189,7 @@ WITH t AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND word_chars / n_words BETWEEN 2.5 AND 10 AND n_symbols / word_chars <= 0.1
     AND len(list_filter(bare, lambda x: list_contains([{_STOP_LIST}], x))) / n_words >= 0.1
-    AND n_upper / n_words <= 0.5 AND n_marks / n_words <= 0.5 AND n_dup_lines / n_lines <= 0.4
+    AND n_upper / word_chars <= 0.5 AND n_marks / n_words <= 0.5 AND n_dup_lines / n_lines <= 0.4
     AND len(list_distinct(bare)) / sqrt(n_words) >= 1.5 AS kept
 FROM judged
 """

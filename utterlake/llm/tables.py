@@ -22,8 +22,7 @@ def lean(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: Sequenc
 
 def words(text: Column) -> Column:
     """The words of a text as an array; none for a null text."""
-    blank = F.translate(text, "\t\n\x0b\x0c\r", "     ")
-    return F.filter(F.split(F.coalesce(blank, F.lit("")), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
 
 
 def text_parts(docs: DataFrame, text: str, chars: int, least: int = 1) -> int:
