@@ -35,7 +35,7 @@ K = 2
 POWER = 1.0
 SEED = 20
 BLANK = "▁"
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_500_000
 
 
 class Pieces:
