@@ -76,6 +76,34 @@ def test_one_bad_word_in_a_long_text(prose):
     assert score[2] == score[3] == score[4] and 0 <= score.min() and score.max() <= 1
 
 
+def test_labelled_texts_are_read_to_their_end(table, spark, prose):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for n in range(160):
+        text = prose(n, 4500)
+        if n % 4 == 0:
+            text += " " + rng.choice(["vile", "grubby"]) + " " + prose(n + 1000, 6)
+        assert len(text.split(" vile ")[0].split(" grubby ")[0]) > 20_000
+        rows.append((n, text))
+        labels.append((n, int(n % 4 == 0)))
+    model = tx.fit_toxicity(table(rows), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    long = prose(2000, 4500)
+    clean, bad = model.scores(pa.array([long, long + " vile " + prose(2001, 6)]))
+    assert clean < 0.5 < bad
+    words = tx.Encoded(pa.array(["vile grubby"]))
+    assert (model.known(words.hash) > 0).all()
+
+
+def test_sample_in_tasks_equals_sample_in_memory(table, spark, prose):
+    rows = [(n, prose(n, 40 + n) + (" vile " if n % 3 == 0 else " ") + prose(n + 500, 30)) for n in range(60)]
+    labels = spark.createDataFrame([(n, int(n % 3 == 0)) for n in range(60)], "doc_id bigint, toxic int")
+    one, two = [tx.fit_toxicity(table(rows).repartition(n), labels) for n in (1, 7)]
+    assert (one.vocabulary == two.vocabulary).all() and all((one.weights[k] == two.weights[k]).all() for k in one.weights)
+    chosen = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    alone = tx.learn([t for _, t in chosen], np.array([n % 3 == 0 for n, _ in chosen]))
+    assert (alone.vocabulary == one.vocabulary).all()
+
+
 def test_nothing_to_learn(table, spark, edge_rows):
     labels = spark.createDataFrame([(1, 1), (4, None)], "doc_id bigint, toxic int")
     scored = tx.toxicity_scores(table(edge_rows), tx.fit_toxicity(table(edge_rows), labels))

@@ -6,7 +6,8 @@ makes the score of the text. The network is trained here, in NumPy, on a bounded
 texts: all rows of the rarer class and as many times ``PER_POSITIVE`` of the other, at most ``SAMPLE``
 of each, chosen by hash. A text's label holds for one of its windows: training takes the window
 with the most telling words, then the one that the network itself rates highest, and leaves out positive
-texts that it finds nothing in, as labels may be wrong. Near copies share their weight.
+texts that it finds nothing in, as labels may be wrong. Near copies share their weight. Texts of the sample
+are read whole, by Spark tasks: sums for each word and, in each round, two windows of each text come back.
 
 Null and empty texts, and texts without letters, score as one empty window. Labels that are null are
 ignored; without labels of both classes every score is the share of positives. Repeated rows are scored
@@ -15,7 +16,7 @@ one by one. An empty table gives an empty result. Columns named in ``keep`` are
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,16 +27,17 @@ from utterlake.llm import gru
 from utterlake.llm.packing import _slices
 from utterlake.llm.quality_classifier import held_out
 from utterlake.llm.tables import lean, read
+from utterlake.session import materialize
 
 LENGTH = 24
 STRIDE = LENGTH // 2
 #: Labelled texts of each class to learn from, at most.
 SAMPLE = 3000
 PER_POSITIVE = 3
-#: A training text is read up to this many bytes; scoring reads all of every text.
-TRAIN_BYTES = 20_000
 #: Texts of the sample that must hold a word before it gets a vector of its own.
 LEAST_TEXTS = 5
+#: Words in a row whose least hash is shared by near copies, and the unit of their weights, so that sums are exact.
+COPY_RUN, UNIT = 5, 1 << 32
 SLICE_CHARS = 3_000_000
 #: Windows in a training step, and steps of each round at least, so that a small sample is passed more often.
 BATCH = 128
@@ -55,6 +57,7 @@ class Encoded:
         hashes = words.hashes(lower=True)
         self.hash, one, self.word = np.unique(hashes, return_index=True, return_inverse=True)
         self.first, self.counts, self.rows = words.first, words.counts, words.rows
+        self.data, self.start, self.end = words.data, words.start, words.end
         start, size = words.start[one], (words.end - words.start)[one]
         codes = words.data.astype(np.int64)
         codes[(codes >= 65) & (codes <= 90)] += 32
@@ -80,6 +83,12 @@ class Encoded:
             return np.full(place.shape, -1, np.int64), row
         return np.where(inside, self.word[np.minimum(place, len(self.word) - 1)], -1), row
 
+    def window_text(self, row: int, step: int) -> str:
+        """The words of a window, joined by one blank."""
+        low = int(self.first[row]) + step * STRIDE
+        ends = zip(self.start[low : low + LENGTH].tolist(), self.end[low : min(low + LENGTH, int(self.first[row + 1]))].tolist(), strict=False)
+        return b" ".join(self.data[a:b].tobytes() for a, b in ends).decode()
+
 
 @dataclass
 class ToxicityModel:
@@ -111,61 +120,117 @@ class ToxicityModel:
         return 1.0 / (1.0 + np.exp(-np.clip(best.astype(float), -30, 30)))
 
 
-def _copy_weights(texts: Encoded) -> np.ndarray:
-    """One over the number of sample texts that share the least hash of five neighbouring words: near copies share a weight."""
+@dataclass
+class Telling:
+    """Words in order of their hashes and how much each speaks for the label; rates windows before there is a network."""
+
+    hashes: np.ndarray
+    value: np.ndarray
+
+    def window_logits(self, texts: Encoded, windows: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.hashes, texts.hash), max(len(self.hashes) - 1, 0))
+        value = np.where(self.hashes[at] == texts.hash, self.value[at], 0.0) if len(self.hashes) else np.zeros(len(texts.hash))
+        return np.append(value, -np.inf)[windows].max(1)
+
+
+def copy_keys(column) -> list[int | None]:
+    """The least hash of ``COPY_RUN`` neighbouring words of each text, which near copies share; none for shorter texts."""
     from utterlake.llm.grams import runs
 
-    hashes = texts.hash[texts.word]
-    size = min(5, max(1, len(hashes)))
-    grams = runs(hashes, size)
-    key = np.arange(texts.rows).astype(np.uint64)
-    for r in np.flatnonzero(texts.counts >= size).tolist():
-        key[r] = grams[texts.first[r] : texts.first[r + 1] - size + 1].min()
-    _, group, count = np.unique(key, return_inverse=True, return_counts=True)
-    return 1.0 / count[group]
+    texts = Encoded(column)
+    grams = runs(texts.hash[texts.word], COPY_RUN).view(np.int64)
+    low, n = texts.first.tolist(), texts.counts.tolist()
+    return [int(grams[a : a + k - COPY_RUN + 1].min()) if k >= COPY_RUN else None for a, k in zip(low, n, strict=False)]
 
 
-def learn(texts: Sequence[str], y: np.ndarray, rounds: int = 3, epochs: int = 4, rate: float = 0.02) -> ToxicityModel:
-    """A model from texts and their labels."""
+def word_sums(column, yes: np.ndarray, no: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words by hash, with the weights of the texts of either class that hold them."""
+    texts = Encoded(column)
+    pairs = np.unique(np.repeat(np.arange(texts.rows), texts.counts) * max(len(texts.hash), 1) + texts.word)
+    row, word = np.divmod(pairs, max(len(texts.hash), 1))
+    sums = np.zeros((2, len(texts.hash)), np.int64)
+    for total, weight in zip(sums, (yes, no), strict=True):
+        np.add.at(total, word, weight[row])
+    return texts.hash, sums[0], sums[1]
+
+
+def best_windows(column, seeds: np.ndarray, rater: Telling | ToxicityModel, turn: int) -> tuple[np.ndarray, list[str], list[str]]:
+    """Of all windows of each text: the highest rating, the first window that has it, and one drawn by the text's seed."""
+    from utterlake.llm.grams import mix
+
+    texts = Encoded(column)
+    windows, row = texts.windows()
+    rating = rater.window_logits(texts, windows)
+    begin = np.searchsorted(row, np.arange(texts.rows))
+    count = np.diff(np.append(begin, len(row)))
+    top = np.lexsort((-rating, row))[begin] - begin if texts.rows else begin
+    spare = mix(seeds.astype(np.int64).view(np.uint64) + np.uint64(turn)) % np.maximum(count, 1).astype(np.uint64)
+    chosen = [[texts.window_text(n, int(k)) for n, k in enumerate(steps)] for steps in (top, spare)]
+    return (rating[begin + top] if texts.rows else rating).astype(float), *chosen
+
+
+def weights_of_copies(keys: Sequence[int | None]) -> np.ndarray:
+    """One over the number of texts with the same key."""
+    sizes: dict = {}
+    for k in keys:
+        sizes[k] = sizes.get(k, 0) + 1
+    return np.array([1.0 if k is None else 1.0 / sizes[k] for k in keys])
+
+
+def in_units(weight: np.ndarray) -> np.ndarray:
+    return np.rint(weight * UNIT).astype(np.int64)
+
+
+def train_model(y: np.ndarray, keys: Sequence[int | None], sums: Callable, pick: Callable, rounds: int = 3, epochs: int = 4, rate: float = 0.02) -> ToxicityModel:
+    """A model from labels and copy keys of texts that lie elsewhere.
+
+    ``sums(weight)`` gives the ``word_sums`` of all texts whose words occur in ``LEAST_TEXTS`` of them, by
+    hash, ``pick(rater, turn)`` the ``best_windows`` of all texts.
+    """
     import pyarrow as pa
 
     y = np.asarray(y, float)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(None, np.zeros(0, np.uint64), float((y.sum() + 0.5) / (len(y) + 1)))
-    cut = [t.encode()[:TRAIN_BYTES].decode(errors="ignore") for t in texts]
-    data = Encoded(pa.array(cut, pa.large_string()))
-    weight = _copy_weights(data)
-    pairs = np.unique(np.stack([np.repeat(np.arange(data.rows), data.counts), data.word], 1), axis=0)
-    share = weight[pairs[:, 0]]
-    yes = np.bincount(pairs[:, 1], share * y[pairs[:, 0]], len(data.hash))
-    no = np.bincount(pairs[:, 1], share * (1 - y[pairs[:, 0]]), len(data.hash))
-    own = np.bincount(pairs[:, 1], share, len(data.hash)) >= LEAST_TEXTS
-    vocabulary = data.hash[own]
-    telling = np.where(own, np.log((yes + 0.5) / ((weight * y).sum() + 1)) - np.log((no + 0.5) / ((weight * (1 - y)).sum() + 1)), 0)
+    weight = weights_of_copies(keys)
+    vocabulary, yes, no = sums(weight)
+    value = np.log((yes / UNIT + 0.5) / ((weight * y).sum() + 1)) - np.log((no / UNIT + 0.5) / ((weight * (1 - y)).sum() + 1))
     model = ToxicityModel(gru.new_parameters(len(vocabulary) + 1), vocabulary)
-    known = model.known(data.hash)
-    windows, row = data.windows()
-    begin = np.searchsorted(row, np.arange(data.rows))
-    rating = np.append(telling, -np.inf)[windows].max(1)
-    rng = np.random.default_rng(5)
-    alive = np.ones(data.rows, bool)
+    rater: Telling | ToxicityModel = Telling(vocabulary, value)
     for turn in range(rounds):
-        order = np.lexsort((-rating, row))
-        top = order[begin]
-        spare = begin + rng.integers(0, np.diff(np.append(begin, len(row))))
-        use = np.concatenate([top[alive], spare[alive & (y == 0)]])
-        often = max(epochs, -(-LEAST_STEPS * BATCH // len(use)))
-        gru.train(model.weights, known, data.grams, data.at, windows[use], y[row[use]], weight[row[use]] / weight.mean(), often, rate / (1 + turn), BATCH)
-        rating = model.window_logits(data, windows)
-        best = np.maximum.reduceat(rating, begin)
-        alive = (y == 0) | (best > 0)
+        best, top, spare = pick(rater, turn)
+        alive = (y == 0) | (best > 0) if turn else np.ones(len(y), bool)
         if not (alive & (y == 1)).any():
             alive[:] = True
+        use = np.concatenate([np.flatnonzero(alive), np.flatnonzero(alive & (y == 0))])
+        data = Encoded(pa.array([top[n] for n in np.flatnonzero(alive)] + [spare[n] for n in np.flatnonzero(alive & (y == 0))], pa.large_string()))
+        often = max(epochs, -(-LEAST_STEPS * BATCH // len(use)))
+        gru.train(model.weights, model.known(data.hash), data.grams, data.at, data.windows()[0], y[use], weight[use] / weight.mean(), often, rate / (1 + turn), BATCH)
+        rater = model
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of a sample chosen by hash among labelled documents that are not held out."""
+def frequent(hashes: np.ndarray, yes: np.ndarray, no: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    # Units are rounded, so a word of just as many texts may miss the mark by a few of them.
+    own = np.flatnonzero(yes + no >= LEAST_TEXTS * UNIT - (UNIT >> 16))
+    own = own[np.argsort(hashes[own])]
+    return hashes[own], yes[own], no[own]
+
+
+def learn(texts: Sequence[str], y: np.ndarray, rounds: int = 3, epochs: int = 4, rate: float = 0.02) -> ToxicityModel:
+    """A model from texts in memory and their labels."""
+    import pyarrow as pa
+
+    column, y = pa.array(texts, pa.large_string()), np.asarray(y, float)
+
+    def sums(weight):
+        return frequent(*word_sums(column, in_units(weight * y), in_units(weight * (1 - y))))
+
+    return train_model(y, copy_keys(column), sums, lambda rater, turn: best_windows(column, np.arange(len(y)), rater, turn), rounds, epochs, rate)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
+    """``row, seed, doc_id, label`` and whole ``text`` of a sample chosen by hash among labelled documents that are not held out."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("label"))
     known = known.where("label IN (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     by_hash = F.xxhash64("doc_id", F.lit("sample"))
@@ -174,10 +239,51 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int) -
     rest = known.where("label = 0").orderBy(by_hash, "doc_id").limit(max(1, min(sample, PER_POSITIVE * len(ids))))
     ids += [(r["doc_id"], 0) for r in rest.collect()]
     wanted = docs.sparkSession.createDataFrame(ids, "doc_id bigint, label int")
-    # At most ``2 * sample`` ids are sent to the tasks, and so many texts come back.
+    # At most ``2 * sample`` ids are sent to the tasks, and so many texts are written to scratch.
     found = lean(docs).join(F.broadcast(wanted), "doc_id").where("text IS NOT NULL")
-    rows = found.select("doc_id", F.expr(f"substring(text, 1, {TRAIN_BYTES})").alias("text"), "label").toPandas().sort_values(["doc_id", "text"])
-    return rows["text"].tolist(), rows["label"].to_numpy()
+    return materialize(found.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("doc_id", "text").alias("seed"), "doc_id", "label", "text"), "toxicity-sample")
+
+
+def in_slices(body: Callable):
+    """Arrow batches from ``body(part)``, which gives the columns of a result for a slice of rows."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for low, high in _slices(batch, SLICE_CHARS):
+                columns = body(batch.slice(low, high - low))
+                yield pa.RecordBatch.from_arrays([pa.array(v) if not isinstance(v, pa.Array) else v for v in columns.values()], names=list(columns))
+
+    return run
+
+
+def key_columns(part) -> dict:
+    import pyarrow as pa
+
+    columns = {n: part.column(n) for n in ("row", "seed", "doc_id", "label")}
+    return columns | {"key": pa.array(copy_keys(part.column("text")), pa.int64())}
+
+
+def sum_columns(rows: np.ndarray, yes: np.ndarray, no: np.ndarray):
+    """``rows`` are sorted; ``yes`` and ``no`` are the weights of each."""
+
+    def body(part) -> dict:
+        at = np.searchsorted(rows, part.column("row").to_numpy(zero_copy_only=False))
+        hashes, one, two = word_sums(part.column("text"), yes[at], no[at])
+        return {"hash": hashes.view(np.int64), "yes": one, "no": two}
+
+    return body
+
+
+def window_columns(rater: Telling | ToxicityModel, turn: int):
+    def body(part) -> dict:
+        import pyarrow as pa
+
+        best, top, spare = best_windows(part.column("text"), part.column("seed").to_numpy(zero_copy_only=False), rater, turn)
+        return {"row": part.column("row"), "best": best, "top": pa.array(top, pa.string()), "spare": pa.array(spare, pa.string())}
+
+    return body
 
 
 def score_rows(model: ToxicityModel, names: Sequence[str], carry_text: bool):
@@ -196,7 +302,27 @@ def score_rows(model: ToxicityModel, names: Sequence[str], carry_text: bool):
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
-    return learn(*training_rows(docs, labels, label, sample))
+    rows = training_rows(docs, labels, label, sample)
+    keys = rows.mapInArrow(in_slices(key_columns), "row long, seed long, doc_id long, label int, key long").collect()
+    keys.sort(key=lambda r: (r["doc_id"], r["seed"], r["row"]))
+    y = np.array([r["label"] for r in keys], float)
+    numbers = np.array([r["row"] for r in keys], np.int64)
+    order = np.argsort(numbers)
+
+    def sums(weight):
+        body = sum_columns(numbers[order], in_units(weight * y)[order], in_units(weight * (1 - y))[order])
+        parts = rows.mapInArrow(in_slices(body), "hash long, yes long, no long")
+        # The same mark as in ``frequent``, so that only words with a vector come back.
+        found = parts.groupBy("hash").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+        table = found.where(F.col("yes") + F.col("no") >= LEAST_TEXTS * UNIT - (UNIT >> 16)).toPandas()
+        return frequent(table["hash"].to_numpy(np.int64).view(np.uint64), table["yes"].to_numpy(np.int64), table["no"].to_numpy(np.int64))
+
+    def pick(rater, turn):
+        parts = rows.mapInArrow(in_slices(window_columns(rater, turn)), "row long, best double, top string, spare string")
+        table = parts.toPandas().set_index("row").loc[numbers]
+        return table["best"].to_numpy(float), table["top"].tolist(), table["spare"].tolist()
+
+    return train_model(y, [r["key"] for r in keys], sums, pick)
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, keep: Sequence[str] = (), carry_text: bool = False) -> DataFrame:
