@@ -285,6 +285,27 @@ def test_samples_follow_the_distribution():
     assert abs(total - 1) < 0.02  # weights by inclusion probability are unbiased
 
 
+def all_segmentations(pieces, data):
+    if not data:
+        return [()]
+    fit = [n for n, p in enumerate(pieces.bytes) if n > 258 and p and data.startswith(p)]
+    return [(n, *rest) for n in fit for rest in all_segmentations(pieces, data[len(pieces.bytes[n]) :])]
+
+
+@pytest.mark.parametrize("text", ["a   b", "  in", "on  ", "in    a", "     "])
+def test_runs_of_blanks_equal_the_whole_vocabulary(text):
+    path = sp.vocabulary()
+    pieces = sp.load_pieces(path)
+    ways = all_segmentations(pieces, b" " + text.encode())
+    weight = np.array([sum(pieces.weight[i] for i in w) for w in ways])
+    p = dict(zip(ways, np.exp(weight - np.logaddexp.reduce(weight)), strict=True))
+    assert any(b"  " in pieces.bytes[i] for w in ways for i in w)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2, 3], pa.int64()), "text": pa.array(["x ", text, "  y"])})
+    rows = [r for b in sp.sample_rows(path, len(ways) + 1, 1.0, 5)([batch]) for r in b.to_pylist() if r["doc_id"] == 2]
+    assert {tuple(r["ids"]) for r in rows} == set(ways) and len(rows) == len(ways)
+    assert all(abs(math.exp(r["log_probability"]) - p[tuple(r["ids"])]) < 1e-9 and r["log_inclusion"] == 0 for r in rows)
+
+
 def test_round_trip_and_seeds(spark, table, edge_rows):
     docs = table(edge_rows + [(11, "  two  blanks ☃\r\n\ttab"), (12, "x")])
     path = sp.vocabulary()

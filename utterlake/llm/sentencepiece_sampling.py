@@ -1,9 +1,10 @@
 """SentencePiece encoding by Gumbel top-k sampling without replacement, and decoding.
 
 A text is a lattice: positions between bytes, and an edge for every piece of the vocabulary that stands
-there; characters without a piece of their own are spelled by byte pieces. No piece reaches over the start
-of a word, so the lattice of a text is a chain of word lattices, and each distinct word's is built once for
-a slice of rows. The vocabulary is a merge list, so an edge weighs a power of its rank, ``(rank + 2) **
+there; characters without a piece of their own are spelled by byte pieces. A word starts at the first of a
+run of blanks. No piece has a blank behind another character, so none reaches over the start of a word (a
+vocabulary with such a piece is refused), the lattice of a text is a chain of word lattices, and each
+distinct word's is built once for a slice of rows. The vocabulary is a merge list, so an edge weighs a power of its rank, ``(rank + 2) **
 -POWER``, and a segmentation the product of its edges.
 
 Sums over all ways to the end of a word give each edge its probability. Sampling is a search for the
@@ -58,9 +59,10 @@ class Pieces:
                 self.bytes[n], self.byte_id[value] = bytes([value]), n
             elif not (model.is_control(n) or model.is_unknown(n)):
                 self.bytes[n] = piece.replace(BLANK, " ").encode()
-                if BLANK not in piece[1:]:
-                    texts.append(self.bytes[n])
-                    ids.append(n)
+                if BLANK in piece.lstrip(BLANK):
+                    raise ValueError(f"piece {n} has a blank behind another character: {piece!r}")
+                texts.append(self.bytes[n])
+                ids.append(n)
         rank = np.array([max(0.0, -model.get_score(n)) for n in range(size)])
         self.weight = -power * np.log(rank + 2)
         self.weight[self.byte_id] = -power * np.log(size + 2)
@@ -158,6 +160,14 @@ class Lattice:
         sums = np.cumsum(self.p)
         first = np.searchsorted(node, node)
         self.low = sums - self.p - (sums[first] - self.p[first])
+        # What the other edges of the node have, added up where one minus the largest would lose small ones.
+        heads = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
+        self.rest = 1.0 - self.p
+        if len(heads):
+            most = np.lexsort((-self.p, node))[heads]
+            others = self.p.copy()
+            others[most] = 0.0
+            self.rest[most] = np.add.reduceat(others, heads)
         self.node = node
         self.key = node + self.low + self.p
         last = np.append(node[1:] != node[:-1], True) if len(node) else np.zeros(0, bool)
@@ -222,11 +232,9 @@ def top_k(lattice: Lattice, words: np.ndarray, k: int, rng) -> tuple[list[tuple[
         # The parts that are left: another edge at the branch, or at any later place.
         prefix = np.concatenate([[0.0], np.cumsum(logs)])
         with np.errstate(divide="ignore"):
-            mass = prefix[first:-1] + np.log(np.maximum(1 - lattice.p[path[first:]], 0.0))
+            mass = prefix[first:-1] + np.log(lattice.rest[path[first:]])
             if barred and len(path):
-                mass[0] = prefix[first] + np.log(max(0.0, 1 - sum(lattice.p[e] for e in barred) - lattice.p[path[first]]))
-        tight = np.exp(mass - prefix[first:-1]) < 1e-9 if len(mass) else np.zeros(0, bool)
-        mass[tight] = -np.inf
+                mass[0] = prefix[first] + np.log(lattice.p[edges[edges != path[first]]].sum())
         scores = _below(mass, score, rng) if len(mass) else mass
         # Only the best parts can be opened or give the threshold.
         for n in np.argsort(-scores, kind="stable")[: k + 1 - len(out)].tolist():
@@ -250,10 +258,13 @@ def sample_rows(path: str, k: int, power: float, seed: int):
             for begin, stop in _slices(batch, SLICE_CHARS):
                 part = batch.slice(begin, stop - begin)
                 texts = pc.replace_substring(pc.fill_null(part.column("text"), ""), BLANK, " ")
-                # A blank starts a word, and so does each text: it gets the blank that the model puts before it.
+                # A run of blanks starts a word, and so does each text: it gets the blank that the model puts before it.
                 whole = Words(pc.binary_join_element_wise(" ", texts, ""), blank)
                 data, at = whole.data, whole.at
-                starts = np.flatnonzero(data == 32)
+                first_blank = data == 32
+                first_blank[1:] &= data[:-1] != 32
+                first_blank[at[:-1]] = True
+                starts = np.flatnonzero(first_blank)
                 lengths = np.diff(np.append(starts, len(data)))
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
                 strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
