@@ -244,6 +244,46 @@ def test_added_spans_and_redaction(table, prose, edge_rows):
     assert model.spans(None) == [] and model.redact(None) is None
 
 
+def test_formats_that_the_base_patterns_miss(table, prose):
+    rng = random.Random(8)
+    rows = []
+    for n in range(600):
+        number = "".join(rng.choices("0123456789", k=15))
+        number += next(d for d in "0123456789" if pii.luhn(number + d))
+        kind = [f"a{n}@mail{n % 9}.example.com", f"10.{n % 256}.3.4", number, f"+1 ({rng.randint(200, 999)}) 555-{n:04d}", f"{n} 12", f"{rng.randint(10**7, 10**9)}"][n % 6]
+        rows.append((n, prose(n, 12) + " " + kind + " " + prose(n + 1, 5)))
+    model = pii.fit_pii(table(rows))
+    planted = [
+        ("phone", "555-123-4567"),
+        ("phone", "(555) 123-4567"),
+        ("phone", "555 123 4567"),
+        ("phone", "555.123.4567"),
+        ("email", "joe@intranet"),
+        ("card", "4111 - 1111 - 1111 - 1112"),
+    ]
+    for kind, body in planted:
+        for n in range(3):
+            before = prose(900 + n, 8) + " "
+            text = before + body + " " + prose(950 + n, 8)
+            assert pii.base_spans(text) == []
+            assert [s[:3] for s in model.spans(text)] == [(kind, len(before), len(before) + len(body))], text
+    for body in ("12", "1984", "12345678", "in 1999 2000 and"):
+        assert model.spans(prose(990, 8) + " " + body + " " + prose(991, 8)) == []
+
+
+def test_labels_from_context_and_format():
+    def label(text, kind, body):
+        a = text.index(body)
+        return pii.weak_label(text, (kind, a, a + len(body)), set(pii.base_spans(text)))
+
+    assert label("tel: 555-123-4567 x", "phone", "555-123-4567") == 1
+    assert label("tel (555) 123-4567 x", "phone", "(555) 123-4567") == 1
+    assert label("mail joe@host x", "email", "joe@host") == 1
+    assert label("see 555-123-4567 x", "phone", "555-123-4567") is None
+    assert label("x +1 (555) 555-0123 y", "phone", "(555) 555-0123") == 0
+    assert label("x +1 (555) 555-0123 y", "phone", "+1 (555) 555-0123") == 1
+
+
 def test_personal_data_of_no_documents(table):
     model = pii.fit_pii(table([]))
     assert pii.find_pii(table([]), model).count() == 0

@@ -9,7 +9,10 @@ check; calibrated probabilities at or above ``THRESHOLD`` make added spans, best
 they overlap no span that stands. Spans that the base patterns find always stand.
 
 Labels are weak: an address, number or telephone number counts as found if a base pattern finds just that
-span, a secret if an assignment to a telling name stands before it.
+span, or if its format is plausible and a word of its kind (tel, mail, card) stands before it, a secret
+if an assignment to a telling name does. To learn what the base patterns miss, base spans are also written
+in other ways in their place: telephone numbers without their country code, addresses without the dot,
+card numbers with wide separators. Candidates in such formats that nothing speaks for are left out.
 
 A null or empty text has no spans and an empty redacted text (null stays null). Repeated rows are
 handled one by one. An empty table gives an empty result; a sample with one class only adds no spans.
@@ -45,6 +48,17 @@ _RUN = re.compile(r"\+?\(?[0-9](?:[ ().-]{0,3}[0-9])+")
 _LONG = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
 _AFTER = re.compile(r"[A-Za-z0-9.-]+")
 _NAMED = re.compile(r"(?i)(?:token|secret|password|passwd|api[_-]?key|key)[\"']?\s*[=:]\s*[\"']?$")
+#: Digits that a run of digits goes on with, on either side of a candidate.
+_RUN_BEFORE = re.compile(r"[0-9+][ ().-]{0,3}$")
+_RUN_AFTER = re.compile(r"[ ().-]{0,3}[0-9]")
+_HOST = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+")
+_NATIONAL = re.compile(r"\(?[0-9]{2,4}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}")
+_WIDE = re.compile(r"[0-9]{4}(?:[ -]{2,3}[0-9]{1,4}){3,4}")
+_CONTEXT = {
+    "email": re.compile(r"(?i)mail\W*(?:to\W*)?$"),
+    "card": re.compile(r"(?i)(?:card|visa)\W*$"),
+    "phone": re.compile(r"(?i)(?:tel|phone|call|fax)[^\w(]*$"),
+}
 
 
 def luhn(digits: str) -> bool:
@@ -96,7 +110,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
             after = _AFTER.match(text, at + 1)
             last = at + 1
             if begin < at and after:
-                out.append(("email", begin, after.end()))
+                out.append(("email", begin, at + 1 + len(after.group().rstrip(".-"))))
     if _DIGIT.search(text):
         for m in _RUN.finditer(text):
             run, begin = m.group(), m.start()
@@ -154,12 +168,69 @@ def describe(text: str, span: tuple[str, int, int]) -> list[float]:
         float(letters and all(c in "0123456789abcdefABCDEF" for c in body)),
         float(len(set(body))),
         float(bool(re.search(r"(?i)(tel|phone|call|fax|mail|card|visa|ip|host|key|token|secret)", before))),
+        float(bool(_RUN_BEFORE.search(before))),
+        float(bool(_RUN_AFTER.match(after))),
     ]
 
 
-def weak_label(text: str, span: tuple[str, int, int], base: set[tuple[str, int, int]]) -> int:
-    kind, a, _ = span
-    return int(bool(_NAMED.search(text[max(0, a - 40) : a]))) if kind == "secret" else int(span in base)
+def plausible(text: str, span: tuple[str, int, int]) -> bool:
+    """A format that the base patterns do not look for and that may well be of its kind."""
+    kind, a, b = span
+    body = text[a:b]
+    if kind == "email":
+        return bool(_HOST.fullmatch(body))
+    if kind == "ip" or _RUN_BEFORE.search(text[max(0, a - 8) : a]) or _RUN_AFTER.match(text[b : b + 8]):
+        return False
+    return bool((_NATIONAL if kind == "phone" else _WIDE).fullmatch(body)) if kind in ("phone", "card") else False
+
+
+def weak_label(text: str, span: tuple[str, int, int], base: set[tuple[str, int, int]]) -> int | None:
+    """1 or 0, None if nothing tells."""
+    kind, a, b = span
+    if kind == "secret":
+        return int(bool(_NAMED.search(text[max(0, a - 40) : a])))
+    if span in base or any(x < b and a < y for _, x, y in base):
+        return int(span in base)
+    if plausible(text, span):
+        return 1 if _CONTEXT[kind].search(text[max(0, a - 24) : a]) else None
+    return 0
+
+
+def rewritten(text: str, span: tuple[str, int, int]) -> list[str]:
+    """Other ways to write a base span, which the base patterns do not find."""
+    kind, a, b = span
+    body = text[a:b]
+    if kind == "email":
+        local, _, domain = body.partition("@")
+        return [f"{local}@{domain.split('.')[0]}"]
+    if kind == "card":
+        digits = re.sub("[^0-9]", "", body)
+        return [" - ".join(digits[n : n + 4] for n in range(0, len(digits), 4))]
+    if kind == "phone":
+        digits = re.sub("[^0-9]", "", body)[-10:]
+        parts = [digits[:-7], digits[-7:-4], digits[-4:]]
+        if len(parts[0]) < 2:
+            return []
+        return ["-".join(parts), " ".join(parts), ".".join(parts), f"({parts[0]}) {parts[1]}-{parts[2]}"]
+    return []
+
+
+def examples(text: str):
+    """Labels and features of the candidates of a text, and of its base spans written in other ways."""
+    base = set(base_spans(text))
+    for span in candidates(text):
+        label = weak_label(text, span, base)
+        if label is not None:
+            yield label, describe(text, span)
+    for kind, a, b in sorted(base):
+        for body in rewritten(text, (kind, a, b)):
+            before = text[max(0, a - 40) : a]
+            near, own = before + body + text[b : b + 40], (kind, len(before), len(before) + len(body))
+            if own in base_spans(near):
+                continue
+            for span in candidates(near):
+                if span[1] < own[2] and own[1] < span[2] and span[0] != "secret":
+                    yield int(span == own), describe(near, span)
 
 
 @dataclass
@@ -209,11 +280,10 @@ def candidate_rows():
             keys, labels, features = [], [], []
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if text:
-                    base = set(base_spans(text))
-                    for span in candidates(text):
+                    for label, values in examples(text):
                         keys.append(key)
-                        labels.append(weak_label(text, span, base))
-                        features.append(describe(text, span))
+                        labels.append(label)
+                        features.append(values)
             columns = [pa.array(keys, pa.int64()), pa.array(labels, pa.int32()), pa.array(features, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "features"])
 
@@ -228,7 +298,7 @@ def fit_pii(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, threshold: float =
     found = some.mapInArrow(candidate_rows(), "doc_id long, label int, features array<double>")
     table = found.orderBy(F.xxhash64("doc_id"), "label", "features").limit(limit).toPandas()
     if not len(table):
-        return PiiModel(fit_boosted(np.zeros((0, 24)), np.zeros(0), np.zeros(0, bool)), threshold)
+        return PiiModel(fit_boosted(np.zeros((0, 26)), np.zeros(0), np.zeros(0, bool)), threshold)
     x = np.array(table["features"].tolist(), float)
     calibrate = ((table["doc_id"].fillna(0).to_numpy().astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(62)) == 0
     return PiiModel(fit_boosted(x, table["label"].to_numpy(), calibrate), threshold)
