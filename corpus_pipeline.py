@@ -4,8 +4,9 @@ Every stage takes ``(spark, docs, sf_dir)``; all but the last return the columns
 result is written as Parquet and read again for the next one.
 
 1. toxicity: texts with a score of 0.5 or more go; all others stay, null and empty ones too.
-2. near_duplicates: of each group of documents linked by 5-word runs the smallest id stays. Rows that share
-   an id are one document, of which the first by text stays; rows without an id cannot be named and stay.
+2. near_duplicates: of each group of texts linked by 5-word runs the row with the smallest id stays, of rows
+   that share it the first by a hash of id and text. Rows that share an id but are not linked all stay. Of rows
+   equal in id and text one stays, and of texts without words one for each id; rows without an id stay.
 3. substring_dedup: words of passages of 20 words that occur earlier are cut out of the texts; a text that
    loses none keeps its blanks, one that loses all stays as an empty one.
 4. pii: spans of personal data are replaced by their kind in brackets.
@@ -46,10 +47,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select(*COLUMNS)
-    named = rows.where("doc_id IS NOT NULL")
-    kept = jaccard_components(named).where("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    stay = named.join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    # A row is named by its id and text, as ids may be repeated with other texts.
+    named = rows.where("doc_id IS NOT NULL").withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = jaccard_components(named.select(F.col("_key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_key").distinct()
+    linked = found.join(named.select("_key", "doc_id").distinct(), "_key")
+    groups = linked.groupBy(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.when(F.col("n_shingles") == 0, F.col("doc_id")))
+    kept = groups.agg(F.min(F.struct("doc_id", "_key")).alias("_first")).select("_first._key")
+    first = Window.partitionBy("_key").orderBy("lang", "source", "n_chars")
+    stay = named.join(kept, "_key", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1")
     return stay.select(*COLUMNS).union(rows.where("doc_id IS NULL"))
 
 

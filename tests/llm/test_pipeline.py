@@ -61,6 +61,14 @@ def test_stages_take_effect(spark, corpus):
     assert {r["doc_id"] for r in docs.collect()} == set(kept["pii"])
 
 
+def test_rows_that_share_an_id_but_no_group_all_stay(spark, table, prose):
+    one, two, three, four = (prose(n, 50) for n in (41, 42, 43, 44))
+    rows = [(3, one), (5, one + " more"), (5, two), (6, three), (6, four), (6, four), (7, three), (8, None), (8, None), (9, ""), (None, one)]
+    kept = cp.near_duplicates(spark, table(rows), "").collect()
+    want = [(3, one), (5, two), (6, three), (6, four), (8, None), (9, ""), (None, one)]
+    assert sorted([(r["doc_id"], r["text"]) for r in kept], key=str) == sorted(want, key=str)
+
+
 def test_run_and_an_empty_table(spark, corpus):
     assert cp.run(spark, corpus).columns[:6] == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id"]
     empty = spark.read.parquet(f"{corpus}/documents.parquet").limit(0)
