@@ -98,6 +98,29 @@ def test_links_equal_brute_force(table, prose, edge_rows):
     assert found_components(jaccard_components(table(rows), block_chars=3_000)) == brute_components(rows)
 
 
+def mixed(template, seed, share, prose):
+    """The template with stretches of other words in place of a share of it."""
+    words, other = template.split(), prose(seed, len(template.split())).split()
+    at = 0
+    while at < len(words):
+        n = 10 + (seed * 7 + at) % 31
+        if (seed * 31 + at * 17) % 100 < share:
+            words[at : at + n] = other[at : at + n]
+        at += n
+    return " ".join(words)
+
+
+def test_long_texts_of_one_template(table, prose):
+    """Texts of 1,000 to 5,000 words around the threshold: most share a template and do not link, some do."""
+    rows = []
+    for length, share in ((1000, 12), (1000, 8), (2500, 10), (5000, 14)):
+        template = prose(length + share, length)
+        rows += [(len(rows) + n, mixed(template, 3 * len(rows) + n, share, prose)) for n in range(10)]
+    want = brute_components(rows)
+    assert 1 < len({c for _, _, c in want}) < len(rows)
+    assert found_components(jaccard_components(table(rows), block_chars=100_000, tile_block=3)) == want
+
+
 def test_thresholds_are_exact(table):
     words = [f"w{n}" for n in range(200)]
     for cut in range(150, 170):  # around 75 percent of the union

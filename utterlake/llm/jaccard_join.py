@@ -6,18 +6,20 @@ documents link when ``100 * common >= percent * union``. The result is exact up
 * Documents with equal sets are one node. Texts are dealt to blocks; one exchange of the texts serves
   both passes over them.
 * Tiles. Sets that link share a number of their first runs in any common order (``prefixes``), and their
-  sizes differ by no more than the threshold. A tile is one such run and one band of sizes; a set lies in
-  the tiles of its band and of the next one, if enough of its first runs are shared at all. Runs that the
-  same sets hold make one tile. The order is by hash, with runs last that occur
-  in many documents of a sample: this decides how large tiles get, never which pairs are found.
+  sizes differ by no more than the threshold. Two sets that share a hundred of these runs need not meet a
+  hundred times: the sets of a run are named by two min-hashes over them, so runs that about the same sets
+  hold have one name, and a tile is one such name and one band of sizes. Sets of a run are always in one
+  tile together; a set lies in the tiles of its band and of the next one, if enough of its first runs are
+  shared at all. The order is by hash, with runs last that occur in many documents of a sample: this
+  decides how large tiles get, never which pairs are found.
 * Links inside a tile are followed, not listed: in each turn a component is compared with the likeliest of
   a few sets of its tiles that are not in it yet, until few turn out to link. Then every pair of a tile
-  that is still in two components is compared. Pairs inside a component need no comparison, so a group of thousands of
-  near copies costs a few pairs for each of them.
-* A pair is first bounded by its signatures: a bit set in one and not in the other is a run that they do
-  not share. Short bitmaps travel with the sets of a tile and keep most pairs from being made; pairs
-  that are left meet bitmaps with at least four bits for each run, and only those that may still link
-  load their sorted arrays.
+  that is still in two components is compared; large tiles are cut into blocks, and each pair of blocks is
+  a key of its own. Pairs inside a component need no comparison, so a group of thousands of near copies
+  costs a few pairs for each of them.
+* A pair is bounded by its signatures: a bit set in one and not in the other is a run that they do not
+  share. Bitmaps of a fixed size keep most pairs from being made, bitmaps with four bits or more for each run of
+  the tile's largest set nearly all others, and only pairs that may still link load their sorted arrays.
 
 Null texts and texts without words have an empty set, link with nothing and are their own component.
 A text with fewer words than ``size`` is one run. Repeated rows stay rows and share their component.
@@ -27,12 +29,13 @@ An empty table gives an empty result; extra columns are left out.
 from __future__ import annotations
 
 import numpy as np
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from utterlake.llm.components import components
-from utterlake.llm.tables import lean, read, text_parts
+from utterlake.llm.grams import Words, inside, mix, runs
+from utterlake.llm.tables import keyed_table, lean, read, text_parts
 from utterlake.session import materialize
 
 SIZE = 5
@@ -48,16 +51,12 @@ AGREED_OF = 16
 SHORT_WORDS = 8
 #: Sets of a tile that its other sets are compared with in a turn; turns end when fewer than one pair in WORTH links.
 PIVOTS, WORTH = 4, 20
-#: Bits of a set's digest that travel with its runs, beside the block number.
-OWNER_BITS = 39
+#: Sets of a block, when a tile is cut into pairs of blocks.
+TILE_BLOCK = 4_000
 
 
 def block_sets(table, size: int):
     """Sorted distinct runs of each row, as one array with offsets, and a digest of each set."""
-    import numpy as np
-
-    from utterlake.llm.grams import Words, inside, mix, runs
-
     words = Words(table["text"])
     hashes = words.hashes(lower=True)
     whole = inside(words, size)
@@ -93,8 +92,6 @@ def prefixes(row, grams, at, percent: int, frequent):
 
     The first runs that two linked sets have in common, as many as the smaller set asks for, stand there in both.
     """
-    import numpy as np
-
     n = np.diff(at)
     length = spare(n, percent) + agreed(n)
     late = np.isin(grams, frequent)
@@ -107,9 +104,6 @@ def prefixes(row, grams, at, percent: int, frequent):
 
 def sample_runs(size: int):
     def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
         for batch in batches:
             if batch.num_rows:
                 _, grams, _, _ = block_sets(pa.Table.from_batches([batch]), size)
@@ -129,50 +123,42 @@ def frequent_runs(docs: DataFrame, size: int) -> list[int]:
 
 def run_rows(size: int, percent: int, frequent):
     def run(key, table):
-        import numpy as np
-        import pyarrow as pa
-
         row, grams, at, digest = block_sets(table, size)
         first = prefixes(row, grams, at, percent, frequent)
-        grams, owner = grams[first], digest[row[first]].view(np.uint64) >> np.uint64(64 - OWNER_BITS)
+        grams, owner = grams[first], digest[row[first]]
         order = np.lexsort((owner, grams))
-        grams, owner = grams[order], owner[order].astype(np.int64)
+        grams, owner = grams[order], owner[order]
         # Of all sets that hold a run here, the first and the last: enough to see whether it is shared.
         same = grams[1:] == grams[:-1]
         head, tail = np.append(True, ~same)[: len(grams)], np.append(~same, True)[: len(grams)]
         head_owner = owner[np.maximum.accumulate(np.where(head, np.arange(len(grams)), 0))] if len(grams) else owner
         use = head | (tail & (owner != head_owner))
-        place = pa.array((key[0].as_py() << OWNER_BITS) | owner[use])
-        return pa.table({"run": pa.array(grams[use].view(np.int64)), "place": place})
+        block = pa.array(np.full(int(use.sum()), key[0].as_py(), np.int64))
+        return pa.table({"run": pa.array(grams[use].view(np.int64)), "block": block, "owner": pa.array(owner[use])})
 
     return run
 
 
-def signature(runs):
-    """A bitmap of a power of two bits, four at least for each run."""
-    import numpy as np
+def band_of(n, percent: int):
+    """The band of sizes; sets that may link lie in one band or in neighbouring ones."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(100 / percent) + 1e-9).astype(np.int32)
 
-    bits = max(64, 1 << (4 * len(runs) - 1).bit_length())
-    flags = np.zeros(bits, bool)
-    flags[(runs % np.uint64(bits)).astype(np.int64)] = True
-    return np.packbits(flags, bitorder="little").tobytes()
 
+def band_words(band: int, percent: int) -> int:
+    """Numbers of 64 bits in the bitmaps of a band: a power of two, four bits at least for each run of its largest set."""
+    largest = (100 / percent) ** (band + 1)
+    return max(SHORT_WORDS, 1 << max(0, int(np.ceil(np.log2(4 * largest / 64)))))
 
-def short_signature(runs):
-    """A bitmap of ``SHORT_WORDS`` numbers of 64 bits."""
-    import numpy as np
 
-    place = (runs >> np.uint64(40)) % np.uint64(64 * SHORT_WORDS)
-    flags = np.zeros(64 * SHORT_WORDS, bool)
-    flags[place.astype(np.int64)] = True
+def bitmap(places, words: int):
+    """Bits at ``places`` (modulo the size) as ``words`` numbers of 64 bits; a longer bitmap folds into a shorter one by OR of its halves."""
+    flags = np.zeros(64 * words, bool)
+    flags[(places % np.uint64(64 * words)).astype(np.int64)] = True
     return np.packbits(flags, bitorder="little").view(np.int64)
 
 
 def set_rows(size: int, percent: int, frequent):
     def run(key, table, shared):
-        import numpy as np
-        import pyarrow as pa
-
         row, grams, at, digest = block_sets(table, size)
         wanted = np.unique(shared["run"].to_numpy()).view(np.uint64)
         first = np.flatnonzero(prefixes(row, grams, at, percent, frequent))
@@ -183,22 +169,28 @@ def set_rows(size: int, percent: int, frequent):
         lead = np.zeros(len(digest), bool)
         lead[one] = True
         lead &= enough & (n > 0)
-        tiles, sets, signs, short = [], [], [], []
+        tiles, sets, signs, short, half = [], [], [], [], []
+        bands = band_of(n, percent)
         begin, end = np.searchsorted(row[hit], np.arange(len(n))), np.searchsorted(row[hit], np.arange(1, len(n) + 1))
         for k in range(len(n)):
-            own = grams[at[k] : at[k + 1]]
+            own, band = grams[at[k] : at[k + 1]], int(bands[k])
+            # As long as the next band asks for; sets are folded for their own band if that takes half.
+            words = band_words(band + 1, percent)
             tiles.append(grams[hit[begin[k] : end[k]]].view(np.int64) if lead[k] else None)
             sets.append(own.view(np.int64) if lead[k] else None)
-            signs.append(signature(own) if lead[k] else None)
-            short.append(short_signature(own) if lead[k] else None)
+            signs.append(bitmap(own, words) if lead[k] else None)
+            short.append(bitmap(own >> np.uint64(40), SHORT_WORDS) if lead[k] else None)
+            half.append(band_words(band, percent) < words)
         return pa.table(
             {
                 "doc_id": table["doc_id"],
                 "node": pa.array(digest),
                 "n_shingles": pa.array(n.astype(np.int64)),
+                "band": pa.array(bands),
                 "tiles": pa.array(tiles, pa.list_(pa.int64())),
                 "runs": pa.array(sets, pa.list_(pa.int64())),
-                "bits": pa.array(signs, pa.binary()),
+                "bits": pa.array(signs, pa.list_(pa.int64())),
+                "half": pa.array(half, pa.bool_()),
                 "short": pa.array(short, pa.list_(pa.int64())),
             }
         )
@@ -209,24 +201,21 @@ def set_rows(size: int, percent: int, frequent):
 def bounded(percent: int):
     """Keeps pairs whose signatures allow a link."""
 
-    def may(bits_a, bits_b, a, b):
-        import numpy as np
-
-        one, two = np.frombuffer(bits_a, np.uint8), np.frombuffer(bits_b, np.uint8)
+    def may(one, two, a, b):
         while len(one) > len(two):
             one = one[: len(one) // 2] | one[len(one) // 2 :]
         while len(two) > len(one):
             two = two[: len(two) // 2] | two[len(two) // 2 :]
-        both = np.bitwise_count(one & two).sum()
-        common = min(a - int(np.bitwise_count(one).sum() - both), b - int(np.bitwise_count(two).sum() - both))
+        both = int(np.bitwise_count(one & two).sum())
+        common = min(a - int(np.bitwise_count(one).sum()) + both, b - int(np.bitwise_count(two).sum()) + both)
         return 100 * common >= percent * (a + b - common)
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
-            names = ("a_bits", "b_bits", "a_n", "b_n")
-            keep = [may(*pair) for pair in zip(*[batch.column(n).to_pylist() for n in names], strict=True)]
+            sizes = zip(batch.column("a_n").to_pylist(), batch.column("b_n").to_pylist(), strict=True)
+            signs = zip(batch.column("a_bits"), batch.column("b_bits"), strict=True)
+            views = ((a.values.to_numpy().view(np.uint64), b.values.to_numpy().view(np.uint64)) for a, b in signs)
+            keep = [may(*pair, *size) for pair, size in zip(views, sizes, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -234,11 +223,7 @@ def bounded(percent: int):
 
 def exact(percent: int):
     """Keeps pairs that link, by intersection of their sorted arrays."""
-
     def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
         for batch in batches:
             keep = []
             for left, right in zip(batch.column("a_runs"), batch.column("b_runs"), strict=True):
@@ -254,30 +239,27 @@ def _side(nodes: DataFrame, side: str, *columns: str) -> DataFrame:
     return nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns])
 
 
-def linked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` that link: bounded by signatures, then compared exactly."""
-    signed = pairs.join(_side(nodes, "a", "n", "bits"), "a").join(_side(nodes, "b", "n", "bits"), "b")
-    near = materialize(signed.mapInArrow(bounded(percent), "a long, b long"), "near-pairs")
+def linked(pairs: DataFrame, nodes: DataFrame, percent: int, signed: bool = False) -> DataFrame:
+    """The pairs ``a, b`` that link: bounded by signatures unless ``signed``, then compared exactly."""
+    near = pairs
+    if not signed:
+        both = pairs.join(_side(nodes, "a", "n", "bits"), "a").join(_side(nodes, "b", "n", "bits"), "b")
+        near = materialize(both.mapInArrow(bounded(percent), "a long, b long"), "near-pairs")
     full = near.join(_side(nodes, "a", "runs"), "a").join(_side(nodes, "b", "runs"), "b")
     return materialize(full.mapInArrow(exact(percent), "a long, b long"), "links")
 
 
-def distinct_tiles(rows: DataFrame, percent: int) -> DataFrame:
-    """Tiles ``run, band, node, n`` from ``node, n, run``: runs held by the same sets make one tile, runs of one set none."""
-    held = rows.groupBy("run").agg(F.count(F.lit(1)).alias("_m"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("_s")).where("_m > 1")
-    kept = held.groupBy("_m", "_s").agg(F.min("run").alias("run")).select("run")
-    # Sizes that may link lie in one band or in neighbouring ones.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + F.lit(1e-9)).cast("int")
-    placed = rows.join(kept, "run").select("run", F.explode(F.array(band, band + 1)).alias("band"), "node", "n")
-    return materialize(placed, "tiles")
+def distinct_tiles(rows: DataFrame) -> DataFrame:
+    """Tiles ``tile, band, node, n`` from ``node, n, band, run``: runs that about the same sets hold make one tile, runs of one set none."""
+    names = [F.min(F.xxhash64("node", F.lit(k))).alias(f"_m{k}") for k in range(2)]
+    held = rows.groupBy("run").agg(F.count(F.lit(1)).alias("_n"), *names).where("_n > 1").select("run", F.xxhash64("_m0", "_m1").alias("_name"))
+    members = rows.join(held, "run").select("_name", "node", "n", "band").distinct()
+    placed = members.select("_name", "node", "n", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    return materialize(placed.select(F.xxhash64("_name", "band").alias("tile"), "band", "node", "n"), "tiles")
 
 
-def bound_by_bits(percent: int) -> str:
-    """Whether sets x and y may link: bits of one that the other lacks are runs that they do not share."""
-    lacks = {
-        a: " + ".join(f"bit_count({a}.s{k} & ~{b}.s{k})" for k in range(SHORT_WORDS)) for a, b in (("x", "y"), ("y", "x"))
-    }
-    common = f"least(x.n - ({lacks['x']}), y.n - ({lacks['y']}))"
+def may_link(common: str, percent: int) -> str:
+    """Whether sets x and y may link if they share no more runs than ``common``."""
     return f"{100 + percent} * {common} >= {percent} * (x.n + y.n)"
 
 
@@ -290,18 +272,18 @@ def _placed(tiles: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """Rows of tiles whose sets lie in two components or more."""
-    ends = rows.groupBy("run", "band").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h")
-    return rows.join(ends.select("run", "band"), ["run", "band"])
+    """Rows of tiles whose sets lie in two components or more, with the number of sets ``held``."""
+    ends = rows.groupBy("tile").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.count(F.lit(1)).alias("held")).where("l <> h")
+    return rows.drop("held").join(ends.select("tile", "held"), "tile")
 
 
 def _best_pairs(rows: DataFrame, nodes: DataFrame, turn: int, percent: int) -> DataFrame:
     """For each component the pair ``a, b`` with a few sets of its tiles, others in each turn, that its signature likes best."""
     compatible = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND x.component <> y.component"
     salts = [F.struct(F.xxhash64("node", F.lit(PIVOTS * turn + k)).alias("h"), "component", "n", "node") for k in range(PIVOTS if turn else 1)]
-    some = rows.groupBy("run", "band").agg(F.array(*[F.min(salt) for salt in salts]).alias("p"))
-    some = some.select("run", "band", F.explode("p").alias("p")).select("run", "band", "p.component", "p.n", "p.node")
-    met = rows.alias("x").join(some.alias("y"), ["run", "band"]).where(compatible)
+    some = rows.groupBy("tile").agg(F.array(*[F.min(salt) for salt in salts]).alias("p"))
+    some = some.select("tile", F.explode("p").alias("p")).select("tile", "p.component", "p.n", "p.node")
+    met = rows.alias("x").join(some.alias("y"), "tile").where(compatible)
     pairs = met.select(F.col("x.component").alias("c"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     signed = pairs.join(_side(nodes, "a", "n", "short"), "a").join(_side(nodes, "b", "n", "short"), "b")
     words = [F.get(f"{side}_short", F.lit(k)).alias(f"{side}{k}") for side in "ab" for k in range(SHORT_WORDS)]
@@ -311,8 +293,34 @@ def _best_pairs(rows: DataFrame, nodes: DataFrame, turn: int, percent: int) -> D
     return split.groupBy("c").agg(F.max(F.struct(score.alias("s"), "a", "b")).alias("p")).select("p.a", "p.b")
 
 
-def follow(tiles: DataFrame, nodes: DataFrame, percent: int) -> DataFrame | None:
-    """Components of all links inside tiles ``run, band, node, n``: ``node, component``, or None without a link."""
+def open_pairs(rows: DataFrame, nodes: DataFrame, percent: int, block: int = TILE_BLOCK) -> DataFrame:
+    """Pairs ``a, b`` of sets of one tile in two components whose bitmaps allow a link, from rows of ``_open``."""
+    signed = rows.join(nodes.select("node", "short", "bits", "half", F.col("band").alias("_own")), "node")
+    count = F.size("bits") / 2
+    halves = [F.slice("bits", start, count.cast("int")) for start in (F.lit(1), (count + 1).cast("int"))]
+    folded = F.zip_with(*halves, lambda a, b: a.bitwiseOR(b))
+    wide = F.when((F.col("_own") == F.col("band")) & F.col("half"), folded).otherwise(F.col("bits"))
+    words = [F.get("short", F.lit(k)).alias(f"s{k}") for k in range(SHORT_WORDS)]
+    ones = F.aggregate("wide", F.lit(0), lambda s, v: s + F.bit_count(v))
+    signed = signed.select("tile", "node", "n", "component", "held", *words, wide.alias("wide")).withColumn("ones", ones)
+    signed = signed.withColumn("short_ones", F.expr(" + ".join(f"bit_count(s{k})" for k in range(SHORT_WORDS))))
+    # A tile of many sets is dealt to blocks; a set goes to each pair of blocks that holds its own.
+    parts = F.ceil(F.col("held") / block)
+    signed = signed.withColumn("own", F.pmod(F.xxhash64("node", "tile"), parts))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other")
+    dealt = signed.select("*", other).withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
+    dealt = materialize(dealt.drop("other", "held", "short", "bits"), "open-sets")
+    compatible = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND x.component <> y.component AND (x.p = x.q OR x.own <> y.own)"
+    near = " + ".join(f"bit_count(x.s{k} & y.s{k})" for k in range(SHORT_WORDS))
+    least = may_link(f"least(x.n - x.short_ones + {near}, y.n - y.short_ones + {near})", percent)
+    full = "aggregate(zip_with(x.wide, y.wide, (a, b) -> bit_count(a & b)), 0, (s, v) -> s + v)"
+    most = may_link(f"({full} + least(x.n - x.ones, y.n - y.ones))", percent)
+    both = dealt.alias("x").join(dealt.alias("y"), ["tile", "p", "q"]).where(F.expr(f"x.node < y.node AND {compatible} AND {least} AND {most}"))
+    return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def follow(tiles: DataFrame, nodes: DataFrame, percent: int, tile_block: int = TILE_BLOCK) -> DataFrame | None:
+    """Components of all links inside tiles ``tile, band, node, n``: ``node, component``, or None without a link."""
     links, labels, turn = None, None, 0
     while True:
         rows = materialize(_open(_placed(tiles, labels)), "open-tiles")
@@ -326,40 +334,36 @@ def follow(tiles: DataFrame, nodes: DataFrame, percent: int) -> DataFrame | None
         if hits * WORTH <= tried:
             break
         tiles, turn = rows.drop("component"), turn + 1
-    rows = _open(_placed(tiles, labels)).join(nodes.select("node", "short"), "node")
-    words = [F.get("short", F.lit(k)).alias(f"s{k}") for k in range(SHORT_WORDS)]
-    rows = materialize(rows.select("run", "band", "node", "n", "component", *words), "open-tiles")
-    compatible = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND x.component <> y.component"
-    may = F.expr(f"x.node < y.node AND {compatible} AND {bound_by_bits(percent)}")
-    both = rows.alias("x").join(rows.alias("y"), ["run", "band"]).where(may)
-    rest = linked(both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), nodes, percent)
+    rows = _open(_placed(tiles.drop("held"), labels))
+    rest = linked(open_pairs(rows, nodes, percent, tile_block), nodes, percent, signed=True)
     if not rest.isEmpty():
         links = rest if links is None else links.union(rest)
         labels = materialize(components(links), "labels")
     return labels
 
 
-def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, size: int = SIZE, percent: int = PERCENT, block_chars: int = BLOCK_CHARS, tile_block: int = TILE_BLOCK
+) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every document."""
     rows = lean(docs)
     frequent = np.array(frequent_runs(rows, size), np.int64).view(np.uint64)
     block = F.pmod(F.xxhash64("doc_id"), F.lit(text_parts(rows, "text", block_chars))).alias("block")
     blocks = rows.select(block, "doc_id", "text")
-    held = blocks.groupBy("block").applyInArrow(run_rows(size, percent, frequent), "run long, place long")
-    owner = F.col("place").bitwiseAND(F.lit((1 << OWNER_BITS) - 1))
+    held = blocks.groupBy("block").applyInArrow(run_rows(size, percent, frequent), "run long, block long, owner long")
     over = Window.partitionBy("run")
-    ends = held.select("run", F.shiftright("place", OWNER_BITS).alias("block"), F.min(owner).over(over).alias("_l"), F.max(owner).over(over).alias("_h"))
+    ends = held.select("run", "block", F.min("owner").over(over).alias("_l"), F.max("owner").over(over).alias("_h"))
     shared = ends.where("_l <> _h").select("block", "run")
-    schema = "doc_id long, node long, n_shingles long, tiles array<long>, runs array<long>, bits binary, short array<long>"
+    schema = "doc_id long, node long, n_shingles long, band int, tiles array<long>, runs array<long>, bits array<long>, half boolean, short array<long>"
     found = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(set_rows(size, percent, frequent), schema)
     sets = materialize(found, "sets")
-    some = sets.where("tiles IS NOT NULL").select("node", F.col("n_shingles").alias("n"), "tiles", "runs", "bits", "short")
-    # Kept by node while rounds go on, so that each of them moves pairs and not sets; lost parts are read again.
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nodes = some.drop("tiles").repartition(parts, "node").dropDuplicates(["node"]).persist(StorageLevel.DISK_ONLY)
-    tiles = distinct_tiles(some.select("node", "n", F.explode("tiles").alias("run")).distinct(), percent)
-    labels = follow(tiles, nodes, percent)
-    nodes.unpersist()
+    some = sets.where("tiles IS NOT NULL").withColumnRenamed("n_shingles", "n")
+    tiles = distinct_tiles(some.select("node", "n", "band", F.explode("tiles").alias("run")).distinct())
+    # Only sets that share a tile with another one are compared; they are written once, dealt by node, so that turns move pairs and not sets.
+    met = tiles.join(tiles.groupBy("tile").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "tile", "left_semi")
+    some = some.select("node", "n", "band", "half", "runs", "bits", "short").join(met.select("node").distinct(), "node", "left_semi")
+    nodes = keyed_table(some.dropDuplicates(["node"]), "node", "set-nodes")
+    labels = follow(tiles, nodes, percent, tile_block)
     lean_sets = sets.select("doc_id", "node", "n_shingles")
     if labels is None:
         named = lean_sets.withColumn("_group", F.col("node"))

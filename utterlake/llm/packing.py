@@ -22,6 +22,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from utterlake.llm.grams import _BLANK, Words
 from utterlake.llm.tables import lean, read
 from utterlake.session import materialize
 
@@ -64,8 +65,6 @@ def _units(words):
     import numpy as np
     import pyarrow as pa
 
-    from utterlake.llm.grams import _BLANK
-
     data = words.data.copy()
     upper = (data >= 65) & (data <= 90)
     data[upper] += 32
@@ -94,8 +93,6 @@ def text_ids(tokenizer, column, end_id: int):
     """Ids of each text followed by ``end_id``, as one array with offsets."""
     import numpy as np
 
-    from utterlake.llm.grams import Words
-
     words = Words(column)
     units, per_word = _units(words)
     coded = units.dictionary_encode()

@@ -29,6 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from utterlake.llm.grams import Words, _byte_codes, _powers, mix
 from utterlake.llm.packing import _slices
 from utterlake.llm.tables import lean, read
 
@@ -45,8 +46,6 @@ class Pieces:
     def __init__(self, path: str, power: float) -> None:
         import sentencepiece
 
-        from utterlake.llm.grams import _byte_codes, _powers, mix
-
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
         self.bytes: list[bytes] = [b""] * size
@@ -250,8 +249,6 @@ def sample_rows(path: str, k: int, power: float, seed: int):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        from utterlake.llm.grams import Words
-
         pieces = load_pieces(path, power)
         blank = np.zeros(256, bool)
         for batch in batches:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from utterlake.session import scratch_path
+
 #: A word is a run of characters other than the space and the ASCII controls 9 to 13.
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
@@ -31,6 +34,16 @@ def text_parts(docs: DataFrame, text: str, chars: int, least: int = 1) -> int:
     return max(least, -(-int(total) // chars))
 
 
+def keyed_table(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` written once to scratch, dealt and sorted by ``key``: joins on it move the other side only."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    writer = df.repartition(parts, key).write.format("parquet").option("path", scratch_path(spark, name))
+    writer.bucketBy(parts, key).sortBy(key).saveAsTable(table)
+    return spark.table(table)
+
+
 def let(value: Column, body) -> Column:
     """``body`` over a value that is computed once, also where ``body`` uses it inside a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

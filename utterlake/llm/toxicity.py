@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from utterlake.llm import gru
+from utterlake.llm.grams import Words, mix, runs
 from utterlake.llm.packing import _slices
 from utterlake.llm.quality_classifier import held_out
 from utterlake.llm.tables import lean, read
@@ -48,8 +49,6 @@ class Encoded:
     """Texts as numbers of distinct words, with each distinct word's hash and character buckets."""
 
     def __init__(self, column) -> None:
-        from utterlake.llm.grams import Words
-
         letters = np.ones(256, bool)
         letters[65:91] = letters[97:123] = False
         letters[128:] = False
@@ -135,8 +134,6 @@ class Telling:
 
 def copy_keys(column) -> list[int | None]:
     """The least hash of ``COPY_RUN`` neighbouring words of each text, which near copies share; none for shorter texts."""
-    from utterlake.llm.grams import runs
-
     texts = Encoded(column)
     grams = runs(texts.hash[texts.word], COPY_RUN).view(np.int64)
     low, n = texts.first.tolist(), texts.counts.tolist()
@@ -156,8 +153,6 @@ def word_sums(column, yes: np.ndarray, no: np.ndarray) -> tuple[np.ndarray, np.n
 
 def best_windows(column, seeds: np.ndarray, rater: Telling | ToxicityModel, turn: int) -> tuple[np.ndarray, list[str], list[str]]:
     """Of all windows of each text: the highest rating, the first window that has it, and one drawn by the text's seed."""
-    from utterlake.llm.grams import mix
-
     texts = Encoded(column)
     windows, row = texts.windows()
     rating = rater.window_logits(texts, windows)
