@@ -1,6 +1,20 @@
 """Queries of this subpackage and their SQL."""
 
-from utterlake.llm import fingerprints, jaccard_join, packing, pii, quality_classifier, quality_rules, sentencepiece_sampling, substring_dedup, toxicity, url_filters
+from utterlake.llm import (
+    alignment,
+    centroids,
+    fingerprints,
+    jaccard_join,
+    minhash_dedup,
+    packing,
+    pii,
+    quality_classifier,
+    quality_rules,
+    sentencepiece_sampling,
+    substring_dedup,
+    toxicity,
+    url_filters,
+)
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -13,10 +27,15 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_pii": pii.op10_pii,
+    "op11_tokenizer_alignment": alignment.op11_tokenizer_alignment,
+    "op12_minhash_dedup": minhash_dedup.op12_minhash_dedup,
+    "op13_centroid_clustering": centroids.op13_centroid_clustering,
 }
 SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
     "op3_url_filters": url_filters.SQL,
     "op5_ngram_jaccard_join": jaccard_join.SQL,
     "op8_quality_rules": quality_rules.SQL,
+    "op12_minhash_dedup": minhash_dedup.SQL,
+    "op13_centroid_clustering": centroids.SQL,
 }
