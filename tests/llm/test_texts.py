@@ -310,7 +310,7 @@ def test_samples_follow_the_distribution():
     pieces = sp.load_pieces(path)
     n, text = 3000, "inter on"
     batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(n), pa.int64()), "text": pa.array([text] * n)})
-    rows = [r for b in sp.sample_rows(path, 3, 1.0, 5)([batch]) for r in b.to_pylist()]
+    rows = [r for b in sp.sample_rows(pieces, 3, 5)([batch]) for r in b.to_pylist()]
     ways = [a + b for a in segmentations(pieces, b" inter") for b in segmentations(pieces, b" on")]
     weight = np.array([sum(pieces.weight[i] for i in w) for w in ways])
     p = dict(zip(ways, np.exp(weight - np.logaddexp.reduce(weight)), strict=True))
@@ -341,7 +341,7 @@ def test_runs_of_blanks_equal_the_whole_vocabulary(text):
     p = dict(zip(ways, np.exp(weight - np.logaddexp.reduce(weight)), strict=True))
     assert any(b"  " in pieces.bytes[i] for w in ways for i in w)
     batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2, 3], pa.int64()), "text": pa.array(["x ", text, "  y"])})
-    rows = [r for b in sp.sample_rows(path, len(ways) + 1, 1.0, 5)([batch]) for r in b.to_pylist() if r["doc_id"] == 2]
+    rows = [r for b in sp.sample_rows(pieces, len(ways) + 1, 5)([batch]) for r in b.to_pylist() if r["doc_id"] == 2]
     assert {tuple(r["ids"]) for r in rows} == set(ways) and len(rows) == len(ways)
     assert all(abs(math.exp(r["log_probability"]) - p[tuple(r["ids"])]) < 1e-9 and r["log_inclusion"] == 0 for r in rows)
 

@@ -7,16 +7,12 @@ one-to-one tokens and are jumped at once; after the first unequal slice the prob
 at the first end that differs. There an irregular group is resolved locally: the array whose end lies
 lower moves on until the ends meet, which also lists the token pairs that overlap; the shift is updated.
 Slices are compared by sums of 64-bit hashes of their ends. Many walks run side by side in NumPy: the texts of
-a slice of rows lie one after the other and are cut into lanes of whole units (below), whose borders both
-tokenizers share.
+a slice of rows lie one after the other and are cut into lanes at blanks before which both tokenizers end.
 
-A unit is a stretch of text from a blank on that neither tokenizer joins with its neighbours. Its tokens are
-looked up if they were computed before (``Units``).
-
-How many documents hold a pair of ids linked is counted over the whole corpus: blocks of texts give their
-distinct pairs with document counts, these are added up with map-side aggregation, and the counts of its
-own pairs go back to each block, which walks its texts again. Neither tokens nor links of documents are
-shuffled.
+How many documents hold a pair of ids linked is counted over the whole corpus. Texts are walked once: a text
+keeps the numbers of its distinct pairs in the list of pairs of its block and how often it holds each, packed. The lists
+of blocks are added up with map-side aggregation, and the counts of its own pairs go back to each block.
+Tokens and links are never shuffled.
 
 Null and empty texts, and texts that a tokenizer does not give back byte by byte (a text with the sign that
 the second vocabulary writes for a blank), have no tokens: zeros and an empty digest. Repeated rows stay
@@ -26,131 +22,91 @@ rows and each counts as a document. An empty table gives an empty result; extra
 from __future__ import annotations
 
 import hashlib
-import re
+import json
+import zlib
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utterlake.llm.grams import mix
 from utterlake.llm.packing import _byte_letters, _slices
-from utterlake.llm.tables import lean, read, text_parts
+from utterlake.llm.tables import lean, read
 from utterlake.session import materialize
 
-BLOCK_CHARS = 4_000_000
-#: Bytes of text that are walked at once.
-SLICE_CHARS = 1_000_000
-#: Units of a lane.
-LANE_UNITS = 64
-#: Distinct stretches of text whose tokens a task remembers.
-UNITS = 200_000
+#: Bytes of text of a block, and of what is walked at once.
+BLOCK_CHARS, SLICE_CHARS = 4_000_000, 500_000
+#: A lane may begin at one of so many blanks.
+LANE_BLANKS = 64
 BLANK = "▁"
-#: A unit whose letters and marks are two parts of their own under the byte-level vocabulary's pattern.
-_PLAIN = re.compile(r"( [A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
+#: Fixed value: the pattern by which byte-level vocabularies of this kind part a text.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _spelled(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all tokens one after the other, and how many each has."""
+    return np.frombuffer(b"".join(tokens), np.uint8), np.array([len(t) for t in tokens], np.int64)
 
 
 class ByteVocabulary:
     """A byte-level vocabulary in a ``tokenizers`` file; strings of special tokens are plain text.
 
-    Tables are made once where the object is made; a task that gets it only opens the model.
+    If ids follow the order of merges, they are ranks and a faster encoder gives the same ids. Tables are
+    made where the object is made; a task that gets it opens the encoder only.
     """
 
     def __init__(self, path: str) -> None:
         self.path = path
-        self.letters = _byte_letters()
-        model = self.open()
-        byte = {letter: value for value, letter in self.letters.items()}
-        names = [model.id_to_token(n) or "" for n in range(model.get_vocab_size())]
-        self.flat, self.size = _spelled([bytes(byte.get(c, 63) for c in name) for name in names])
+        with open(path, encoding="utf-8") as file:
+            about = json.load(file)
+        byte = {letter: value for value, letter in _byte_letters().items()}
+        plain, added = about["model"]["vocab"], {t["content"]: t["id"] for t in about["added_tokens"]}
+        tokens = [b""] * (1 + max(*plain.values(), *added.values()))
+        for name, n in (plain | added).items():
+            tokens[n] = bytes(byte.get(c, 63) for c in name)
+        self.flat, self.size = _spelled(tokens)
+        merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in about["model"]["merges"]]
+        cut = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        known = {name: n for name, n in plain.items() if name not in added}
+        ordered = len(known) == 256 + len(merges) and all(known.get(m) == 256 + n for n, m in enumerate(merges))
+        ranks = ordered and about["pre_tokenizer"] == cut and not about["normalizer"]
+        self.ranks = {tokens[n]: n for n in known.values()} if ranks else None
 
     def open(self):
+        if self.ranks is not None:
+            import tiktoken
+
+            encoder = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+            return lambda texts: [encoder.encode_to_numpy(t, allowed_special=set(), disallowed_special=()) for t in texts]
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(self.path)
         model.encode_special_tokens = True
-        return model
-
-    def encode(self, model, units: list[str], parts: dict[str, list[int]]) -> list[list[int]]:
-        """Ids of each unit; those of a blank, letters and marks are made of the two ``parts`` that the vocabulary looks at."""
-        found: list = [None] * len(units)
-        rest = []
-        for n, unit in enumerate(units):
-            plain = _PLAIN.fullmatch(unit)
-            if plain is None:
-                rest.append(n)
-                continue
-            ids: list[int] = []
-            for part in plain.groups():
-                if part:
-                    if part not in parts:
-                        parts[part] = [t.id for t in model.model.tokenize("".join([self.letters[b] for b in part.encode()]))]
-                    ids += parts[part]
-            found[n] = ids
-        for n, code in zip(rest, model.encode_batch([units[n] for n in rest], add_special_tokens=False), strict=True):
-            found[n] = code.ids
-        return found
+        return lambda texts: [code.ids for code in model.encode_batch(texts, add_special_tokens=False)]
 
 
 class PieceVocabulary:
-    """A ``sentencepiece`` model that puts a blank before a text, so units are encoded without their first blank."""
+    """A ``sentencepiece`` model, which puts a blank before a text itself."""
 
     def __init__(self, path: str) -> None:
+        import sentencepiece
+
         self.path = path
-        model = self.open()
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
         numbers = list(range(model.get_piece_size()))
-        pieces = model.id_to_piece(numbers)
-        broken = [p for p in pieces if BLANK in p.lstrip(BLANK)]
-        if broken:
-            raise ValueError(f"a piece has a blank behind another character: {broken[0]!r}")
         single = [model.is_byte(n) for n in numbers]
-        self.flat, self.size = _spelled(
-            [bytes([int(p[3:-1], 16)]) if byte else p.replace(BLANK, " ").encode() for p, byte in zip(pieces, single, strict=True)]
-        )
-        self.alone = [model.piece_to_id(BLANK)]
+        pieces = zip(model.id_to_piece(numbers), single, strict=True)
+        self.flat, self.size = _spelled([bytes([int(p[3:-1], 16)]) if byte else p.replace(BLANK, " ").encode() for p, byte in pieces])
 
     def open(self):
         import sentencepiece
 
-        return sentencepiece.SentencePieceProcessor(model_file=self.path)
-
-    def encode(self, model, units: list[str], parts: dict[str, list[int]]) -> list[list[int]]:
-        # A blank at the end of a text is a unit of its own; the model gives no piece for a text without characters.
-        return [ids or self.alone for ids in model.encode([unit[1:] for unit in units], num_threads=1)]
-
-
-def _spelled(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all tokens one after the other, and how many each has."""
-    return np.frombuffer(b"".join(tokens), np.uint8), np.array([len(t) for t in tokens], np.int64)
-
-
-class Units:
-    """Ids of distinct stretches of text under one vocabulary, remembered up to a limit."""
-
-    def __init__(self, vocabulary) -> None:
-        self.vocabulary = vocabulary
-        self.model = vocabulary.open()
-        self.known: dict[str, list[int]] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.flat, self.size = vocabulary.flat, vocabulary.size
-        self.begin = np.cumsum(self.size) - self.size
-
-    def ids(self, names: list[str], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the units ``names[code]`` one after the other, and how many each unit has."""
-        if len(self.known) > UNITS:
-            self.known.clear()
-            self.parts.clear()
-        new = [n for n in names if n not in self.known]
-        self.known.update(zip(new, self.vocabulary.encode(self.model, new, self.parts), strict=True))
-        lists = [self.known[n] for n in names]
-        size = np.array([len(x) for x in lists], np.int64)
-        flat = np.fromiter(chain.from_iterable(lists), np.int64, int(size.sum()))
-        return flat[_ranges(np.cumsum(size) - size, size, code)], size[code]
-
-    def spell(self, ids: np.ndarray) -> np.ndarray:
-        return self.flat[_ranges(self.begin, self.size, ids)]
+        model = sentencepiece.SentencePieceProcessor(model_file=self.path)
+        return lambda texts: model.encode([t[1:] for t in texts], num_threads=1)
 
 
 def _ranges(begin: np.ndarray, size: np.ndarray, pick: np.ndarray) -> np.ndarray:
@@ -160,20 +116,12 @@ def _ranges(begin: np.ndarray, size: np.ndarray, pick: np.ndarray) -> np.ndarray
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - count, count) + np.repeat(begin[pick], count)
 
 
-def unit_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Where a stretch may begin: at the start of a text, and at a blank behind a character that is no white space.
-
-    Neither tokenizer joins what lies on both sides of such a blank. Beyond ASCII, three-byte characters of
-    the blocks that hold spaces, and the two spaces of two bytes, count as white space.
-    """
-    before = np.concatenate([np.zeros(3, np.uint8), data[:-1]]) if len(data) else np.zeros(3, np.uint8)
-    one, two, three = before[2:][: len(data)], before[1:][: len(data)], before[: len(data)]
-    white = (one == 32) | ((one >= 9) & (one <= 13)) | ((one >= 28) & (one <= 31))
-    white |= (two == 0xC2) & ((one == 0x85) | (one == 0xA0))
-    white |= (one >= 0x80) & (three >= 0xE1) & (three <= 0xE3)
-    starts = (data == 32) & ~white
-    starts[at[:-1][np.diff(at) > 0]] = True
-    return np.flatnonzero(starts)
+def lane_starts(data: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token numbers at which lanes begin, and the numbers of tokens: places behind which both tokenizers begin a token."""
+    blanks = np.flatnonzero((data[1:] == 32) & (data[:-1] != 32))[::LANE_BLANKS] + 1
+    at_a, at_b = np.searchsorted(ends_a, blanks), np.searchsorted(ends_b, blanks)
+    both = (ends_a[np.minimum(at_a, len(ends_a) - 1)] == blanks) & (ends_b[np.minimum(at_b, len(ends_b) - 1)] == blanks) if len(blanks) else np.zeros(0, bool)
+    return tuple(np.concatenate([[0], at[both] + 1, [len(ends)]]) for at, ends in ((at_a, ends_a), (at_b, ends_b)))
 
 
 def diagonal_runs(a: np.ndarray, b: np.ndarray, lanes_a: np.ndarray, lanes_b: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -236,47 +184,32 @@ def diagonal_runs(a: np.ndarray, b: np.ndarray, lanes_a: np.ndarray, lanes_b: np
 class Aligned:
     """The alignment of a column of texts: ids, groups and links of all texts one after the other."""
 
-    def __init__(self, column, first: Units, second: Units) -> None:
-        texts = pc.fill_null(column.cast(pa.large_string()), "")
-        texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-        joined = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string()))
-        _, offsets, buffer = joined.buffers()
-        at = np.frombuffer(offsets, np.int64)[joined.offset : joined.offset + len(joined) + 1] if len(joined) else np.zeros(1, np.int64)
-        data = np.frombuffer(buffer, np.uint8)[at[0] : at[-1]] if buffer is not None else np.zeros(0, np.uint8)
-        at = at - at[0]
-        starts = unit_starts(data, at)
-        edges = np.append(starts, len(data)).astype(np.int64)
-        units = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(edges), pa.py_buffer(data))
-        coded = units.dictionary_encode()
-        names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        unit_at = np.searchsorted(starts, at)
-        whole = np.diff(at) > 1
-        sides = []
-        for units_of in (first, second):
-            ids, count = units_of.ids(names, code)
-            token_at = np.concatenate([[0], np.cumsum(count)])[unit_at]
-            bytes_at = np.concatenate([[0], np.cumsum(units_of.size[ids])])
-            # A text counts if its tokens spell it byte by byte.
-            spelled = units_of.spell(ids)
-            same = np.diff(bytes_at[token_at]) == np.diff(at)
-            if len(spelled) == len(data) and same.all():
-                wrong = np.flatnonzero(spelled != data)
-                same[np.unique(np.searchsorted(at, wrong, "right") - 1)] = False
+    def __init__(self, column, first: tuple, second: tuple) -> None:
+        texts = [" " + (t or "") for t in column.to_pylist()]
+        sides, size = [], np.array([len(t.encode()) for t in texts], np.int64)
+        at = np.concatenate([[0], np.cumsum(size)])
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        whole = size > 1
+        for vocabulary, encode in (first, second):
+            lists = encode(texts)
+            count = np.array([len(x) for x in lists], np.int64)
+            if lists and isinstance(lists[0], np.ndarray):
+                ids = np.concatenate(lists).astype(np.int64)
             else:
-                for r in np.flatnonzero(same).tolist():
-                    low, high = bytes_at[token_at[r]], bytes_at[token_at[r + 1]]
-                    same[r] = np.array_equal(spelled[low:high], data[at[r] : at[r + 1]])
-            whole &= same
-            sides.append((ids, token_at, units_of.size, count))
-        self.ids, self.at, ends, lanes = [], [], [], []
-        of_units = np.repeat(whole, np.diff(unit_at))
-        for ids, token_at, size, count in sides:
-            kept = ids[np.repeat(whole, np.diff(token_at))]
-            self.ids.append(kept)
-            self.at.append(np.concatenate([[0], np.cumsum(np.where(whole, np.diff(token_at), 0))]))
-            ends.append(np.cumsum(size[kept]))
-            borders = np.concatenate([[0], np.cumsum(count[of_units])])
-            lanes.append(np.append(borders[:-1:LANE_UNITS], borders[-1]))
+                ids = np.fromiter(chain.from_iterable(lists), np.int64, int(count.sum()))
+            token_at = np.concatenate([[0], np.cumsum(count)])
+            bytes_at = np.concatenate([[0], np.cumsum(vocabulary.size[ids])])[token_at]
+            # A text counts if its tokens spell it byte by byte.
+            spelled = vocabulary.flat[_ranges(np.cumsum(vocabulary.size) - vocabulary.size, vocabulary.size, ids)]
+            for r in np.flatnonzero(whole).tolist():
+                whole[r] = np.array_equal(spelled[bytes_at[r] : bytes_at[r + 1]], data[at[r] : at[r + 1]])
+            sides.append((ids, count, vocabulary.size))
+        self.ids, self.at, ends = [], [], []
+        for ids, count, length in sides:
+            self.ids.append(ids[np.repeat(whole, count)])
+            self.at.append(np.concatenate([[0], np.cumsum(np.where(whole, count, 0))]))
+            ends.append(np.cumsum(length[self.ids[-1]]))
+        lanes = lane_starts(data[np.repeat(whole, size)], *ends)
         self.ends_a, self.ends_b, self.link_a, self.link_b = diagonal_runs(*ends, *lanes)
         self.text = np.repeat(np.arange(len(whole)), np.diff(self.at[0]))[self.link_a]
         self.group_at = np.searchsorted(self.ends_a, self.at[0], "right")
@@ -310,74 +243,94 @@ class Aligned:
         return out, np.append(begin, len(out))[self.at[0] + self.at[1]]
 
 
-def _sums(values: np.ndarray, text: np.ndarray, rows: int) -> np.ndarray:
-    out = np.zeros(rows, np.int64)
-    np.add.at(out, text, values)
-    return out
-
-
-def aligned_slices(table, byte_level: ByteVocabulary, by_piece: PieceVocabulary, kept: dict):
-    """Alignments of slices of a block; ``kept`` holds the units that the task knows already."""
-    if not kept:
-        kept.update(first=Units(byte_level), second=Units(by_piece))
-    first, second = kept["first"], kept["second"]
-    for low, high in _slices(table, SLICE_CHARS):
-        part = table.slice(low, high - low)
-        yield part, Aligned(part.column("text"), first, second), len(second.size)
-
-
-def pair_rows(byte_level: ByteVocabulary, by_piece: PieceVocabulary):
-    """Distinct pairs of ids of a block and how many of its texts hold each."""
-    kept: dict = {}
-
-    def run(key, table):
-        found, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        width = 1
-        for _, aligned, width in aligned_slices(table, byte_level, by_piece, kept):
-            names, code = np.unique(aligned.pairs(width), return_inverse=True)
-            once = np.unique(aligned.text * max(len(names), 1) + code) % max(len(names), 1)
-            found.append(names)
-            held.append(np.bincount(once, minlength=len(names)).astype(np.int64))
-        pairs, code = np.unique(np.concatenate(found), return_inverse=True)
-        n = np.zeros(len(pairs), np.int64)
-        np.add.at(n, code, np.concatenate(held))
-        block = pa.array(np.full(len(pairs), key[0].as_py(), np.int64))
-        return pa.table({"block": block, "a": pa.array((pairs // width).astype(np.int32)), "b": pa.array((pairs % width).astype(np.int32)), "n": pa.array(n)})
+def packed(codes: np.ndarray, times: np.ndarray) -> bytes:
+    """Ascending numbers and how often each occurs: differences and counts, their bytes by place, compressed."""
+    rows = np.stack([np.diff(codes, prepend=0), times]).astype("<u4")
+    return zlib.compress(np.ascontiguousarray(rows.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
-    return run
 
+def unpacked(value: bytes) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.ascontiguousarray(np.frombuffer(zlib.decompress(value), np.uint8).reshape(4, -1).T).reshape(-1).view("<u4").astype(np.int64).reshape(2, -1)
+    return np.cumsum(rows[0]), rows[1]
 
-def text_rows(byte_level: ByteVocabulary, by_piece: PieceVocabulary, with_groups: bool):
-    """Figures of each text, from the corpus-wide counts of the block's pairs."""
-    kept: dict = {}
 
-    def run(key, table, counts):
-        a, b = counts.column("a").to_numpy().astype(np.int64), counts.column("b").to_numpy().astype(np.int64)
-        parts = []
-        for part, aligned, width in aligned_slices(table, byte_level, by_piece, kept):
-            pairs = a * width + b
-            order = np.argsort(pairs)
-            number, best = counts.column("n").to_numpy()[order], counts.column("best").to_numpy(zero_copy_only=False)[order]
-            where = np.searchsorted(pairs[order], aligned.pairs(width))
+TEXT_FIGURES = ("n_a", "n_b", "n_groups", "n_links")
+
+
+def block_schema(with_groups: bool) -> str:
+    figures = ", ".join(f"{n} long" for n in ("block", "doc_id", *TEXT_FIGURES))
+    return f"{figures}, groups_sha256 string, links binary, a array<int>, b array<int>, n array<long>" + (", groups string" if with_groups else "")
+
+
+def walked(byte_level: ByteVocabulary, by_piece: PieceVocabulary, with_groups: bool):
+    """A row for each text with its figures and packed pairs, and one for each block with its pairs ``a, b`` and how many texts hold each."""
+    width = len(by_piece.size)
+
+    def block_rows(block: int, table):
+        columns: dict[str, list] = {n: [] for n in ("doc_id", *TEXT_FIGURES, "groups_sha256", "groups")}
+        names, held = [np.zeros(0, np.int64)], []
+        for low, high in _slices(table, SLICE_CHARS):
+            part = table.slice(low, high - low)
+            aligned = Aligned(part.column("text"), *opened)
+            rows = part.num_rows
+            own, code = np.unique(aligned.pairs(width), return_inverse=True)
+            once, times = np.unique(aligned.text * max(len(own), 1) + code, return_counts=True)
+            names.append(own)
+            held.append((once // max(len(own), 1), once % max(len(own), 1), times, rows))
             spelled, at = aligned.groups()
             view = memoryview(spelled)
-            texts = [bytes(view[i : j - 1]) if j > i else None for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            columns = {
-                "doc_id": part.column("doc_id"),
-                "n_a": pa.array(np.diff(aligned.at[0])),
-                "n_b": pa.array(np.diff(aligned.at[1])),
-                "n_groups": pa.array(np.diff(aligned.group_at)),
-                "n_links": pa.array(np.bincount(aligned.text, minlength=len(part)).astype(np.int64)),
-                "n_best": pa.array(_sums(best[where].astype(np.int64), aligned.text, len(part))),
-                "count_sum": pa.array(_sums(number[where], aligned.text, len(part))),
-                "groups_sha256": pa.array(["" if t is None else hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
-            }
+            texts = [bytes(view[i : max(i, j - 1)]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            columns["doc_id"] += part.column("doc_id").to_pylist()
+            for name, values in zip(TEXT_FIGURES, (np.diff(aligned.at[0]), np.diff(aligned.at[1]), np.diff(aligned.group_at), np.bincount(aligned.text, minlength=rows)), strict=True):
+                columns[name] += values.tolist()
+            columns["groups_sha256"] += [hashlib.sha256(t).hexdigest() if t else "" for t in texts]
             if with_groups:
-                columns["groups"] = pa.array([b"" if t is None else t for t in texts], pa.binary()).cast(pa.string())
-            parts.append(pa.table(columns))
-        schema = [(n, pa.int64()) for n in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]
-        schema += [(n, pa.string()) for n in ("groups_sha256", *(["groups"] if with_groups else []))]
-        return pa.concat_tables(parts) if parts else pa.schema(schema).empty_table()
+                columns["groups"] += [t.decode() for t in texts]
+        pairs = np.unique(np.concatenate(names))
+        n, links = np.zeros(len(pairs), np.int64), []
+        for own, (text, code, times, rows) in zip(names[1:], held, strict=True):
+            number = np.searchsorted(pairs, own)[code]
+            n += np.bincount(number, minlength=len(pairs))
+            cut = np.searchsorted(text, np.arange(rows + 1)).tolist()
+            links += [packed(number[i:j], times[i:j]) if j > i else None for i, j in zip(cut, cut[1:], strict=False)]
+        texts = len(links)
+        nothing = [None] * texts
+        out = {"block": [block] * (texts + 1)} | {k: [*v, None] for k, v in columns.items() if k != "groups"}
+        out |= {"links": [*links, None], "a": [*nothing, (pairs // width).astype(np.int32)], "b": [*nothing, (pairs % width).astype(np.int32)], "n": [*nothing, n]}
+        if with_groups:
+            out["groups"] = [*columns["groups"], None]
+        kinds = {"groups_sha256": pa.string(), "groups": pa.string(), "links": pa.binary(), "a": pa.list_(pa.int32()), "b": pa.list_(pa.int32()), "n": pa.list_(pa.int64())}
+        return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], names=list(out))
+
+    opened: list[tuple] = []
+
+    def run(batches):
+        opened[:] = [(v, v.open()) for v in (byte_level, by_piece)]
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for low, high in _slices(batch, BLOCK_CHARS):
+                yield block_rows(number, batch.slice(low, high - low))
+                number += 1
+
+    return run
+
+
+def counted(with_groups: bool):
+    """Figures of each text of a block, from the corpus-wide counts of the block's pairs, which stand in ascending order."""
+
+    def run(key, table, counts):
+        a, b = counts.column("a").to_numpy(), counts.column("b").to_numpy()
+        order = np.lexsort((b, a))
+        number, best = counts.column("n").to_numpy()[order], counts.column("best").to_numpy(zero_copy_only=False)[order]
+        most, total = [], []
+        for links in table.column("links").to_pylist():
+            code, times = unpacked(links) if links else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            most.append(int(times[best[code]].sum()))
+            total.append(int((times * number[code]).sum()))
+        columns = {n: table.column(n) for n in ("doc_id", *TEXT_FIGURES)}
+        columns |= {"n_best": pa.array(most, pa.int64()), "count_sum": pa.array(total, pa.int64())}
+        columns |= {n: table.column(n) for n in ("groups_sha256", *(["groups"] if with_groups else []))}
+        return pa.table(columns)
 
     return run
 
@@ -389,20 +342,21 @@ def pair_counts(held: DataFrame) -> DataFrame:
     return counts.join(most, "a").select("a", "b", "n", (F.col("n") == F.col("_most")).alias("best"))
 
 
-def align_documents(docs: DataFrame, path_a: str, path_b: str, with_groups: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def align_documents(docs: DataFrame, path_a: str, path_b: str, with_groups: bool = False) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256`` (and ``groups``) of every text.
 
     ``path_a`` names a byte-level ``tokenizers`` file, ``path_b`` a ``sentencepiece`` model.
     """
-    rows, both = lean(docs), (ByteVocabulary(path_a), PieceVocabulary(path_b))
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(text_parts(rows, "text", block_chars))).alias("block")
-    blocks = rows.select(block, "doc_id", "text")
-    held = materialize(blocks.groupBy("block").applyInArrow(pair_rows(*both), "block long, a int, b int, n long"), "pairs")
+    both = ByteVocabulary(path_a), PieceVocabulary(path_b)
+    rows = materialize(lean(docs).mapInArrow(walked(*both, with_groups), block_schema(with_groups)), "walked")
+    zipped = rows.where("a IS NOT NULL").select("block", F.explode(F.arrays_zip("a", "b", "n")).alias("p"))
+    held = zipped.select("block", "p.a", "p.b", "p.n")
     counts = materialize(pair_counts(held.select("a", "b", "n")), "pair-counts")
     known = held.select("block", "a", "b").join(counts, ["a", "b"])
-    numbers = ", ".join(f"{n} long" for n in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"))
+    texts = rows.where("a IS NULL").drop("a", "b", "n")
+    numbers = ", ".join(f"{n} long" for n in ("doc_id", *TEXT_FIGURES, "n_best", "count_sum"))
     schema = f"{numbers}, groups_sha256 string" + (", groups string" if with_groups else "")
-    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(text_rows(*both, with_groups), schema)
+    return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(counted(with_groups), schema)
 
 
 def vocabularies() -> tuple[str, str]:

@@ -3,8 +3,8 @@
 A text is a lattice: positions between bytes, and an edge for every piece of the vocabulary that stands
 there; characters without a piece of their own are spelled by byte pieces. A word starts at the first of a
 run of blanks. No piece has a blank behind another character, so none reaches over the start of a word (a
-vocabulary with such a piece is refused), the lattice of a text is a chain of word lattices, and each
-distinct word's is built once for a slice of rows. The vocabulary is a merge list, so an edge weighs a power of its rank, ``(rank + 2) **
+vocabulary with such a piece is refused), the lattice of a text is a chain of word lattices, and a task
+keeps those of the words that it has met, up to a limit. The vocabulary is a merge list, so an edge weighs a power of its rank, ``(rank + 2) **
 -POWER``, and a segmentation the product of its edges.
 
 Sums over all ways to the end of a word give each edge its probability. Sampling is a search for the
@@ -26,6 +26,8 @@ import heapq
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +39,9 @@ K = 2
 POWER = 1.0
 SEED = 20
 BLANK = "▁"
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 200_000
+#: Bytes of distinct words whose lattices a task keeps.
+KEPT_BYTES = 200_000
 
 
 class Pieces:
@@ -69,14 +73,15 @@ class Pieces:
         self.codes = _byte_codes(False)
         self.codes[[9, 10, 11, 12, 13, 32]] = mix(np.arange(301, 307, dtype=np.uint64)) | np.uint64(1)
         self.powers = _powers(0x2545F4914F6CDD1D, longest + 1)
-        self.table: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-        self.begin: list[np.ndarray] = [np.zeros(1, np.uint64)]
+        #: For each length the hashes of pieces' beginnings, and the piece that has just this length or -1.
+        self.begin: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(1, np.uint64), np.full(1, -1))]
         hashes = [np.cumsum(self.codes[np.frombuffer(t, np.uint8)] * self.powers[: len(t)], dtype=np.uint64) for t in texts]
         for length in range(1, longest + 1):
+            found = np.unique(np.array([h[length - 1] for h in hashes if len(h) >= length], np.uint64))
+            whole = np.full(len(found), -1)
             own = [(h[-1], n) for h, n in zip(hashes, ids, strict=True) if len(h) == length]
-            own.sort()
-            self.table.append((np.array([h for h, _ in own], np.uint64), np.array([n for _, n in own], np.int64)))
-            self.begin.append(np.unique(np.array([h[length - 1] for h in hashes if len(h) >= length], np.uint64)))
+            whole[np.searchsorted(found, np.array([h for h, _ in own], np.uint64))] = [n for _, n in own]
+            self.begin.append((found, whole))
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.at = np.concatenate([[0], np.cumsum([len(b) for b in self.bytes])]).astype(np.int64)
 
@@ -86,14 +91,6 @@ def load_pieces(path: str, power: float = POWER) -> Pieces:
     return Pieces(path, power)
 
 
-def _found(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.searchsorted(table, values)
-    hit = np.zeros(len(values), bool)
-    if len(table):
-        hit = table[np.minimum(at, len(table) - 1)] == values
-    return hit, at
-
-
 class Lattice:
     """Lattices of distinct words, one after the other in ``data``; word i is bytes ``at[i]`` to ``at[i + 1]``.
 
@@ -112,31 +109,39 @@ class Lattice:
         alive, hashed = np.flatnonzero(letter), np.zeros(int(letter.sum()), np.uint64)
         single = np.zeros(len(data), bool)
         ends = np.append(letter, True)
-        for n in range(1, len(pieces.table)):
+        for n in range(1, len(pieces.begin)):
             ok = left[alive] >= n
             alive, hashed = alive[ok], hashed[ok]
             if not len(alive):
                 break
             hashed = hashed + pieces.codes[data[alive + n - 1]] * pieces.powers[n - 1]
-            table, ids = pieces.table[n]
-            hit, where = _found(table, hashed)
-            hit &= ends[alive + n]
+            table, ids = pieces.begin[n]
+            where = np.minimum(np.searchsorted(table, hashed), len(table) - 1)
+            known = table[where] == hashed
+            hit = known & (ids[where] >= 0) & ends[alive + n]
             src.append(alive[hit])
             length.append(np.full(int(hit.sum()), n))
             piece.append(ids[where[hit]])
             inner = np.add.reduceat(letter.astype(np.int64), np.stack([alive[hit], np.minimum(alive[hit] + n, len(data) - 1)], 1).reshape(-1))[::2] if hit.any() else np.zeros(0)
             single[alive[hit][inner == 1]] = True
-            more, _ = _found(pieces.begin[n], hashed)
-            alive, hashed = alive[more], hashed[more]
+            alive, hashed = alive[known], hashed[known]
         # Characters without a piece of their own: one edge for each of their bytes.
         head = np.maximum.accumulate(np.where(letter, place, 0)) if len(data) else place
         spelled = np.flatnonzero(~single[head]) if len(data) else place
         src.append(spelled)
         length.append(np.ones(len(spelled), np.int64))
         piece.append(pieces.byte_id[data[spelled]])
-        s, n, p = np.concatenate(src), np.concatenate(length), np.concatenate(piece).astype(np.int64)
-        order = np.argsort(s, kind="stable")
-        s, n, p = s[order], n[order], p[order]
+        # Each group holds a place once, so edges go straight to their place's stretch.
+        held = np.zeros(len(data) + 1, np.int64)
+        for group in src:
+            held[group + 1] += 1
+        free = np.cumsum(held)[:-1]
+        first = free.copy()
+        s, n, p = (np.empty(int(held.sum()), np.int64) for _ in range(3))
+        for group, size_, names in zip(src, length, piece, strict=True):
+            where = free[group]
+            s[where], n[where], p[where] = group, size_, names
+            free[group] += 1
         self.base = at[:-1] + np.arange(len(size))
         self.end = at[1:] + np.arange(len(size))
         node, self.to, self.piece = s + word[s], s + word[s] + n, p
@@ -144,7 +149,8 @@ class Lattice:
         total = np.full(len(data) + len(size), -np.inf)
         total[self.end] = 0.0
         far = left[s]
-        turn = np.argsort(far, kind="stable")
+        # Short numbers are sorted by counting.
+        turn = np.argsort(far.astype(np.uint16) if size.max(initial=0) < 1 << 16 else far, kind="stable")
         cuts = np.searchsorted(far[turn], np.arange(1, int(size.max(initial=0)) + 2))
         for d in range(len(cuts) - 1):
             edges = turn[cuts[d] : cuts[d + 1]]
@@ -157,31 +163,42 @@ class Lattice:
         self.log[~np.isfinite(self.log)] = -np.inf
         self.p = np.exp(self.log)
         sums = np.cumsum(self.p)
-        first = np.searchsorted(node, node)
-        self.low = sums - self.p - (sums[first] - self.p[first])
+        begin = first[s]
+        low = sums - self.p - (sums[begin] - self.p[begin])
         # What the other edges of the node have, added up where one minus the largest would lose small ones.
         heads = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
         self.rest = 1.0 - self.p
         if len(heads):
-            most = np.lexsort((-self.p, node))[heads]
+            top = np.repeat(np.maximum.reduceat(self.p, heads), np.diff(np.append(heads, len(node))))
+            large = np.flatnonzero(self.p == top)
+            most = large[np.append(True, node[large][1:] != node[large][:-1])]
             others = self.p.copy()
             others[most] = 0.0
             self.rest[most] = np.add.reduceat(others, heads)
         self.node = node
-        self.key = node + self.low + self.p
+        self.key = node + low + self.p
         last = np.append(node[1:] != node[:-1], True) if len(node) else np.zeros(0, bool)
         self.key[last] = node[last] + 1.0
+        self.nodes = len(total)
+
+    def extend(self, other: Lattice) -> None:
+        """Puts the words of another lattice behind the own ones."""
+        for name in ("base", "end", "node", "to", "key"):
+            setattr(self, name, np.concatenate([getattr(self, name), getattr(other, name) + self.nodes]))
+        for name in ("piece", "log", "p", "rest"):
+            setattr(self, name, np.concatenate([getattr(self, name), getattr(other, name)]))
+        self.nodes += other.nodes
 
     def draw(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
         return np.minimum(np.searchsorted(self.key, nodes + u * (1 - 1e-12), "right"), len(self.key) - 1)
 
-    def walk(self, nodes: np.ndarray, ends: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
-        """Edges from each node to its word's end, in order, and how many of each."""
+    def walk(self, nodes: np.ndarray, ends: np.ndarray, uniform) -> tuple[np.ndarray, np.ndarray]:
+        """Edges from each node to its word's end, in order, and how many of each; ``uniform(which, step)`` gives the random numbers."""
         steps, owners = [], []
         live = np.flatnonzero(nodes < ends)
         nodes = nodes.copy()
         while len(live):
-            edge = self.draw(nodes[live], rng.random(len(live)))
+            edge = self.draw(nodes[live], uniform(live, len(steps)))
             steps.append(edge)
             owners.append(live)
             nodes[live] = self.to[edge]
@@ -200,8 +217,23 @@ def _below(location, bound: float, rng) -> np.ndarray:
         return np.where(np.isfinite(location), location - np.log(np.exp(np.minimum(location - bound, 700)) - np.log(rng.random(len(location)) + 1e-300)), -np.inf)
 
 
-def top_k(lattice: Lattice, words: np.ndarray, k: int, rng) -> tuple[list[tuple[float, float, np.ndarray]], float]:
-    """Up to k distinct segmentations of a chain of words: ``(score, log-probability, edges)`` by falling score, and the next score."""
+def keyed_uniform(keys: np.ndarray, counts: np.ndarray):
+    """Random numbers for walks over so many words each, from the walk's key, the word's place and the step alone."""
+    place = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    word = mix(np.repeat(mix(keys), counts) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def uniform(which: np.ndarray, step: int) -> np.ndarray:
+        move = np.uint64(step * 0xD1342543DE82EF95 % (1 << 64))
+        return (mix(word[which] + move) >> np.uint64(11)) * 2.0**-53
+
+    return uniform
+
+
+def search(lattice: Lattice, words: np.ndarray, k: int, rng):
+    """Finds up to k distinct segmentations of a chain of words: returns ``(score, log-probability, edges)`` by falling score, and the next score.
+
+    A generator: it asks for walks by yielding nodes and ends, and is sent the edges and their counts.
+    """
     # A part: (-score, number, path, counts, place of the branch, its barred edges).
     start = float(-np.log(-np.log(rng.random() + 1e-300)))
     heap = [(-start, 0, None, None, 0, ())]
@@ -211,7 +243,7 @@ def top_k(lattice: Lattice, words: np.ndarray, k: int, rng) -> tuple[list[tuple[
         score, _, path, counts, branch, barred = heapq.heappop(heap)
         score = -score
         if path is None:
-            path, counts = lattice.walk(base, ends, rng)
+            path, counts = yield base, ends
             first = 0
         else:
             node = lattice.node[path[branch]]
@@ -221,7 +253,7 @@ def top_k(lattice: Lattice, words: np.ndarray, k: int, rng) -> tuple[list[tuple[
             edge = edges[min(int(np.searchsorted(share, rng.random() * share[-1], "right")), len(edges) - 1)]
             word = int(np.searchsorted(np.cumsum(counts), branch, "right"))
             nodes = np.concatenate([[lattice.to[edge]], base[word + 1 :]])
-            rest, rest_counts = lattice.walk(nodes, ends[word:], rng)
+            rest, rest_counts = yield nodes, ends[word:]
             before = int(counts[:word].sum())
             counts = np.concatenate([counts[:word], [branch - before + 1 + rest_counts[0]], rest_counts[1:]])
             path = np.concatenate([path[:branch], [edge], rest])
@@ -236,7 +268,9 @@ def top_k(lattice: Lattice, words: np.ndarray, k: int, rng) -> tuple[list[tuple[
                 mass[0] = prefix[first] + np.log(lattice.p[edges[edges != path[first]]].sum())
         scores = _below(mass, score, rng) if len(mass) else mass
         # Only the best parts can be opened or give the threshold.
-        for n in np.argsort(-scores, kind="stable")[: k + 1 - len(out)].tolist():
+        wanted = k + 1 - len(out)
+        best = np.argpartition(-scores, wanted - 1)[:wanted] if len(scores) > wanted else np.arange(len(scores))
+        for n in best.tolist():
             if np.isfinite(scores[n]):
                 bars = (*(barred if n == 0 else ()), int(path[first + n]))
                 heapq.heappush(heap, (-float(scores[n]), made, path, counts, first + n, bars))
@@ -244,12 +278,62 @@ def top_k(lattice: Lattice, words: np.ndarray, k: int, rng) -> tuple[list[tuple[
     return out, -heap[0][0] if heap else -np.inf
 
 
-def sample_rows(path: str, k: int, power: float, seed: int):
+def top_k(lattice: Lattice, chains: list[np.ndarray], k: int, seed: int, keys: list[int]) -> list:
+    """The result of ``search`` for each chain of words; walks that the searches ask for are made together."""
+    numbers = np.array([key % (1 << 64) for key in keys], np.uint64) ^ mix(np.full(len(keys), seed, np.uint64))
+    rngs = [np.random.Generator(np.random.Philox(key=[seed, key % (1 << 64)])) for key in keys]
+    searches = [search(lattice, words, k, rng) for words, rng in zip(chains, rngs, strict=True)]
+    found: list = [None] * len(keys)
+    asked = [(n, next(one)) for n, one in enumerate(searches)]
+    turn = 0
+    while asked:
+        which = np.array([n for n, _ in asked])
+        sizes = np.array([len(nodes) for _, (nodes, _) in asked])
+        # Each walk of a row has random numbers of its own.
+        uniform = keyed_uniform(mix(numbers[which]) + np.uint64(turn), sizes)
+        path, counts = lattice.walk(np.concatenate([nodes for _, (nodes, _) in asked]), np.concatenate([ends for _, (_, ends) in asked]), uniform)
+        word_at = np.concatenate([[0], np.cumsum(sizes)])
+        edge_at = np.concatenate([[0], np.cumsum(counts)])[word_at]
+        more = []
+        for place, (n, _) in enumerate(asked):
+            walked = path[edge_at[place] : edge_at[place + 1]], counts[word_at[place] : word_at[place + 1]]
+            try:
+                more.append((n, searches[n].send(walked)))
+            except StopIteration as end:
+                found[n] = end.value
+        asked, turn = more, turn + 1
+    return found
+
+
+class KnownWords:
+    """Lattices of the words that a task has met."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        self.pieces = pieces
+        self.number: dict[bytes, int] = {}
+        self.size = 0
+        self.lattice: Lattice | None = None
+
+    def find(self, names: list[bytes]) -> np.ndarray:
+        """The number of each word in ``lattice``; new words are built, and all are forgotten when they have become too many."""
+        if self.size > KEPT_BYTES:
+            self.number, self.size, self.lattice = {}, 0, None
+        new = [n for n in names if n not in self.number]
+        if new or self.lattice is None:
+            data = np.frombuffer(b"".join(new), np.uint8)
+            built = Lattice(self.pieces, data, np.concatenate([[0], np.cumsum([len(n) for n in new])]).astype(np.int64))
+            if self.lattice is None:
+                self.lattice = built
+            else:
+                self.lattice.extend(built)
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+            self.size += len(data)
+        return np.array([self.number[n] for n in names], np.int64)
+
+
+def sample_rows(pieces: Pieces, k: int, seed: int):
     def run(batches):
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        pieces = load_pieces(path, power)
+        known = KnownWords(pieces)
         blank = np.zeros(256, bool)
         for batch in batches:
             for begin, stop in _slices(batch, SLICE_CHARS):
@@ -266,29 +350,25 @@ def sample_rows(path: str, k: int, power: float, seed: int):
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
                 strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
                 coded = strings.dictionary_encode()
-                number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                names = coded.dictionary
-                _, offset, flat = names.buffers()
-                ends = np.frombuffer(offset, np.int64)[: len(names) + 1]
-                lattice = Lattice(pieces, np.frombuffer(flat, np.uint8)[: ends[-1]], ends)
-                first = np.searchsorted(starts, at)
-                keys = part.column("doc_id").to_pylist()
+                number = known.find(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
+                lattice = known.lattice
+                first = np.searchsorted(starts, at).tolist()
+                # The blank before a text without characters is no word.
+                chains = [number[i:j] if full else number[:0] for i, j, full in zip(first, first[1:], (np.diff(at) > 1).tolist(), strict=False)]
+                names = part.column("doc_id").to_pylist()
                 rows: dict[str, list] = {n: [] for n in ("doc_id", "sample", "ids", "score", "log_probability", "log_inclusion")}
-                for r, key in enumerate(keys):
-                    empty = at[r + 1] - at[r] == 1
-                    rng = np.random.Generator(np.random.Philox(key=[seed, (key or 0) % (1 << 64)]))
-                    found, threshold = top_k(lattice, number[first[r] : first[r + 1]][: 0 if empty else None], k, rng)
-                    for n, (score, log, path_) in enumerate(found):
+                for key, (found, threshold) in zip(names, top_k(lattice, chains, k, seed, [key or 0 for key in names]), strict=True):
+                    for n, (score, log, path) in enumerate(found):
                         reach = log - threshold
                         rows["doc_id"].append(key)
                         rows["sample"].append(n)
-                        rows["ids"].append(lattice.piece[path_].astype(np.int32))
+                        rows["ids"].append(lattice.piece[path].astype(np.int32))
                         rows["score"].append(score)
                         rows["log_probability"].append(log)
                         rows["log_inclusion"].append(float(np.log(-np.expm1(-np.exp(reach))) if -30 < reach < 700 else min(reach, 0.0)))
-                counts = np.concatenate([[0], np.cumsum([len(x) for x in rows["ids"]])])
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in rows["ids"]])])
                 ids = np.concatenate([*rows["ids"], np.zeros(0, np.int32)])
-                rows["ids"] = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(ids))
+                rows["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
                 arrays = [pa.array(rows["doc_id"], pa.int64()), pa.array(rows["sample"], pa.int32()), rows["ids"]]
                 arrays += [pa.array(rows[n], pa.float64()) for n in ("score", "log_probability", "log_inclusion")]
                 yield pa.RecordBatch.from_arrays(arrays, names=list(rows))
@@ -299,7 +379,7 @@ def sample_rows(path: str, k: int, power: float, seed: int):
 def sample_encodings(docs: DataFrame, path: str, k: int = K, power: float = POWER, seed: int = SEED) -> DataFrame:
     """``doc_id, sample, ids, score, log_probability, log_inclusion``: up to k distinct segmentations of each text."""
     schema = "doc_id long, sample int, ids array<int>, score double, log_probability double, log_inclusion double"
-    return lean(docs).mapInArrow(sample_rows(path, k, power, seed), schema)
+    return lean(docs).mapInArrow(sample_rows(load_pieces(path, power), k, seed), schema)
 
 
 def decode_lists(pieces: Pieces, lists) -> tuple[np.ndarray, np.ndarray]:
@@ -316,11 +396,8 @@ def decode_lists(pieces: Pieces, lists) -> tuple[np.ndarray, np.ndarray]:
     return data[keep], at - np.searchsorted(lead, at)
 
 
-def decode_rows(path: str, power: float, names: list[str]):
+def decode_rows(pieces: Pieces, names: list[str]):
     def run(batches):
-        import pyarrow as pa
-
-        pieces = load_pieces(path, power)
         for batch in batches:
             data, at = decode_lists(pieces, batch.column("ids"))
             text = [data[a:b].tobytes().decode(errors="replace") for a, b in zip(at, at[1:], strict=False)]
@@ -333,7 +410,7 @@ def decode(rows: DataFrame, path: str, power: float = POWER) -> DataFrame:
     """The columns of ``rows`` without ``ids``, and the ``text`` that they spell; broken bytes become U+FFFD."""
     names = [n for n in rows.columns if n not in ("ids", "text")]
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name in names)
-    return rows.select(*names, "ids").mapInArrow(decode_rows(path, power, names), f"{kept}text string")
+    return rows.select(*names, "ids").mapInArrow(decode_rows(load_pieces(path, power), names), f"{kept}text string")
 
 
 def vocabulary() -> str:
