@@ -350,13 +350,13 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, with_groups: bool
     both = ByteVocabulary(path_a), PieceVocabulary(path_b)
     rows = materialize(lean(docs).mapInArrow(walked(*both, with_groups), block_schema(with_groups)), "walked")
     zipped = rows.where("a IS NOT NULL").select("block", F.explode(F.arrays_zip("a", "b", "n")).alias("p"))
-    held = zipped.select("block", "p.a", "p.b", "p.n")
+    held = zipped.select(F.col("block").alias("holder"), "p.a", "p.b", "p.n")
     counts = materialize(pair_counts(held.select("a", "b", "n")), "pair-counts")
-    known = held.select("block", "a", "b").join(counts, ["a", "b"])
+    known = held.select("holder", "a", "b").join(counts, ["a", "b"])
     texts = rows.where("a IS NULL").drop("a", "b", "n")
     numbers = ", ".join(f"{n} long" for n in ("doc_id", *TEXT_FIGURES, "n_best", "count_sum"))
     schema = f"{numbers}, groups_sha256 string" + (", groups string" if with_groups else "")
-    return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(counted(with_groups), schema)
+    return texts.groupBy("block").cogroup(known.groupBy("holder")).applyInArrow(counted(with_groups), schema)
 
 
 def vocabularies() -> tuple[str, str]:

@@ -250,12 +250,15 @@ def linked(pairs: DataFrame, nodes: DataFrame, percent: int, signed: bool = Fals
 
 
 def distinct_tiles(rows: DataFrame) -> DataFrame:
-    """Tiles ``tile, band, node, n`` from ``node, n, band, run``: runs that about the same sets hold make one tile, runs of one set none."""
+    """Tiles ``tile, band, home, node, n`` from ``node, n, band, run``: runs that about the same sets hold make one tile, runs of one set none.
+
+    ``home`` sets are of the tile's own band. Pairs without one are in the tile of the band before.
+    """
     names = [F.min(F.xxhash64("node", F.lit(k))).alias(f"_m{k}") for k in range(2)]
     held = rows.groupBy("run").agg(F.count(F.lit(1)).alias("_n"), *names).where("_n > 1").select("run", F.xxhash64("_m0", "_m1").alias("_name"))
     members = rows.join(held, "run").select("_name", "node", "n", "band").distinct()
-    placed = members.select("_name", "node", "n", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-    return materialize(placed.select(F.xxhash64("_name", "band").alias("tile"), "band", "node", "n"), "tiles")
+    placed = members.select("_name", "node", "n", F.posexplode(F.array("band", F.col("band") + 1)).alias("_next", "band"))
+    return materialize(placed.select(F.xxhash64("_name", "band").alias("tile"), "band", (F.col("_next") == 0).alias("home"), "node", "n"), "tiles")
 
 
 def may_link(common: str, percent: int) -> str:
@@ -272,8 +275,10 @@ def _placed(tiles: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """Rows of tiles whose sets lie in two components or more, with the number of sets ``held``."""
-    ends = rows.groupBy("tile").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.count(F.lit(1)).alias("held")).where("l <> h")
+    """Rows of tiles whose sets lie in two components or more, with the number of sets ``held``; tiles without a set of their own band are left out."""
+    own = F.max("home") if "home" in rows.columns else F.lit(True)
+    ends = rows.groupBy("tile").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.count(F.lit(1)).alias("held"), own.alias("own"))
+    ends = ends.where("l <> h AND own")
     return rows.drop("held").join(ends.select("tile", "held"), "tile")
 
 
@@ -295,14 +300,14 @@ def _best_pairs(rows: DataFrame, nodes: DataFrame, turn: int, percent: int) -> D
 
 def open_pairs(rows: DataFrame, nodes: DataFrame, percent: int, block: int = TILE_BLOCK) -> DataFrame:
     """Pairs ``a, b`` of sets of one tile in two components whose bitmaps allow a link, from rows of ``_open``."""
-    signed = rows.join(nodes.select("node", "short", "bits", "half", F.col("band").alias("_own")), "node")
+    signed = rows.join(nodes.select("node", "short", "bits", "half"), "node")
     count = F.size("bits") / 2
     halves = [F.slice("bits", start, count.cast("int")) for start in (F.lit(1), (count + 1).cast("int"))]
     folded = F.zip_with(*halves, lambda a, b: a.bitwiseOR(b))
-    wide = F.when((F.col("_own") == F.col("band")) & F.col("half"), folded).otherwise(F.col("bits"))
+    wide = F.when(F.col("home") & F.col("half"), folded).otherwise(F.col("bits"))
     words = [F.get("short", F.lit(k)).alias(f"s{k}") for k in range(SHORT_WORDS)]
     ones = F.aggregate("wide", F.lit(0), lambda s, v: s + F.bit_count(v))
-    signed = signed.select("tile", "node", "n", "component", "held", *words, wide.alias("wide")).withColumn("ones", ones)
+    signed = signed.select("tile", "home", "node", "n", "component", "held", *words, wide.alias("wide")).withColumn("ones", ones)
     signed = signed.withColumn("short_ones", F.expr(" + ".join(f"bit_count(s{k})" for k in range(SHORT_WORDS))))
     # A tile of many sets is dealt to blocks; a set goes to each pair of blocks that holds its own.
     parts = F.ceil(F.col("held") / block)
@@ -310,7 +315,7 @@ def open_pairs(rows: DataFrame, nodes: DataFrame, percent: int, block: int = TIL
     other = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other")
     dealt = signed.select("*", other).withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
     dealt = materialize(dealt.drop("other", "held", "short", "bits"), "open-sets")
-    compatible = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND x.component <> y.component AND (x.p = x.q OR x.own <> y.own)"
+    compatible = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND x.component <> y.component AND (x.home OR y.home) AND (x.p = x.q OR x.own <> y.own)"
     near = " + ".join(f"bit_count(x.s{k} & y.s{k})" for k in range(SHORT_WORDS))
     least = may_link(f"least(x.n - x.short_ones + {near}, y.n - y.short_ones + {near})", percent)
     full = "aggregate(zip_with(x.wide, y.wide, (a, b) -> bit_count(a & b)), 0, (s, v) -> s + v)"
@@ -320,7 +325,7 @@ def open_pairs(rows: DataFrame, nodes: DataFrame, percent: int, block: int = TIL
 
 
 def follow(tiles: DataFrame, nodes: DataFrame, percent: int, tile_block: int = TILE_BLOCK) -> DataFrame | None:
-    """Components of all links inside tiles ``tile, band, node, n``: ``node, component``, or None without a link."""
+    """Components of all links inside tiles ``tile, band, home, node, n``: ``node, component``, or None without a link."""
     links, labels, turn = None, None, 0
     while True:
         rows = materialize(_open(_placed(tiles, labels)), "open-tiles")
