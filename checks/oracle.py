@@ -364,7 +364,7 @@ UNION ALL SELECT 'intents', count(DISTINCT intent) FROM pfi UNION ALL SELECT 'du
     "csv_roundtrip": "SELECT doc_id, text, lang FROM documents",
     "jsonl_roundtrip": "SELECT conv_id, turn, role, text FROM conversations",
     "answer_table_roundtrip": with_(UTT) + "SELECT intent, row_number() OVER (PARTITION BY intent ORDER BY row_id) - 1 AS ex_idx, text, response FROM utt",
-    **{name: trained(names) for name, names in {"logreg": ["logreg"], "svm": ["svm"], "train_compare": ["naive_bayes", "logreg", "svm"]}.items()},
+    **{name: trained(names) for name, names in {"logreg": ["logreg"], "svm": ["svm"]}.items()},
     "answer_table": with_(UTT) + "SELECT intent, row_number() OVER (PARTITION BY intent ORDER BY row_id) - 1 AS ex_idx, text, response FROM utt",
     "accuracy": with_(JUDGED) + "SELECT round(avg((truth = predicted)::INT), 6) AS accuracy FROM jud",
     "classification_report": with_(REPORT)
@@ -505,3 +505,8 @@ swp AS (SELECT *, s < 0.60 AND generic IS NOT NULL AND generic IS DISTINCT FROM
     + f"SELECT qid, predicted_intent, round(confidence, 6) AS confidence, round(sim, 6) AS sim, {LADDER} FROM fnd",
     "prepare_dataset": with_(PREPARED) + "SELECT position, text, intent, response, source, split FROM pre",
 }
+
+# Naive Bayes is computed in full; what an iterative solver reaches is stated.
+SQL["train_compare"] = f"""WITH nb AS ({SQL['naive_bayes']}), one AS (SELECT count(*)::BIGINT AS n, avg((intent = predicted_intent)::INTEGER) AS a FROM nb)
+SELECT 'naive_bayes' AS model, n AS eval_rows, round(a, 6) AS accuracy, a >= {v.LEAST_ACCURACY['naive_bayes']} AS reached FROM one
+UNION ALL SELECT model, eval_rows, NULL::DOUBLE AS accuracy, reached FROM ({trained(['logreg', 'svm'])})"""

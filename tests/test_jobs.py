@@ -2,11 +2,14 @@ import json
 import os
 import re
 
+import numpy as np
 import pytest
 
 from utterlake import schemas
 from utterlake.operators import corpus, stats
-from utterlake.operators.linear import LinearModel, fit_rows
+from utterlake.operators.features import word_bags
+from utterlake.operators.linear import LinearModel, fit_entries, fit_linear
+from utterlake.operators.split import stratified_split
 from utterlake.plans.prepare import PrepareOptions, prepare_dataset
 from utterlake.plans.run_all import RunConfig, run_all
 from utterlake.plans.train import train_classical
@@ -215,8 +218,10 @@ def test_linear_models_keep_every_term_and_load(spark, tmp_path):
     for r in rows.collect():
         words = [w for w in re.split(r"[^0-9a-z_]+", r.text.lower()) if w]
         terms.update(words)
-    known = set(model.features.stages[0].vocabulary)
-    assert len({t for t in known if " " not in t}) <= len(terms) and model.features.stages[0].getVocabSize() >= len(known)
+    known = {r.term for r in model.terms.select("term").collect()}
+    assert {t for t in terms if len(t) > 1} >= {t for t in known if " " not in t}
+    train = rows.join(stratified_split(rows, "intent", 0.2).where("split = 'train'").select("row_id"), "row_id")
+    assert known == {t for r in word_bags(train, "row_id").collect() for t in r.terms}
     model.save(str(tmp_path / "svm"))
     again = LinearModel.load(spark, str(tmp_path / "svm"))
     asked = rows.select("row_id", "text")
@@ -224,7 +229,55 @@ def test_linear_models_keep_every_term_and_load(spark, tmp_path):
     assert one == two and (again.name, again.labels) == ("svm", model.labels)
 
 
-def test_a_bounded_fit_takes_a_seeded_sample(spark):
-    rows = sample(spark, 40)
-    assert fit_rows(rows, "row_id", 15).count() == 15
-    assert fit_rows(rows, "row_id", 1000).count() == rows.count()
+def plain_fit(x, y, k, name, weight):
+    """Gradient descent in NumPy on the same objective, with the last column of ``x`` as the bias."""
+    free = np.ones(x.shape[1])
+    free[-1] = 0.0 if name == "logreg" else 1.0
+    one = np.eye(k)[y]
+
+    def value(w):
+        m = x @ w
+        if name == "logreg":
+            p = np.exp(m - m.max(1, keepdims=True))
+            total = p.sum(1, keepdims=True)
+            loss = weight @ (np.log(total[:, 0]) + m.max(1) - (m * one).sum(1))
+            slope = weight[:, None] * (p / total - one)
+        else:
+            short = np.maximum(0, 1 - (2 * one - 1) * m)
+            loss, slope = (short**2).sum(), -2 * (2 * one - 1) * short
+        return loss + 0.5 * (free[:, None] * w * w).sum(), x.T @ slope + free[:, None] * w
+
+    w, step = np.zeros((x.shape[1], k)), 0.1
+    f, g = value(w)
+    for _ in range(20_000):
+        while (new := value(w - step * g))[0] > f - 0.3 * step * (g * g).sum():
+            step /= 2
+            if step < 1e-12:
+                return w, f
+        w, (f, g), step = w - step * g, new, step * 1.5
+        if (g * g).sum() < 1e-12:
+            break
+    return w, f
+
+
+@pytest.mark.parametrize("name", ["logreg", "svm"])
+def test_linear_fits_equal_plain_ones(spark, name):
+    rows = sample(spark, 12).limit(30)
+    entries = fit_entries(rows)
+    model = fit_linear(entries, name, tolerance=1e-4)
+    found = entries.by_row.collect()
+    terms = sorted({r.term for r in found} - {""}) + [""]
+    keys = sorted({r.row for r in found})
+    x = np.zeros((len(keys), len(terms)))
+    for r in found:
+        x[keys.index(r.row), terms.index(r.term)] = r.x
+    label = {r.row: r.y for r in entries.rows.collect()}
+    y, k = np.array([label[n] for n in keys]), len(entries.sizes)
+    weight = np.array([len(keys) / (k * entries.sizes[c][1]) for c in y])
+    w, f = plain_fit(x, y, k, name, weight)
+    assert abs(model.about["objective"] - f) < 1e-4 * f and model.converged
+    got = {r.term: [r[f"w{j}"] for j in range(k)] for r in model.terms.collect()}
+    assert np.abs(np.array([got[t] for t in terms[:-1]]) - w[:-1]).max() < 2e-3
+    margins = {r.row_id: r.scores for r in model.scores(rows.select("row_id", "text")).collect()}
+    assert np.abs(np.array([margins[n] for n in keys]) - x @ w).max() < 5e-3
+

@@ -1,146 +1,254 @@
-"""Logistic regression and linear SVM through Spark ML on the same TF-IDF features."""
+"""Logistic regression and linear SVM on TF-IDF weights, by vector-free L-BFGS over term-keyed tables.
+
+Weights, gradients and the history of the solver are rows ``(term, k values each)``; the entries of the
+texts are two tables, dealt by term and by text, so that a pass moves weights and gradients and not
+entries. Only dot products of these vectors and sums of losses come to the driver (Chen, Wang and Zhou,
+"Large-scale L-BFGS using MapReduce", 2014): the vocabulary is bounded by the cluster. All classes share a pass. No
+key holds more rows than there are texts, whatever the words.
+
+A step takes two passes: margins of the direction, after which losses of all step lengths are sums over the texts, and
+the gradient at the best length. The bias is the weight of the empty term, which no text has.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    LinearSVC,
-    LogisticRegression,
-    LogisticRegressionModel,
-    OneVsRest,
-    OneVsRestModel,
-)
-from pyspark.ml.feature import (
-    IDF,
-    CountVectorizer,
-    ElementwiseProduct,
-    Normalizer,
-    StringIndexer,
-)
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterlake.functions.numeric import sigmoid
-from utterlake.functions.text import word_ngrams
-from utterlake.operators.evaluate import class_weights
-from utterlake.operators.joins import BROADCAST_ROWS
-from utterlake.operators.split import seeded_sample
+from utterlake.functions.numeric import argmax, sigmoid, softmax
+from utterlake.operators.features import Tfidf, fit_idf, term_rows, word_bags
+from utterlake.operators.joins import hot_keys, salted_lookup
+from utterlake.session import bucketed, materialize
+
+#: A fit ends when the gradient has this part of its first length, or after so many steps.
+TOLERANCE = 1e-2
+MOST_STEPS = 100
+HISTORY = 3
+#: Step lengths that are tried, in the first step for a direction of length 1.
+FIRST_LENGTHS = [0.1, 0.3, 1, 3, 10, 30, 100, 300]
+LENGTHS = [0.03, 0.1, 0.25, 0.5, 1, 1.5, 2.5, 4]
+BIAS = ""
+
+
+def _softmax_loss(margins: Sequence[Column], label: Column) -> tuple[Column, list[Column]]:
+    """Multinomial log-loss and its derivative by each margin."""
+    most = F.greatest(*margins) if len(margins) > 1 else margins[0]
+    powers = [F.exp(m - most) for m in margins]
+    total = reduce(add, powers)
+    own = reduce(add, [F.when(label == n, m).otherwise(0.0) for n, m in enumerate(margins)])
+    return most + F.log(total) - own, [p / total - F.when(label == n, 1.0).otherwise(0.0) for n, p in enumerate(powers)]
+
+
+def _hinge_loss(margins: Sequence[Column], label: Column) -> tuple[Column, list[Column]]:
+    """Squared hinge loss of one class against all others, added over the classes, and its derivatives."""
+    signs = [F.when(label == n, 1.0).otherwise(-1.0) for n in range(len(margins))]
+    short = [F.greatest(1.0 - s * m, F.lit(0.0)) for s, m in zip(signs, margins, strict=True)]
+    return reduce(add, [v * v for v in short]), [-2.0 * s * v for s, v in zip(signs, short, strict=True)]
+
+
+LOSSES = {"logreg": _softmax_loss, "svm": _hinge_loss}
+
 
-#: Labelled rows that a linear model is fitted on, at most: what Spark ML keeps on the driver is bounded
-#: by the terms of so many texts. Naive Bayes is fitted on all rows.
-FIT_ROWS = 100_000
-TOLERANCE = 1e-4
-LOGREG_ITER = 2000
-SVM_ITER = 1000
+def _columns(name: str, k: int) -> list[Column]:
+    return [F.col(f"{name}{j}") for j in range(k)]
+
+
+def _dot(a: str, b: str, k: int) -> str:
+    return "sum(" + " + ".join(f"{a}{j} * {b}{j}" for j in range(k)) + ")"
+
+
+@dataclass
+class Fit:
+    """What a fit has reached: its weights ``term, w0, w1, ...``, objective, length of the gradient and steps."""
+
+    weights: DataFrame
+    objective: float
+    gradient: float
+    steps: int
+    converged: bool
+
+
+def _two_loops(gram: np.ndarray, pairs: int) -> np.ndarray:
+    """Coefficients of the L-BFGS direction over the vectors s1.., y1.., g from their dot products."""
+    out = np.zeros(2 * pairs + 1)
+    out[-1] = -1.0
+    alpha = np.zeros(pairs)
+    for n in reversed(range(pairs)):
+        alpha[n] = gram[n] @ out / gram[n, pairs + n]
+        out[pairs + n] -= alpha[n]
+    if pairs:
+        out *= gram[pairs - 1, 2 * pairs - 1] / gram[2 * pairs - 1, 2 * pairs - 1]
+    for n in range(pairs):
+        out[n] += alpha[n] - gram[pairs + n] @ out / gram[n, pairs + n]
+    return out
+
+
+def minimise(by_term: DataFrame, by_row: DataFrame, rows: DataFrame, k: int, loss, c: float, free_bias: bool, tolerance: float, most: int) -> Fit:
+    """Least ``|w|^2 / 2 + c * sum of weighted losses``, from entries ``term, row, x`` and texts ``row, y, weight``.
+
+    With ``free_bias`` the weight of the empty term is not part of ``|w|``.
+    """
+    margins, classes = _columns("m", k), range(k)
+    rest = f"CASE WHEN term = '{BIAS}' THEN 0D ELSE 1D END" if free_bias else "1D"
+
+    def gradient(at: DataFrame) -> DataFrame:
+        _, slopes = loss(margins, F.col("y"))
+        known = at.select("row", *[(F.lit(c) * F.col("weight") * s).alias(f"r{j}") for j, s in enumerate(slopes)])
+        return by_row.join(known, "row").groupBy("term").agg(*[F.expr(f"sum(x * r{j}) AS n{j}") for j in classes])
+
+    def products(state: DataFrame, names: list[str], new: list[int], known: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Dot products of the vectors, those of ``new`` ones from the table, and the values of the bias."""
+        pairs = [(a, b) for a in new for b in range(len(names)) if b not in new or b >= a]
+        sums = [F.expr(f"{_dot(names[a], names[b], k)} AS p{a}_{b}") for a, b in pairs]
+        row = state.agg(*sums, *[F.expr(f"max(CASE WHEN term = '{BIAS}' THEN {n}{j} END) AS b_{n}{j}") for n in names for j in classes]).first()
+        for a, b in pairs:
+            known[a, b] = known[b, a] = row[f"p{a}_{b}"] or 0.0
+        return known, {n: np.array([row[f"b_{n}{j}"] or 0.0 for j in classes]) for n in names}
+
+    at = rows.selectExpr("row", "y", "weight", *[f"0D AS m{j}" for j in classes])
+    start = gradient(at).selectExpr("term", *[f"0D AS w{j}" for j in classes], *[f"n{j} AS g{j}" for j in classes])
+    state, held, names = materialize(start, "solver"), [], ["w", "g"]
+    gram, bias = products(state, names, [0, 1], np.zeros((2, 2)))
+    first = gram[-1, -1]
+    value = at.agg(F.sum(F.lit(c) * F.col("weight") * loss(margins, F.col("y"))[0]).alias("f")).first()["f"] or 0.0
+    for step in range(most):
+        if gram[-1, -1] <= tolerance**2 * first or not first:
+            return Fit(state, value, float(np.sqrt(gram[-1, -1])), step, True)
+        parts = np.concatenate([[0.0], _two_loops(gram[1:, 1:], len(held))])
+        if not held:
+            parts /= np.sqrt(gram[-1, -1])
+        way = [" + ".join(f"{float(p)!r}D * {n}{j}" for p, n in zip(parts[1:], names[1:], strict=True)) for j in classes]
+        moved = state.selectExpr("*", *[f"{d} AS d{j}" for j, d in enumerate(way)])
+        along = by_term.join(moved.selectExpr("term", *[f"d{j}" for j in classes]), "term").groupBy("row").agg(*[F.expr(f"sum(x * d{j}) AS d{j}") for j in classes])
+        both = at.join(along, "row", "left").selectExpr("row", "y", "weight", *[f"m{j}" for j in classes], *[f"coalesce(d{j}, 0D) AS d{j}" for j in classes])
+        both = materialize(both, "margins")
+        lengths = LENGTHS if held else FIRST_LENGTHS
+        losses = [loss([F.expr(f"m{j} + {float(t)!r}D * d{j}") for j in classes], F.col("y"))[0] for t in lengths]
+        found = both.agg(*[F.sum(F.lit(c) * F.col("weight") * v).alias(f"f{n}") for n, v in enumerate(losses)]).first()
+        ww, wd, dd = gram[0, 0], gram[0] @ parts, parts @ gram @ parts
+        if free_bias:
+            own = sum(p * bias[n] for p, n in zip(parts, names, strict=True))
+            ww, wd, dd = ww - bias["w"] @ bias["w"], wd - bias["w"] @ own, dd - own @ own
+        tried = [found[f"f{n}"] + 0.5 * (ww + 2 * t * wd + t * t * dd) for n, t in enumerate(lengths)]
+        best = int(np.argmin(tried))
+        if tried[best] >= value:
+            return Fit(state, value, float(np.sqrt(gram[-1, -1])), step, False)
+        t, value = float(lengths[best]), tried[best]
+        at = both.selectExpr("row", "y", "weight", *[f"m{j} + {t!r}D * d{j} AS m{j}" for j in classes])
+        kept = held[1:] if len(held) == HISTORY else held
+        after = [f"({rest} * (w{j} + {t!r}D * d{j}) + n{j})" for j in classes]
+        state = moved.join(gradient(at), "term").selectExpr(
+            "term",
+            *[f"w{j} + {t!r}D * d{j} AS w{j}" for j in classes],
+            *[f"{kind}{n}_{j}" for kind in "sy" for n in kept for j in classes],
+            *[f"{t!r}D * d{j} AS s{step}_{j}" for j in classes],
+            *[f"{after[j]} - g{j} AS y{step}_{j}" for j in classes],
+            *[f"{after[j]} AS g{j}" for j in classes],
+        )
+        state = materialize(state, "solver")
+        # Dot products of the new vectors with all; those of the others are known.
+        grown = [*kept, step]
+        known = [f"{kind}{n}_" for kind in "sy" for n in kept]
+        old, names = names, ["w", *[f"s{n}_" for n in grown], *[f"y{n}_" for n in grown], "g"]
+        dots = np.zeros((len(names), len(names)))
+        dots[np.ix_([names.index(n) for n in known], [names.index(n) for n in known])] = gram[np.ix_([old.index(n) for n in known], [old.index(n) for n in known])]
+        fresh = [names.index(n) for n in ("w", f"s{step}_", f"y{step}_", "g")]
+        gram, bias = products(state, names, fresh, dots)
+        held, bend = grown, gram[fresh[1], fresh[2]]
+        if bend <= 1e-12 * gram[fresh[2], fresh[2]]:
+            # A step without curvature says nothing about the next one.
+            held, names, gram = [], ["w", "g"], gram[np.ix_([0, -1], [0, -1])]
+    return Fit(state, value, float(np.sqrt(gram[-1, -1])), most, False)
 
 
 @dataclass
 class LinearModel:
-    """Fitted features and classifier; ``labels`` are the sorted classes, ``converged`` whether no iteration limit was met."""
+    """``terms(term, df, idf, w0, w1, ...)``, the bias of each class and the sorted classes; how the fit ended is in ``about``."""
 
     name: str
-    features: PipelineModel
-    classifier: object
+    terms: DataFrame
+    bias: list[float]
     labels: list[str]
-    converged: bool = True
+    about: dict = field(default_factory=dict)
+
+    @property
+    def converged(self) -> bool:
+        return bool(self.about.get("converged"))
+
+    def scores(self, df: DataFrame, key: str = "row_id", text: str = "text") -> DataFrame:
+        """``(key, scores[k])`` in class order; a text without known terms scores the biases."""
+        k = len(self.labels)
+        rows = term_rows(word_bags(df, key, text), key)
+        joined = salted_lookup(rows, self.terms.drop("df"), ["term"], hot_keys(self.terms, ["term"], "df"), [key])
+        joined = joined.withColumn("_u", F.col("tf") * F.col("idf"))
+        sums = [F.sum(F.col("_u") * F.col(f"w{j}")).alias(f"_a{j}") for j in range(k)]
+        parts = joined.groupBy(key).agg(F.sqrt(F.sum(F.col("_u") * F.col("_u"))).alias("_n"), *sums)
+        total = F.array(*[F.coalesce(F.col(f"_a{j}") / F.col("_n"), F.lit(0.0)) + F.lit(b) for j, b in enumerate(self.bias)])
+        return df.select(key).join(parts, key, "left").select(key, total.alias("scores"))
 
     def predict(self, df: DataFrame, key: str = "row_id", text: str = "text") -> DataFrame:
-        """``df`` with ``predicted_intent`` and ``confidence``; ``key`` is not needed, rows are scored where they are."""
-        scored = self.classifier.transform(self.features.transform(with_terms(df, text)))
-        names = F.array(*[F.lit(v) for v in self.labels])
-        if self.name == "logreg":
-            sure = F.array_max(vector_to_array("probability"))
-        else:
-            sure = sigmoid(F.array_max(vector_to_array("rawPrediction")))
-        return scored.select(
-            *df.columns,
-            names[F.col("prediction").cast("int")].alias("predicted_intent"),
-            sure.alias("confidence"),
-        )
+        """``df`` with ``predicted_intent`` and ``confidence``; the first class wins ties."""
+        names = F.array(*[F.lit(label) for label in self.labels])
+        out = self.scores(df, key, text).withColumn("_at", argmax("scores"))
+        sure = softmax("scores")[F.col("_at")] if self.name == "logreg" else sigmoid(F.array_max("scores"))
+        return df.join(out.select(key, names[F.col("_at")].alias("predicted_intent"), sure.alias("confidence")), key)
 
     def save(self, path: str) -> None:
-        self.features.write().overwrite().save(f"{path}/features")
-        self.classifier.write().overwrite().save(f"{path}/classifier")
-        rows = [(n, label, self.name, self.converged) for n, label in enumerate(self.labels)]
-        spark = SparkSession.active()
-        about = spark.createDataFrame(rows, "place int, class string, name string, converged boolean")
+        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        rows = [(n, c, self.bias[n], self.name, self.converged, *[float(self.about.get(m, 0)) for m in ("objective", "gradient", "steps")]) for n, c in enumerate(self.labels)]
+        about = SparkSession.active().createDataFrame(
+            rows, "place int, class string, bias double, name string, converged boolean, objective double, gradient double, steps double"
+        )
         about.coalesce(1).write.mode("overwrite").parquet(f"{path}/classes")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> LinearModel:
         rows = spark.read.parquet(f"{path}/classes").orderBy("place").collect()
-        kind = LogisticRegressionModel if rows[0]["name"] == "logreg" else OneVsRestModel
-        features = PipelineModel.load(f"{path}/features")
-        return cls(rows[0]["name"], features, kind.load(f"{path}/classifier"), [r["class"] for r in rows], rows[0]["converged"])
-
-
-def with_terms(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn("_terms", word_ngrams(F.coalesce(F.col(text), F.lit(""))))
-
-
-def fit_rows(df: DataFrame, key: str, limit: int = FIT_ROWS) -> DataFrame:
-    """The labelled rows to fit on: all of them up to ``limit``, else a seeded sample of so many."""
-    return seeded_sample(df, limit, key)
-
-
-def fit_features(df: DataFrame, text: str) -> PipelineModel:
-    """Counts over the whole vocabulary of the rows, smooth idf with one added, unit length."""
-    work = with_terms(df, text).select("_terms")
-    known = work.select(F.explode("_terms").alias("t")).agg(F.count_distinct("t")).first()[0]
-    counter = CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=1.0, vocabSize=max(known, 1))
-    first = Pipeline(stages=[counter, IDF(inputCol="_tf", outputCol="_idf")]).fit(work)
-    # Spark ML's idf has no one added; scaling the counts by idf + 1 gives the wanted weights.
-    scale = Vectors.dense(first.stages[1].idf.toArray() + 1.0)
-    product = ElementwiseProduct(scalingVec=scale, inputCol="_tf", outputCol="_weight")
-    unit = Normalizer(p=2.0, inputCol="_weight", outputCol="features")
-    return PipelineModel(stages=[first.stages[0], product, unit])
-
-
-def prepared(df: DataFrame, features: PipelineModel, label: str, text: str) -> tuple[DataFrame, list[str]]:
-    """``(features, label_id, weight)`` with balanced class weights, and the sorted classes."""
-    indexer = StringIndexer(inputCol=label, outputCol="label_id", stringOrderType="alphabetAsc", handleInvalid="error")
-    fitted = indexer.fit(df)
-    weights = class_weights(df, label).select(label, "weight")
-    # The indexer has read the labels already, so their number is known.
-    weights = F.broadcast(weights) if len(fitted.labels) <= BROADCAST_ROWS else weights
-    rows = fitted.transform(features.transform(with_terms(df.join(weights, label), text)))
-    return rows.select("features", "label_id", "weight"), list(fitted.labels)
-
-
-def fit_logreg(rows: DataFrame, labels: list[str], features: PipelineModel, c: float = 1.0, max_iter: int = LOGREG_ITER) -> LinearModel:
-    """Multinomial, L2, balanced. The weights add up to the row count, hence the penalty."""
-    total = rows.count()
-    model = LogisticRegression(
-        featuresCol="features",
-        labelCol="label_id",
-        weightCol="weight",
-        family="multinomial",
-        standardization=False,
-        elasticNetParam=0.0,
-        regParam=1.0 / (c * total),
-        maxIter=max_iter,
-        tol=TOLERANCE,
-    )
-    fitted = model.fit(rows)
-    return LinearModel("logreg", features, fitted, labels, fitted.summary.totalIterations < max_iter)
-
-
-def fit_svm(rows: DataFrame, labels: list[str], features: PipelineModel, c: float = 1.0, max_iter: int = SVM_ITER) -> LinearModel:
-    """One linear SVM per class."""
-    total = rows.count()
-    one = LinearSVC(
-        featuresCol="features",
-        labelCol="label_id",
-        standardization=False,
-        regParam=1.0 / (c * total),
-        maxIter=max_iter,
-        tol=TOLERANCE,
-    )
-    many = OneVsRest(classifier=one, featuresCol="features", labelCol="label_id", parallelism=4)
-    fitted = many.fit(rows)
-    done = all(m.summary().totalIterations < max_iter for m in fitted.models)
-    return LinearModel("svm", features, fitted, labels, done)
+        about = {m: rows[0][m] for m in ("converged", "objective", "gradient", "steps")} if rows else {}
+        return cls(rows[0]["name"], spark.read.parquet(f"{path}/terms"), [r["bias"] for r in rows], [r["class"] for r in rows], about)
+
+
+@dataclass
+class Entries:
+    """The fitted rows as sparse unit vectors: ``term, row, x`` dealt by term and by row, the texts, the vocabulary and the classes."""
+
+    by_term: DataFrame
+    by_row: DataFrame
+    rows: DataFrame
+    vocab: DataFrame
+    sizes: list[tuple[str, int]]
+
+
+def fit_entries(df: DataFrame, key: str = "row_id", label: str = "intent", text: str = "text") -> Entries:
+    """TF-IDF over the whole vocabulary of all labelled rows; both linear models are fitted on it."""
+    rows = df.select(key, F.col(label).cast("string").alias("_class"), F.col(text).alias("_doc")).where("_class is not null and _doc is not null")
+    bags = materialize(word_bags(rows, key, "_doc", ["_class"]), "linear-bags")
+    sizes = sorted((r["_class"], r["n"]) for r in bags.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).collect())
+    vocab = materialize(fit_idf(bags, sum(n for _, n in sizes)), "linear-vocabulary")
+    weighed = materialize(Tfidf(vocab).weigh(bags, key).select(F.col(key).alias("row"), "term", "weight"), "linear-weights")
+    length = weighed.groupBy("row").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_n"))
+    entries = weighed.join(length, "row").select("row", "term", (F.col("weight") / F.col("_n")).alias("x"))
+    entries = entries.union(bags.select(F.col(key), F.lit(BIAS), F.lit(1.0)))
+    number = reduce(lambda c, p: c.when(F.col("_class") == p[1][0], p[0]), enumerate(sizes), F.when(F.lit(False), -1))
+    texts = materialize(bags.select(F.col(key).alias("row"), number.alias("y")), "linear-rows")
+    return Entries(bucketed(entries, "term", "entries-by-term"), bucketed(entries, "row", "entries-by-row"), texts, vocab, sizes)
+
+
+def fit_linear(entries: Entries, name: str, c: float = 1.0, tolerance: float = TOLERANCE, most: int = MOST_STEPS) -> LinearModel:
+    """``logreg``: multinomial, balanced class weights, free bias. ``svm``: squared hinge, one class against the others."""
+    k, total = len(entries.sizes), sum(n for _, n in entries.sizes)
+    weight = F.lit(1.0)
+    if name == "logreg":
+        weight = F.element_at(F.array(*[F.lit(total / (k * n)) for _, n in entries.sizes]), F.col("y") + 1)
+    rows = entries.rows.withColumn("weight", weight)
+    fit = minimise(entries.by_term, entries.by_row, rows, k, LOSSES[name], c, name == "logreg", tolerance, most)
+    bias = fit.weights.where(F.col("term") == BIAS).select(*_columns("w", k)).first()
+    terms = materialize(entries.vocab.join(fit.weights.select("term", *_columns("w", k)), "term"), f"linear-{name}")
+    about = {"converged": fit.converged, "objective": float(fit.objective), "gradient": fit.gradient, "steps": fit.steps}
+    return LinearModel(name, terms, [float(b) for b in bias], [label for label, _ in entries.sizes], about)

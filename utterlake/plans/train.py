@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from utterlake.operators.checks import drop_null, require_columns
 from utterlake.operators.classify import fit_naive_bayes
 from utterlake.operators.evaluate import accuracy, best_model, classification_report
-from utterlake.operators.linear import FIT_ROWS, fit_features, fit_logreg, fit_rows, fit_svm, prepared
+from utterlake.operators.linear import fit_entries, fit_linear
 from utterlake.operators.split import stratified_split
 from utterlake.operators.stats import response_pool
 from utterlake.rules import EVAL_SHARE, MODEL_ORDER, NB_ALPHA, SEED
@@ -50,12 +52,12 @@ def train_classical(
     key: str = "row_id",
     eval_share: float = EVAL_SHARE,
     seed: int = SEED,
-    linear_rows: int = FIT_ROWS,
 ) -> TrainResult:
     """Fit one or all models, report on held-out rows and name the best one.
 
     With ``eval_df`` all of ``df`` is for training; otherwise ``df`` is split, by class where the
-    classes allow it. ``linear_rows`` bounds the rows that logistic regression and SVM are fitted on.
+    classes allow it. All models are fitted on all rows; the two linear ones share their entries and are
+    fitted side by side, as their steps wait for small results.
     """
     names = MODEL_ORDER if model == "all" else [model]
     unknown = [n for n in names if n not in MODEL_ORDER]
@@ -75,17 +77,15 @@ def train_classical(
         train, held = lean(df), lean(require_columns(eval_df, [text, label], "Test dataset"))
 
     models, reports, metrics = {}, {}, None
-    features = rows = labels = None
-    if {"logreg", "svm"} & set(names):
-        some = materialize(fit_rows(train, key, linear_rows), "fit-rows")
-        features = fit_features(some, "text")
-        rows, labels = prepared(some, features, "intent", "text")
-        rows = materialize(rows, "features")
+    linear = [n for n in names if n != "naive_bayes"]
+    fits = {}
+    if linear:
+        entries = fit_entries(train, key, "intent", "text")
+        with ThreadPoolExecutor(len(linear)) as pool:
+            jobs = {n: pool.submit(copy_context().run, fit_linear, entries, n) for n in linear}
+            fits = {n: job.result() for n, job in jobs.items()}
     for name in names:
-        if name == "naive_bayes":
-            fitted = fit_naive_bayes(train, key, alpha=NB_ALPHA)
-        else:
-            fitted = (fit_logreg if name == "logreg" else fit_svm)(rows, labels, features)
+        fitted = fits.get(name) or fit_naive_bayes(train, key, alpha=NB_ALPHA)
         scored = fitted.predict(held, key)
         scored = materialize(scored.select("intent", "predicted_intent"), f"scored-{name}")
         models[name] = fitted

@@ -72,3 +72,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` written once to scratch, dealt and sorted by ``key``: joins and groups on it do not move it again."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    writer = df.repartition(parts, key).write.format("parquet").option("path", scratch_path(spark, name))
+    writer.bucketBy(parts, key).sortBy(key).saveAsTable(table)
+    return spark.table(table)
