@@ -14,7 +14,9 @@ documents link when ``100 * common >= percent * union``.
   proposes or that is pruned, with the chances above.
 * Components. In each turn a component meets a few sets of its buckets that are not in it yet, and the likeliest pair is
   verified, until few turn out to link; then all pairs of a bucket that still lie in two components are
-  compared, large buckets in pairs of blocks. Pairs inside a component need no comparison, so thousands of
+  compared, large buckets in pairs of blocks; there the join itself looks at the first batches, and at bitmaps
+  of the sets that bound what two of them can share, so that a large group just below the threshold does not
+  leave all its pairs. Pairs inside a component need no comparison, so thousands of
   copies cost a few pairs each, and no group is collected.
 
 Null texts and texts without words have an empty set, link with nothing and are their own component. A text
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from utterlake.llm.components import components
 from utterlake.llm.grams import mix
-from utterlake.llm.jaccard_join import _open, _placed, _side, block_sets, exact
+from utterlake.llm.jaccard_join import _open, _placed, _side, bitmap, block_sets, exact
 from utterlake.llm.packing import _slices
 from utterlake.llm.tables import keyed_table, lean, read
 from utterlake.session import materialize
@@ -115,7 +117,7 @@ def set_rows(size: int):
 
 
 def signed():
-    """Adds ``sign``: a byte of each of ``HASHES`` min-hashes, eight in a number."""
+    """Adds ``sign``, a byte of each of ``HASHES`` min-hashes, eight in a number, and ``wide``, a bitmap of eight bits or more for each run."""
 
     def run(batches):
         for batch in batches:
@@ -124,7 +126,10 @@ def signed():
             found = min_hashes(lists.flatten().to_numpy().view(np.uint64), at, HASHES)
             sign = (found & np.uint64(0xFF)).astype(np.uint8).reshape(-1).view(np.int64)
             ends = np.arange(batch.num_rows + 1) * (HASHES // 8)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sign))], names=[*batch.schema.names, "sign"])
+            runs = lists.flatten().to_numpy().view(np.uint64)
+            wide = [bitmap(runs[i:j], 1 << max(0, int(j - i - 1).bit_length() - 3)) for i, j in zip(at[:-1], at[1:], strict=True)]
+            columns = [*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sign)), pa.array(wide, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "sign", "wide"])
 
     return run
 
@@ -198,7 +203,8 @@ def open_pairs(rows: DataFrame, nodes: DataFrame, percent: int, block: int) -> D
     """Pairs ``a, b`` of sets of one bucket in two components that the first batches do not prune."""
     least = least_agreeing(percent)
     numbers = range(JOINED)
-    known = rows.join(nodes.select("node", "sign"), "node").select("tile", "node", "n", "component", "held", *_words("sign", "s", numbers))
+    known = rows.join(nodes.select("node", "sign", "wide"), "node").select("tile", "node", "n", "component", "held", "wide", *_words("sign", "s", numbers))
+    known = known.withColumn("ones", F.aggregate("wide", F.lit(0), lambda s, v: s + F.bit_count(v)))
     # A bucket of many sets is dealt to blocks; a set goes to each pair of blocks that holds its own.
     parts = F.ceil(F.col("held") / block)
     known = known.withColumn("own", F.pmod(F.xxhash64("node", "tile"), parts))
@@ -208,7 +214,10 @@ def open_pairs(rows: DataFrame, nodes: DataFrame, percent: int, block: int) -> D
     fits = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND x.component <> y.component AND (x.p = x.q OR x.own <> y.own)"
     one = f"{agreeing('x.s', 'y.s', range(FIRST))} >= {least[0]}"
     more = f"{agreeing('x.s', 'y.s', numbers)} >= {least[8 * JOINED // BATCH - 1]}"
-    both = dealt.alias("x").join(dealt.alias("y"), ["tile", "p", "q"]).where(F.expr(f"x.node < y.node AND {fits} AND {one} AND {more}"))
+    # A bit of one set that the other lacks is a run that they do not share; bitmaps of one size can tell.
+    shared = "aggregate(zip_with(x.wide, y.wide, (a, b) -> bit_count(a & b)), 0, (s, v) -> s + v)"
+    may = f"size(x.wide) <> size(y.wide) OR {100 + percent} * ({shared} + least(x.n - x.ones, y.n - y.ones)) >= {percent} * (x.n + y.n)"
+    both = dealt.alias("x").join(dealt.alias("y"), ["tile", "p", "q"]).where(F.expr(f"x.node < y.node AND {fits} AND {one} AND {more} AND ({may})"))
     return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
@@ -241,7 +250,7 @@ def near_duplicate_groups(docs: DataFrame, size: int = SIZE, percent: int = PERC
     some = sets.where("n_shingles > 0").withColumnRenamed("n_shingles", "n")
     tiles = buckets(some.select("node", "n", "keys").dropDuplicates(["node"]))
     met = some.select("node", "n", "runs").join(tiles.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    nodes = keyed_table(met.mapInArrow(signed(), "node long, n long, runs array<long>, sign array<long>"), "node", "minhash-nodes")
+    nodes = keyed_table(met.mapInArrow(signed(), "node long, n long, runs array<long>, sign array<long>, wide array<long>"), "node", "minhash-nodes")
     labels = near_components(tiles, nodes, percent, bucket_block)
     rows = sets.select("doc_id", "node", "n_shingles")
     if labels is None:
