@@ -40,6 +40,8 @@ POWER = 1.0
 SEED = 20
 BLANK = "▁"
 SLICE_CHARS = 200_000
+#: Ids that are decoded at once.
+DECODED_IDS = 300_000
 #: Bytes of distinct words whose lattices a task keeps.
 KEPT_BYTES = 200_000
 
@@ -398,10 +400,14 @@ def decode_lists(pieces: Pieces, lists) -> tuple[np.ndarray, np.ndarray]:
 
 def decode_rows(pieces: Pieces, names: list[str]):
     def run(batches):
-        for batch in batches:
-            data, at = decode_lists(pieces, batch.column("ids"))
-            text = [data[a:b].tobytes().decode(errors="replace") for a, b in zip(at, at[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(text, pa.string())], names=[*names, "text"])
+        for whole in batches:
+            size = np.cumsum(whole.column("ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            edges = [0, *(np.flatnonzero(np.diff(size // DECODED_IDS)) + 1).tolist(), whole.num_rows]
+            for low, high in zip(edges, edges[1:], strict=False):
+                batch = whole.slice(low, high - low)
+                data, at = decode_lists(pieces, batch.column("ids"))
+                text = [data[a:b].tobytes().decode(errors="replace") for a, b in zip(at, at[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(text, pa.string())], names=[*names, "text"])
 
     return run
 
