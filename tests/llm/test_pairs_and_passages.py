@@ -34,6 +34,7 @@ def passages(prose):
     shared = prose(100, 55)
     rows = [(n, prose(n, 40) + " " + shared + " " + prose(1000 + n, 30)) for n in range(40)]
     rows += [(50, shared), (51, prose(7, 19)), (52, prose(7, 19)), (53, prose(8, 20)), (54, prose(8, 20))]
+    rows += [(55, prose(10, 30) + " " + prose(11, 9) + " " + prose(10, 30) + " y"), (56, prose(12, 12) * 4)]
     rows += [(60, prose(9, 25) + "\n" + prose(9, 25)), (61, "x " * 200), (62, "x " * 19), (63, prose(9, 25).upper())]
     return rows
 

@@ -3,15 +3,17 @@
 Of every window of ``window`` words that occurs more than once, the first occurrence stays (smallest id,
 then smallest start) and the words of all others go. Windows are judged on the input.
 
-1. Documents are dealt to blocks of bounded text. Of each run of neighbouring phrases (``phrase`` words) a
-   window picks the one with the least hash, so equal windows pick equal phrases. A block sends every
-   picked phrase once, as a hash; phrases that more than one block holds recur across blocks.
-2. Each block compiles the phrases that recur and that it holds into an Aho-Corasick automaton over word
-   numbers: the shards of one big automaton, cut so that no document need pass a shard without a phrase
-   of its own. All documents of the block stream through it, which finds each place of each phrase.
-   Windows that picked such a place are hashed to 128 bits and sent once for each block.
-3. The block that holds a window's first occurrence keeps it there; all other occurrences are removed.
-   Repeats inside one block need no exchange: the block sees them itself.
+1. Confirming. Documents are dealt to blocks of bounded text. Of each run of neighbouring phrases (``phrase``
+   words) a window picks the one with the least hash, so equal windows pick equal phrases. A block sends every
+   picked phrase once, with a mark if it was picked at two places; phrases that two blocks send, or one with
+   the mark, recur. This counts over all documents, repeats inside one block and one document included.
+2. Automata. The phrases that recur and that a block holds are one shard: an Aho-Corasick automaton over word
+   numbers, cut so that no document need pass a shard without a phrase of its own. All documents of the block
+   stream through it, and its hits alone tell which places are candidates: a window is looked at if the place
+   that it picked was hit. Candidates are hashed to 128 bits and sent once for each block.
+3. The block that holds a window's first occurrence keeps it there. To remove the others, the block's shard
+   runs once more over its documents: of equal candidates in the block all but the first go, and the first
+   too if another block has an earlier one.
 
 A passage that a third of all rows share is one row for each block in both exchanges. No row, phrase or
 window is dropped, and no task holds more than the rows of one block or the blocks of one phrase.
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 
 from utterlake.llm.grams import Words, inside, runs
 from utterlake.llm.tables import lean, read, text_parts
+from utterlake.session import materialize
 
 WINDOW = 20
 PHRASE = 8
@@ -70,10 +73,11 @@ def phrase_rows(window: int, phrase: int):
 
         words = Words(table["text"])
         hashes = words.hashes()
-        _, places = picked(runs(hashes, phrase), inside(words, window), window, phrase)
-        found = np.unique(runs(hashes, phrase)[np.unique(places)]) if len(places) else np.zeros(0, np.uint64)
+        grams = runs(hashes, phrase)
+        _, places = picked(grams, inside(words, window), window, phrase)
+        found, counts = np.unique(grams[np.unique(places)], return_counts=True)
         block = pa.array(np.full(len(found), key[0].as_py()), pa.int64())
-        return pa.table({"block": block, "phrase": pa.array(found.view(np.int64))})
+        return pa.table({"block": block, "phrase": pa.array(found.view(np.int64)), "again": pa.array(counts > 1)})
 
     return run
 
@@ -165,30 +169,23 @@ def window_rows(window: int, phrase: int):
 
 
 def removal(window: int, phrase: int, keep: Sequence[str]):
-    def run(key, table, later):
+    def run(key, table, found):
         import numpy as np
         import pyarrow as pa
 
         table = _sorted_block(table)
         words = Words(table["text"])
         hashes = words.hashes()
-        starts = np.flatnonzero(inside(words, window))
+        recurring = np.sort(found["phrase"].drop_null().to_numpy().view(np.uint64))
+        starts, high, low = _candidates(words, hashes, recurring, window, phrase)
         gone = np.zeros(len(words) + 1, np.int64)
         if len(starts):
-            high, low = runs(hashes, window)[starts], runs(hashes, window, 1)[starts]
-            twice = np.zeros(len(starts), bool)
-            order = np.argsort(high, kind="stable")
-            same = high[order][1:] == high[order][:-1]
-            twice[order[1:][same]] = True
-            twice[order[:-1][same]] = True
-            # A window that starts earlier in another block, by the place of its first occurrence here.
-            elsewhere = np.isin(starts, later["start"].to_numpy())
-            drop = elsewhere.copy()
-            some = np.flatnonzero(twice)
-            first = some[_groups(high[some], low[some])] if len(some) else some
-            drop[some] = (first != some) | elsewhere[first]
-            np.add.at(gone, starts[drop], 1)
-            np.add.at(gone, np.minimum(starts[drop] + window, len(words)), -1)
+            # A window that starts earlier in another block, told by the place of its first occurrence here.
+            elsewhere = np.isin(starts, found["start"].drop_null().to_numpy())
+            first = _groups(high, low)
+            drop = starts[(first != np.arange(len(starts))) | elsewhere[first]]
+            np.add.at(gone, drop, 1)
+            np.add.at(gone, drop + window, -1)
         removed = np.cumsum(gone)[:-1] > 0
         n_removed = np.diff(np.concatenate([[0], np.cumsum(removed)])[words.first])
         columns = {name: table[name] for name in ["doc_id", "text", *keep]}
@@ -211,8 +208,10 @@ def substring_dedup(
     block = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("block")
     blocks = rows.select(block, "doc_id", "text", *keep)
     texts = blocks.select("block", "doc_id", "text")
-    phrases = texts.groupBy("block").applyInArrow(phrase_rows(window, phrase), "block long, phrase long")
-    shared = phrases.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("phrase"))).where("_n > 1").drop("_n")
+    phrases = texts.groupBy("block").applyInArrow(phrase_rows(window, phrase), "block long, phrase long, again boolean")
+    over = Window.partitionBy("phrase")
+    counted = phrases.select("block", "phrase", (F.count(F.lit(1)).over(over) > 1).alias("_many"), F.max("again").over(over).alias("_again"))
+    shared = materialize(counted.where("_many OR _again").select("block", "phrase"), "phrases")
     found = (
         texts.groupBy("block")
         .cogroup(shared.groupBy("block"))
@@ -223,7 +222,8 @@ def substring_dedup(
     later = found.withColumn("_first", first).where(F.col("_first.b") != F.col("block")).select("block", "start")
     kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep)
     schema = f"doc_id long, text string{kept}, n_words long, n_removed long, kept_text string"
-    return blocks.groupBy("block").cogroup(later.groupBy("block")).applyInArrow(removal(window, phrase, keep), schema)
+    known = later.withColumn("phrase", F.lit(None).cast("long")).unionByName(shared.withColumn("start", F.lit(None).cast("long")))
+    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(removal(window, phrase, keep), schema)
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
