@@ -280,13 +280,13 @@ top AS (SELECT aq.qid, aq.intent, coalesce(r.ex_id, en.first_id) AS ex_id, coale
   FROM aq JOIN en USING (intent) LEFT JOIN (SELECT * FROM rnk WHERE rn = 1) r ON r.qid = aq.qid)"""
 
 
-def found(questions: str, routed: bool = False) -> str:
-    """CTEs that end in ``fnd``: predictions with match, first example and general answer."""
+def found(questions: str, routed: bool = False, tables: str = f"{UTT}, {ASK}", train: str = "utt", generic: str = GENERIC) -> str:
+    """CTEs that end in ``fnd``: predictions with match, first example and general answer; ``utt`` holds the examples."""
     intent = f"coalesce({route_sql('k.text')}, p.predicted_intent)" if routed else "p.predicted_intent"
-    return f"""{UTT}, {ASK}, {model('utt')}, {predictions('prd', questions, 'qid')},
+    return f"""{tables}, {model(train)}, {predictions('prd', questions, 'qid')},
 rou AS (SELECT k.qid, k.text, {intent} AS predicted_intent, p.confidence FROM prd p JOIN {questions} k ON k.qid = p.qid),
 aq AS (SELECT qid, predicted_intent AS intent, text FROM rou WHERE confidence >= 0.40),
-{INDEX}, {SIMS}, {TOP}, {GENERIC},
+{INDEX}, {SIMS}, {TOP}, {generic},
 fnd AS (SELECT r.*, t.sim, m.text AS match_text, m.response AS match_response, f.text AS first_text, f.response AS first_response,
     f.row_id AS first_id, gen.generic
   FROM rou r LEFT JOIN top t ON t.qid = r.qid LEFT JOIN utt m ON m.row_id = t.ex_id
@@ -300,6 +300,25 @@ LADDER = f"""CASE WHEN confidence < 0.40 THEN {q(R.clarification)}
  CASE WHEN confidence < 0.40 THEN 'confidence' WHEN first_id IS NULL THEN 'generic_intent'
   WHEN sim < 0.60 THEN 'similarity' ELSE 'none' END AS fallback_type"""
 
+# Of ``found``, what the evaluation form answers.
+REPORT_STEPS = """lad AS (SELECT *, confidence < 0.40 AS low, coalesce(sim, 0) AS s,
+  CASE WHEN coalesce(sim, 0) >= 0.10 THEN match_response ELSE first_response END AS own,
+  CASE WHEN coalesce(sim, 0) >= 0.10 THEN match_text ELSE first_text END AS lik FROM fnd),
+swp AS (SELECT *, s < 0.60 AND generic IS NOT NULL AND generic IS DISTINCT FROM own AS swap FROM lad)"""
+REPORT = f"""SELECT qid, text AS question, predicted_intent, printf('%.4f', confidence) AS intent_confidence,
+ CASE WHEN low THEN 'N/A (confidence too low)' ELSE lik END AS similar_question,
+ printf('%.4f', CASE WHEN low THEN 0 ELSE s END) AS similarity_score,
+ CASE WHEN low THEN {q(R.clarification)} WHEN swap THEN generic ELSE own END AS response,
+ CASE WHEN low THEN 'confidence' WHEN swap THEN 'similarity' ELSE 'none' END AS fallback_type FROM swp"""
+
+# Documents with English cut in three, those with examples, and questions that know no word.
+PARTED = f"""{UTT.replace('utt AS', 'utp AS')},
+trn AS (SELECT * REPLACE (CASE WHEN intent <> 'en' THEN intent WHEN k < 14 THEN 'en low' WHEN k < 17 THEN 'en mid' ELSE 'en high' END AS intent)
+  FROM (SELECT *, try_cast(regexp_extract(source, '[0-9]+') AS INT) AS k FROM utp)),
+utt AS (SELECT * FROM trn WHERE intent NOT IN ({', '.join(q(name) for name in v.UNINDEXED)})), {ASK},
+shq AS (SELECT * FROM ask UNION ALL SELECT p_partkey + 2000000000, p_name || ' der le el' FROM part UNION ALL SELECT c_custkey + 3000000000, c_name FROM customer)"""
+RUNGS = found("shq", tables=PARTED, train="trn", generic=values("gen", "intent, generic", list(v.RUNG_RULES.generic.items())))
+
 ASKED = f"""{UTT}, {ASK}, {model('utt')}, {predictions('prd', 'ask', 'qid')},
 aq AS (SELECT p.qid, p.predicted_intent AS intent, k.text FROM prd p JOIN ask k ON k.qid = p.qid),
 {INDEX}, {SIMS}"""
@@ -487,18 +506,10 @@ SELECT row_id, array_to_string(list_concat(l, list_transform(range(0, 128), lamb
     "answer_batch": with_(found("ask"))
     + f"SELECT qid, predicted_intent, round(confidence, 6) AS confidence, round(sim, 6) AS sim, {LADDER} FROM fnd",
     "answer_routed": with_(found("ask", routed=True)) + f"SELECT qid, predicted_intent, round(sim, 6) AS sim, {LADDER} FROM fnd",
-    "answer_batch_report": with_(
-        found("ask"),
-        """lad AS (SELECT *, confidence < 0.40 AS low, coalesce(sim, 0) AS s,
-  CASE WHEN coalesce(sim, 0) >= 0.10 THEN match_response ELSE first_response END AS own,
-  CASE WHEN coalesce(sim, 0) >= 0.10 THEN match_text ELSE first_text END AS lik FROM fnd),
-swp AS (SELECT *, s < 0.60 AND generic IS NOT NULL AND generic IS DISTINCT FROM own AS swap FROM lad)""",
-    )
-    + f"""SELECT qid, text AS question, predicted_intent, printf('%.4f', confidence) AS intent_confidence,
- CASE WHEN low THEN 'N/A (confidence too low)' ELSE lik END AS similar_question,
- printf('%.4f', CASE WHEN low THEN 0 ELSE s END) AS similarity_score,
- CASE WHEN low THEN {q(R.clarification)} WHEN swap THEN generic ELSE own END AS response,
- CASE WHEN low THEN 'confidence' WHEN swap THEN 'similarity' ELSE 'none' END AS fallback_type FROM swp""",
+    "answer_batch_report": with_(found("ask"), REPORT_STEPS) + REPORT,
+    "answer_rungs": with_(RUNGS)
+    + f"SELECT qid, predicted_intent, round(confidence, 6) AS confidence, round(sim, 6) AS sim, {LADDER} FROM fnd",
+    "answer_rungs_report": with_(RUNGS, REPORT_STEPS) + REPORT,
     "answer_stream": with_(
         found("msk").replace(MSG, MSG + rf", msk AS (SELECT qid, text FROM (SELECT qid, {strip('text')} AS text FROM msg) WHERE text <> '' AND lower(text) NOT IN ('exit', 'quit'))")
     )

@@ -519,6 +519,32 @@ def answer_batch_report(spark, d):
     return respond.answer(v.questions(spark, d), model(spark, d), index(spark, d), _unrouted(), report=True)
 
 
+@lru_cache(maxsize=None)
+def _rung_paths(app: str, spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """A model of all intents and an index of some."""
+    paths = scratch_path(spark, "rung-model"), scratch_path(spark, "rung-index")
+    rows = v.parted(spark, sf_dir)
+    fit_naive_bayes(rows).save(paths[0])
+    known = rows.where(~F.col("intent").isin(v.UNINDEXED))
+    retrieve.build_index(known.select("intent", F.col("row_id").alias("ex_id"), "text", "response"), paths[1])
+    return paths
+
+
+def _rungs(spark, d, report):
+    of_model, of_index = _rung_paths(spark.sparkContext.applicationId, spark, d)
+    known = retrieve.AnswerIndex.load(spark, of_index)
+    return respond.answer(v.short_questions(spark, d), NaiveBayesModel.load(spark, of_model), known, v.RUNG_RULES, report=report)
+
+
+def answer_rungs(spark, d):
+    out = _rungs(spark, d, False)
+    return out.select("qid", "predicted_intent", r6("confidence"), r6("sim"), "response", "fallback_type")
+
+
+def answer_rungs_report(spark, d):
+    return _rungs(spark, d, True)
+
+
 def answer_stream_rows(spark, d):
     schema = v.table(spark, d, "conversations").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations*.parquet").parquet(d)
@@ -614,6 +640,8 @@ QUERIES = {
     "answer_batch": answer_batch,
     "answer_routed": answer_routed,
     "answer_batch_report": answer_batch_report,
+    "answer_rungs": answer_rungs,
+    "answer_rungs_report": answer_rungs_report,
     "answer_stream": answer_stream_rows,
     "prepare_dataset": prepare_dataset_rows,
 }

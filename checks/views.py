@@ -48,6 +48,10 @@ RULES = Rules(
     full_length_sources=["src1", "src4", "src9"],
     routes=ROUTES,
 )
+#: Rules of the queries in which every rung of both ladders occurs.
+RUNG_RULES = Rules(**{**RULES.__dict__, "routes": [], "generic": {"en low": "A general answer.", "fr": "Une reponse generale."}})
+#: Intents that the model knows and the index does not.
+UNINDEXED = ["fr", "es"]
 TAXONOMY_TEMPLATES = {"alpha": "Answer for alpha.", "beta": "Answer for beta."}
 LABEL_NAMES = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
 CLASS_NAMES = [f"class_{n:02d}" for n in range(48)]
@@ -77,6 +81,20 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return utterances(spark, sf_dir).select("intent", F.col("row_id").alias("ex_id"), "text", "response")
 
 
+def parted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with English cut in three by source, so that a model is often unsure."""
+    number = F.regexp_extract("source", "[0-9]+", 0).try_cast("int")
+    part = F.when(number < 14, "en low").when(number < 17, "en mid").otherwise("en high")
+    return utterances(spark, sf_dir).withColumn("intent", F.when(F.col("intent") == "en", part).otherwise(F.col("intent")))
+
+
+def short_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All questions, names of parts among words of three languages, and names of customers, which are in no document."""
+    parts = table(spark, sf_dir, "part").select((F.col("p_partkey") + 2_000_000_000).alias("qid"), F.concat("p_name", F.lit(" der le el")).alias("text"))
+    customers = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 3_000_000_000).alias("qid"), F.col("c_name").alias("text"))
+    return questions(spark, sf_dir).unionByName(parts).unionByName(customers)
+
+
 def messages(df: DataFrame) -> DataFrame:
     """User turns of the conversations as questions."""
     return df.where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text")

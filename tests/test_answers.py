@@ -248,3 +248,20 @@ def test_stream_gives_the_batch_answers(spark, model, index, tmp_path, report):
     got = spark.read.parquet(sink).select(batch.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect()))
     assert batch.count() == 7
+
+
+def test_every_rung_of_both_ladders_is_checked():
+    """The rows that ``answer_rungs`` and its report form are compared with hold each outcome."""
+    import duckdb
+
+    from checks.oracle import SQL
+
+    con = duckdb.connect()
+    for name in ("documents", "conversations", "benchmark", "part", "customer"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.01/{name}.parquet'")
+    kinds = con.execute(f"SELECT fallback_type, count(*) FILTER (sim < 0.10), count(DISTINCT response) FROM ({SQL['answer_rungs']}) GROUP BY 1").fetchall()
+    assert {kind for kind, _, _ in kinds} == {"none", "similarity", "confidence", "generic_intent"}
+    assert dict((kind, n) for kind, n, _ in kinds)["similarity"] > 0  # below the floor
+    assert dict((kind, n) for kind, _, n in kinds)["generic_intent"] == 2  # with a general answer and without
+    report = con.execute(f"SELECT DISTINCT fallback_type FROM ({SQL['answer_rungs_report']})").fetchall()
+    assert {kind for (kind,) in report} == {"none", "similarity", "confidence"}
