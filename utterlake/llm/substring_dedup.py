@@ -10,10 +10,11 @@ then smallest start) and the words of all others go. Windows are judged on the i
 2. Automata. The phrases that recur and that a block holds are one shard: an Aho-Corasick automaton over word
    numbers, cut so that no document need pass a shard without a phrase of its own. All documents of the block
    stream through it, and its hits alone tell which places are candidates: a window is looked at if the place
-   that it picked was hit. Candidates are hashed to 128 bits and sent once for each block.
-3. The block that holds a window's first occurrence keeps it there. To remove the others, the block's shard
-   runs once more over its documents: of equal candidates in the block all but the first go, and the first
-   too if another block has an earlier one.
+   that it picked was hit. Candidates are hashed to 128 bits and sent once for each block, and one row for each
+   block carries a bit for every word, set where a candidate starts.
+3. The block that holds a window's first occurrence keeps it there. To remove the others, each block reads its
+   candidates from these bits: of equal ones in the block all but the first go, and the first too if another
+   block has an earlier one.
 
 A passage that a third of all rows share is one row for each block in both exchanges. No row, phrase or
 window is dropped, and no task holds more than the rows of one block or the blocks of one phrase.
@@ -155,20 +156,27 @@ def window_rows(window: int, phrase: int):
         heads = np.unique(_groups(high, low)) if len(starts) else np.zeros(0, np.int64)
         row = words.row()[starts[heads]] if len(heads) else np.zeros(0, np.int64)
         ids = table["doc_id"].combine_chunks() if table.num_rows else pa.array([], pa.int64())
-        return pa.table(
+        rows = pa.table(
             {
                 "block": pa.array(np.full(len(heads), key[0].as_py()), pa.int64()),
                 "high": pa.array(high[heads].view(np.int64)),
                 "low": pa.array(low[heads].view(np.int64)),
                 "doc_id": ids.take(pa.array(row)).cast(pa.int64()),
                 "start": pa.array(starts[heads], pa.int64()),
+                "hits": pa.nulls(len(heads), pa.binary()),
             }
         )
+        if not len(starts):
+            return rows
+        bits = np.zeros(len(words), bool)
+        bits[starts] = True
+        own = [[key[0].as_py()], [key[0].as_py()], [-1], [None], [None], [np.packbits(bits).tobytes()]]
+        return pa.concat_tables([rows, pa.table([pa.array(v, t) for v, t in zip(own, rows.schema.types, strict=True)], schema=rows.schema)])
 
     return run
 
 
-def removal(window: int, phrase: int, keep: Sequence[str]):
+def removal(window: int, keep: Sequence[str]):
     def run(key, table, found):
         import numpy as np
         import pyarrow as pa
@@ -176,10 +184,11 @@ def removal(window: int, phrase: int, keep: Sequence[str]):
         table = _sorted_block(table)
         words = Words(table["text"])
         hashes = words.hashes()
-        recurring = np.sort(found["phrase"].drop_null().to_numpy().view(np.uint64))
-        starts, high, low = _candidates(words, hashes, recurring, window, phrase)
         gone = np.zeros(len(words) + 1, np.int64)
-        if len(starts):
+        bits = found["hits"].drop_null().to_pylist()
+        if bits:
+            starts = np.flatnonzero(np.unpackbits(np.frombuffer(bits[0], np.uint8), count=len(words)))
+            high, low = runs(hashes, window)[starts], runs(hashes, window, 1)[starts]
             # A window that starts earlier in another block, told by the place of its first occurrence here.
             elsewhere = np.isin(starts, found["start"].drop_null().to_numpy())
             first = _groups(high, low)
@@ -215,15 +224,14 @@ def substring_dedup(
     found = (
         texts.groupBy("block")
         .cogroup(shared.groupBy("block"))
-        .applyInArrow(window_rows(window, phrase), "block long, high long, low long, doc_id long, start long")
+        .applyInArrow(window_rows(window, phrase), "block long, high long, low long, doc_id long, start long, hits binary")
     )
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("block").alias("b"))
     first = F.min(place).over(Window.partitionBy("high", "low"))
-    later = found.withColumn("_first", first).where(F.col("_first.b") != F.col("block")).select("block", "start")
+    later = found.withColumn("_first", first).where("_first.b <> block OR hits IS NOT NULL").select("block", "start", "hits")
     kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep)
     schema = f"doc_id long, text string{kept}, n_words long, n_removed long, kept_text string"
-    known = later.withColumn("phrase", F.lit(None).cast("long")).unionByName(shared.withColumn("start", F.lit(None).cast("long")))
-    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(removal(window, phrase, keep), schema)
+    return blocks.groupBy("block").cogroup(later.groupBy("block")).applyInArrow(removal(window, keep), schema)
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
