@@ -386,7 +386,7 @@ def _summary(vectors: DataFrame, key: str, term) -> DataFrame:
 def tfidf_word(spark, d):
     rows = v.utterances(spark, d)
     bags = materialize(features.word_bags(rows, "row_id"), "bags")
-    fitted = features.Tfidf(features.fit_idf(bags, rows.count()))
+    fitted = features.Tfidf(materialize(features.fit_idf(bags, rows.count()), "vocabulary"))
     return _summary(fitted.vectors(bags, "row_id"), "row_id", lambda c: c)
 
 

@@ -158,6 +158,20 @@ def test_naive_bayes_against_plain_python(spark, model):
         assert r.confidence == pytest.approx(sure, abs=1e-9)
 
 
+def test_naive_bayes_of_five_hundred_classes_lists_few_of_them_for_a_term(spark):
+    known = [(f"c{n:03d}", n, f"word{n} common thing{n % 7} word{(n * 3) % 500}", "r") for n in range(500)]
+    rows = spark.createDataFrame(known, "intent string, row_id bigint, text string, response string")
+    fitted = fit_naive_bayes(rows)
+    held = {r["term"]: [x["place"] for x in r["lifts"]] for r in fitted.terms.collect()}
+    assert held["common"] == list(range(500)) and held["word0"] == [0] and held["word1"] == [1, 167]
+    assert len(fitted.heavy.columns) == 4 and fitted.heavy.count() <= 4096
+    asked = [(1, "word7 common"), (2, "thing3"), (3, "unknown only"), (4, "word9 word9 thing2 word27")]
+    for r in fitted.predict(spark.createDataFrame(asked, "qid bigint, text string"), "qid").collect():
+        intent, sure = bayes(known, r.text)
+        assert r.predicted_intent == intent
+        assert r.confidence == pytest.approx(sure, abs=1e-9)
+
+
 def test_model_and_index_survive_saving(spark, model, index, tmp_path):
     model.save(str(tmp_path / "m"))
     again = NaiveBayesModel.load(spark, str(tmp_path / "m"))

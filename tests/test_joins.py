@@ -25,6 +25,25 @@ def test_salted_lookup_equals_a_plain_join(spark, how):
     assert sorted(map(str, got.select("id", "k", "v").collect())) == sorted(map(str, want.select("id", "k", "v").collect()))
 
 
+def test_hybrid_lookup_equals_a_plain_join_and_moves_no_hot_row(spark):
+    facts = materialize(spark.range(2000).select(F.col("id"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k")), "facts")
+    facts = facts.unionByName(spark.createDataFrame([(5000, None)], "id bigint, k string"))
+    table = materialize(spark.createDataFrame([("hot", 1, 1333), ("3", 2, 1), ("6", 3, 1), ("none", 4, 0)], "k string, v int, n int"), "values")
+    hot = joins.hot_values(table, ["k"], "n", limit=1)
+    assert [r["k"] for r in hot.collect()] == ["hot"]
+    got = joins.hybrid_lookup(facts, table, ["k"], hot)
+    want = facts.join(table, "k")
+    assert sorted(map(str, got.select("id", "k", "v").collect())) == sorted(map(str, want.select("id", "k", "v").collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        heavy = plan_of(joins.hybrid_lookup(facts, table, ["k"], hot)).split("SortMergeJoin")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "BroadcastHashJoin" in heavy and "hashpartitioning" not in heavy
+
+
 def test_a_hot_key_is_spread(spark):
     facts = spark.range(3200).select("id", F.lit("hot").alias("k"))
     table = spark.createDataFrame([("hot", 1)], "k string, v int")

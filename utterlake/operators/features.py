@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from utterlake.functions.text import fold_blanks, word_tokens
-from utterlake.operators.joins import hot_keys, salted_lookup
+from utterlake.operators.joins import hot_values, hybrid_lookup
+from utterlake.session import spread
 
 
 def _word_kernel():
@@ -95,7 +96,7 @@ def _list_columns():
 
 def _bags(df: DataFrame, keep: Sequence[str], text: str, value: Column, term_type: str, kernel) -> DataFrame:
     # The null test is on the plain column: on ``value`` it would be pushed down and computed twice.
-    known = df.where(F.col(text).isNotNull()).select(*dict.fromkeys([*keep, text]))
+    known = spread(df.where(F.col(text).isNotNull()).select(*dict.fromkeys([*keep, text])), keep[0])
     rows = known.select(*keep, value.alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
     return rows.mapInArrow(kernel, f"{kept}, terms array<{term_type}>, tfs array<bigint>")
@@ -150,20 +151,25 @@ def fit_idf(bags: DataFrame, documents: int | DataFrame, group: str | None = Non
 
 @dataclass
 class Tfidf:
-    """A fitted vocabulary and what it does to bags."""
+    """A fitted vocabulary and what it does to bags. ``heavy`` are its rows with most texts, as ``hot_values`` gives them."""
 
     vocab: DataFrame
     group: str | None = None
+    heavy: DataFrame | None = None
 
     @property
     def keys(self) -> list[str]:
         return [self.group, "term"] if self.group else ["term"]
 
     def weigh(self, bags: DataFrame, key: str, carry: Sequence[str] = ()) -> DataFrame:
-        """``(key, *carry, term, tf, weight)`` with ``weight = tf * idf``; unknown terms are dropped."""
+        """``(key, *carry, term, tf, weight)`` with ``weight = tf * idf``; unknown terms are dropped.
+
+        ``bags`` are read twice, so they should be a written table.
+        """
         rows = term_rows(bags, key, *carry)
-        table = self.vocab.select(*self.keys, "idf")
-        joined = salted_lookup(rows, table, self.keys, hot_keys(self.vocab, self.keys, "df"), [key])
+        heavy = self.heavy if self.heavy is not None else hot_values(self.vocab, self.keys, "df")
+        table, heavy = (t.select(*self.keys, "idf") for t in (self.vocab, heavy))
+        joined = hybrid_lookup(rows, table, self.keys, heavy)
         return joined.withColumn("weight", F.col("tf") * F.col("idf"))
 
     def lengths(self, bags: DataFrame, key: str) -> DataFrame:

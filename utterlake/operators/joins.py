@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from utterlake.session import materialize
+
 HOT_LIMIT = 4096
 SALTS = 16
 BROADCAST_ROWS = 10_000
@@ -41,6 +43,25 @@ def salted_lookup(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def hot_values(table: DataFrame, keys: Sequence[str], weight: Column | str, limit: int = HOT_LIMIT) -> DataFrame:
+    """The rows of the ``limit`` heaviest keys of a keyed table, values included, written once for many lookups."""
+    ranked = table.orderBy(F.desc(weight) if isinstance(weight, str) else weight.desc(), *keys)
+    return materialize(ranked.limit(limit), "hot-values")
+
+
+def hybrid_lookup(facts: DataFrame, table: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
+    """Inner equi-join of ``facts`` with a keyed table, in two parts.
+
+    Facts of the heaviest keys meet their values, at most ``HOT_LIMIT`` rows of ``hot_values``, by broadcast and
+    stay where they are; only the others are shuffled, and none of their keys holds more than 1/limit of the
+    weight. Both parts read ``facts``, so it should be a written table. ``hot`` has the columns of ``table``.
+    """
+    keys = list(keys)
+    heavy = facts.join(F.broadcast(hot), keys)
+    rest = facts.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table, keys)
+    return heavy.unionByName(rest)
+
+
 def small_table(spark, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A rule table given as rows; broadcast only while it is checked to be small."""
     df = spark.createDataFrame(list(rows), schema)

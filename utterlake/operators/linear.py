@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from utterlake.functions.numeric import argmax, sigmoid, softmax
 from utterlake.operators.features import Tfidf, fit_idf, term_rows, word_bags
-from utterlake.operators.joins import hot_keys, salted_lookup
+from utterlake.operators.joins import hot_values, hybrid_lookup
 from utterlake.session import bucketed, materialize
 
 #: A fit ends when the gradient has this part of its first length, or after so many steps.
@@ -184,8 +184,8 @@ class LinearModel:
     def scores(self, df: DataFrame, key: str = "row_id", text: str = "text") -> DataFrame:
         """``(key, scores[k])`` in class order; a text without known terms scores the biases."""
         k = len(self.labels)
-        rows = term_rows(word_bags(df, key, text), key)
-        joined = salted_lookup(rows, self.terms.drop("df"), ["term"], hot_keys(self.terms, ["term"], "df"), [key])
+        rows = term_rows(materialize(word_bags(df, key, text), "linear-asked"), key)
+        joined = hybrid_lookup(rows, self.terms.drop("df"), ["term"], hot_values(self.terms, ["term"], "df").drop("df"))
         joined = joined.withColumn("_u", F.col("tf") * F.col("idf"))
         sums = [F.sum(F.col("_u") * F.col(f"w{j}")).alias(f"_a{j}") for j in range(k)]
         parts = joined.groupBy(key).agg(F.sqrt(F.sum(F.col("_u") * F.col("_u"))).alias("_n"), *sums)

@@ -74,6 +74,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt to all cores if it is estimated to be smaller than one file split for each core.
+
+    A few small files would keep that many cores busy and no more. What moves is below cores times
+    ``spark.sql.files.maxPartitionBytes``; any larger table, and any of unknown size, stays where it is read.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < cores * split else df
+
+
 def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     """``df`` written once to scratch, dealt and sorted by ``key``: joins and groups on it do not move it again."""
     spark = df.sparkSession
