@@ -1,4 +1,5 @@
 import math
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -10,6 +11,7 @@ from utterlake.operators.classify import NaiveBayesModel, fit_naive_bayes
 from utterlake.rules import Rules
 from utterlake.streaming.answers import answer_stream
 
+SF = "/root/testdata/sf0.001"
 RULES = Rules(generic={"pay": "general pay"}, clarification="please rephrase", no_information="nothing known")
 
 EXAMPLES = [
@@ -279,3 +281,15 @@ def test_every_rung_of_both_ladders_is_checked():
     assert dict((kind, n) for kind, _, n in kinds)["generic_intent"] == 2  # with a general answer and without
     report = con.execute(f"SELECT DISTINCT fallback_type FROM ({SQL['answer_rungs_report']})").fetchall()
     assert {kind for (kind,) in report} == {"none", "similarity", "confidence"}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_stream_reads_a_table_that_is_a_folder_of_files(spark, tmp_path):
+    from checks.queries import QUERIES
+
+    for name in ("documents", "benchmark"):
+        os.symlink(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
+    turns = spark.read.parquet(f"{SF}/conversations.parquet")
+    turns.repartition(2).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = QUERIES["answer_stream"](spark, str(tmp_path))
+    assert got.count() == turns.where("role = 'user' and trim(text) != '' and lower(trim(text)) not in ('exit', 'quit')").count() > 0
