@@ -293,3 +293,29 @@ def test_stream_reads_a_table_that_is_a_folder_of_files(spark, tmp_path):
     turns.repartition(2).write.parquet(str(tmp_path / "conversations.parquet"))
     got = QUERIES["answer_stream"](spark, str(tmp_path))
     assert got.count() == turns.where("role = 'user' and trim(text) != '' and lower(trim(text)) not in ('exit', 'quit')").count() > 0
+
+
+@pytest.mark.parametrize("known", [0, 5, 40])
+def test_grams_that_kernels_do_not_hold_count_as_well(spark, examples, monkeypatch, known):
+    monkeypatch.setattr(retrieve, "KNOWN_GRAMS", known)
+    few = retrieve.build_index(examples)
+    assert few.heavy.count() == known < few.vocab.count()
+    rows = [(n * 10 + k, intent, text) for n, text in QUESTIONS for k, intent in enumerate(("pay", "card", "loan"))]
+    asked = spark.createDataFrame(rows, "qid bigint, intent string, text string")
+    got = {r.qid: (r.ex_id, r.sim) for r in retrieve.similarity_top1(asked, few).collect()}
+    for qid, intent, text in rows:
+        want = nearest(intent, text)
+        assert got[qid][0] == want[0] and got[qid][1] == pytest.approx(want[1], abs=1e-9)
+    for r in few.vectors.where("intent = 'card'").collect():
+        want = unit(grams(EXAMPLES[[e[1] for e in EXAMPLES].index(r.ex_id)][2]), idf_of([grams(e[2]) for e in EXAMPLES if e[0] == "card"]))
+        assert sorted(r.weights) == pytest.approx(sorted(want.values()))
+
+
+def test_cells_move_texts_and_not_vectors(spark, index):
+    asked = spark.createDataFrame([(1, "pay", "how to pay my bill")], "qid bigint, intent string, text string")
+    for plan in (retrieve.similarity_join(asked, index, 0.2), retrieve.similarity_top1(asked, index)):
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert "CoGroup" in text and "weights" not in text
+    # Pairs go out of the cells as they are: no join or shuffle comes after.
+    text = retrieve.similarity_join(asked, index, 0.2)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.strip().startswith("FlatMapCoGroupsInArrow")
