@@ -281,3 +281,26 @@ def test_linear_fits_equal_plain_ones(spark, name):
     margins = {r.row_id: r.scores for r in model.scores(rows.select("row_id", "text")).collect()}
     assert np.abs(np.array([margins[n] for n in keys]) - x @ w).max() < 5e-3
 
+
+
+def test_a_product_over_blocks_is_that_of_the_whole_matrix(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from utterlake.operators import linear
+
+    monkeypatch.setattr(linear, "PACK", 7)
+    monkeypatch.setattr(linear, "BLOCK_ENTRIES", 10)
+    entries = fit_entries(sample(spark, 12).limit(30))
+    assert entries.blocks.count > 4
+    found = entries.by_row.where("term != ''").collect()
+    keys, terms = sorted({r.row for r in entries.rows.collect()}), sorted({r.term for r in found})
+    x = np.zeros((len(keys), len(terms)))
+    for r in found:
+        x[keys.index(r.row), terms.index(r.term)] = r.x
+    numbers = np.arange(2.0 * len(keys)).reshape(-1, 2) - 9
+    got = entries.blocks.product(spark.createDataFrame([(n, *map(float, v)) for n, v in zip(keys, numbers)], "row bigint, r0 double, r1 double"), 2)
+    rows = {r["row"]: (r["q0"], r["q1"]) for r in got.collect()}
+    assert np.abs(np.array([rows[n] for n in keys]) - x @ x.T @ numbers).max() < 1e-9
+    # What a fit keeps has one row for each text and none for a term.
+    fit = linear.minimise(entries.blocks, entries.rows.withColumn("weight", F.lit(1.0)), len(entries.sizes), linear.LOSSES["svm"], 1.0, False, 1e-2, 5)
+    assert fit.numbers.count() == len(keys) < len(terms)

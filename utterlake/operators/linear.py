@@ -1,13 +1,13 @@
-"""Logistic regression and linear SVM on TF-IDF weights, by vector-free L-BFGS over term-keyed tables.
+"""Logistic regression and linear SVM on TF-IDF weights, by L-BFGS over rows of texts.
 
-Weights, gradients and the history of the solver are rows ``(term, k values each)``; the entries of the
-texts are two tables, dealt by term and by text, so that a pass moves weights and gradients and not
-entries. Only dot products of these vectors and sums of losses come to the driver (Chen, Wang and Zhou,
-"Large-scale L-BFGS using MapReduce", 2014): the vocabulary is bounded by the cluster. All classes share a pass. No
-key holds more rows than there are texts, whatever the words.
+From weights of 0 on, every vector of the solver, gradients and history included, is a sum of texts, ``X' a`` with one
+number of ``a`` for each text and class. So a vector is kept as these numbers and its margins ``X X' a``, which are
+rows ``(row, k values each)``, and dot products are sums over the texts. The vocabulary takes part in one product
+``X X' r`` a step and is not written again; weights by term are made once, at the end. Only dot products and
+sums of losses come to the driver. All classes share a pass.
 
-A step takes two passes: margins of the direction, after which losses of all step lengths are sums over the texts, and
-the gradient at the best length. The bias is the weight of the empty term, which no text has.
+The entries of the texts are blocks of terms, written once as packed arrays. A product sends the numbers of the texts to each
+block, and a block returns one row for each text. The bias is kept beside the vectors, one number for each class.
 """
 
 from __future__ import annotations
@@ -34,6 +34,9 @@ HISTORY = 3
 FIRST_LENGTHS = [0.1, 0.3, 1, 3, 10, 30, 100, 300]
 LENGTHS = [0.03, 0.1, 0.25, 0.5, 1, 1.5, 2.5, 4]
 BIAS = ""
+#: Entries of a block of terms, and of a packed piece of it.
+BLOCK_ENTRIES = 4_000_000
+PACK = 1 << 18
 
 
 def _softmax_loss(margins: Sequence[Column], label: Column) -> tuple[Column, list[Column]]:
@@ -55,25 +58,85 @@ def _hinge_loss(margins: Sequence[Column], label: Column) -> tuple[Column, list[
 LOSSES = {"logreg": _softmax_loss, "svm": _hinge_loss}
 
 
-def _columns(name: str, k: int) -> list[Column]:
-    return [F.col(f"{name}{j}") for j in range(k)]
-
-
 def _dot(a: str, b: str, k: int) -> str:
-    return "sum(" + " + ".join(f"{a}{j} * {b}{j}" for j in range(k)) + ")"
+    """Dot product of two vectors without their biases: numbers of one times margins of the other."""
+    return "sum(" + " + ".join(f"{a}a{j} * {b}m{j}" for j in range(k)) + ")"
 
 
 @dataclass
 class Fit:
-    """What a fit has reached: its weights ``term, w0, w1, ...``, objective, length of the gradient and steps."""
+    """What a fit has reached: its numbers ``row, a0, a1, ...`` and biases, objective, length of the gradient and steps."""
 
-    weights: DataFrame
+    numbers: DataFrame
+    bias: np.ndarray
     objective: float
     gradient: float
     steps: int
     converged: bool
 
 
+@dataclass
+class Blocks:
+    """Entries packed by block of terms: ``block, rows, terms, x``, dealt by block, and how many blocks there are."""
+
+    table: DataFrame
+    count: int
+
+    def product(self, numbers: DataFrame, k: int) -> DataFrame:
+        """``(row, q0, q1, ...)``, the margins that the vectors ``X' r`` give to all texts, from ``(row, r0, r1, ...)``."""
+
+        def run(left, right):
+            import numpy as np
+            import pyarrow as pa
+
+            schema = pa.schema([("row", pa.int64()), *[(f"q{j}", pa.float64()) for j in range(k)]])
+            if not left.num_rows or not right.num_rows:
+                return schema.empty_table()
+            right = right.sort_by("row")
+            rows = right.column("row").to_numpy()
+            known = [right.column(f"r{j}").to_numpy() for j in range(k)]
+            pieces = [
+                (np.searchsorted(rows, np.frombuffer(piece["rows"], "int64")), np.frombuffer(piece["terms"], "int32"), np.frombuffer(piece["x"], "float64"))
+                for piece in left.select(["rows", "terms", "x"]).to_pylist()
+            ]
+            size = max(int(term.max()) for _, term, _ in pieces) + 1
+            out = []
+            for r in known:
+                sums = np.zeros(size)
+                for at, term, x in pieces:
+                    sums += np.bincount(term, x * r[at], minlength=size)
+                back = np.zeros(len(rows))
+                for at, term, x in pieces:
+                    back += np.bincount(at, x * sums[term], minlength=len(rows))
+                out.append(back)
+            return pa.Table.from_arrays([pa.array(rows), *[pa.array(q) for q in out]], schema=schema)
+
+        names = ", ".join(f"q{j} double" for j in range(k))
+        sent = numbers.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(self.count - 1))))
+        found = self.table.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(run, f"row bigint, {names}")
+        return found.groupBy("row").agg(*[F.sum(f"q{j}").alias(f"q{j}") for j in range(k)])
+
+
+def pack_entries(entries: DataFrame) -> Blocks:
+    """``entries`` of ``(row, term, x)`` cut into blocks of terms by hash, so that none has much more than ``BLOCK_ENTRIES``."""
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        codes = table.column("term").combine_chunks().dictionary_encode().indices.to_numpy().astype("int32")
+        rows, x = table.column("row").to_numpy(), table.column("x").to_numpy()
+        block = table.column("block")[0].as_py()
+        cuts = [slice(low, low + pack) for low in range(0, len(x), pack)]
+        columns = [pa.array([block] * len(cuts), pa.int32()), *[pa.array([np.ascontiguousarray(v[c]).tobytes() for c in cuts], pa.binary()) for v in (rows, codes, x)]]
+        return pa.Table.from_arrays(columns, names=["block", "rows", "terms", "x"])
+
+    pack = PACK
+    count = max(entries.sparkSession.sparkContext.defaultParallelism, -(-entries.count() // BLOCK_ENTRIES))
+    dealt = entries.withColumn("block", F.pmod(F.xxhash64("term"), F.lit(count)).cast("int")).groupBy("block")
+    return Blocks(bucketed(dealt.applyInArrow(run, "block int, rows binary, terms binary, x binary"), "block", "entries-by-block"), count)
+
+
 def _two_loops(gram: np.ndarray, pairs: int) -> np.ndarray:
     """Coefficients of the L-BFGS direction over the vectors s1.., y1.., g from their dot products."""
     out = np.zeros(2 * pairs + 1)
@@ -89,82 +152,94 @@ def _two_loops(gram: np.ndarray, pairs: int) -> np.ndarray:
     return out
 
 
-def minimise(by_term: DataFrame, by_row: DataFrame, rows: DataFrame, k: int, loss, c: float, free_bias: bool, tolerance: float, most: int) -> Fit:
-    """Least ``|w|^2 / 2 + c * sum of weighted losses``, from entries ``term, row, x`` and texts ``row, y, weight``.
+def minimise(blocks: Blocks, rows: DataFrame, k: int, loss, c: float, free_bias: bool, tolerance: float, most: int) -> Fit:
+    """Least ``|w|^2 / 2 + c * sum of weighted losses``, from packed entries and texts ``row, y, weight``.
 
-    With ``free_bias`` the weight of the empty term is not part of ``|w|``.
+    With ``free_bias`` the biases are not part of ``|w|``.
     """
-    margins, classes = _columns("m", k), range(k)
-    rest = f"CASE WHEN term = '{BIAS}' THEN 0D ELSE 1D END" if free_bias else "1D"
+    classes, rest = range(k), 0.0 if free_bias else 1.0
+
+    def margins(own: np.ndarray) -> list[Column]:
+        return [F.col(f"wm{j}") + F.lit(float(own[j])) for j in classes]
 
-    def gradient(at: DataFrame) -> DataFrame:
-        _, slopes = loss(margins, F.col("y"))
-        known = at.select("row", *[(F.lit(c) * F.col("weight") * s).alias(f"r{j}") for j, s in enumerate(slopes)])
-        return by_row.join(known, "row").groupBy("term").agg(*[F.expr(f"sum(x * r{j}) AS n{j}") for j in classes])
+    def with_gradient(at: DataFrame, own: np.ndarray) -> DataFrame:
+        """``at`` with the gradient at its weights: numbers ``na`` and margins ``nm``."""
+        _, slopes = loss(margins(own), F.col("y"))
+        known = at.select("row", *[(F.lit(c) * F.col("weight") * v).alias(f"r{j}") for j, v in enumerate(slopes)])
+        joined = at.join(known, "row").join(blocks.product(known, k), "row", "left")
+        return joined.selectExpr("*", *[f"wa{j} + r{j} AS na{j}" for j in classes], *[f"wm{j} + coalesce(q{j}, 0D) AS nm{j}" for j in classes])
 
-    def products(state: DataFrame, names: list[str], new: list[int], known: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        """Dot products of the vectors, those of ``new`` ones from the table, and the values of the bias."""
+    def products(state: DataFrame, names: list[str], new: list[int], known: np.ndarray, bias: dict[str, np.ndarray], old: np.ndarray | None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Dot products of the vectors, those of ``new`` ones from the table, and the biases, of which the gradient's is a sum."""
         pairs = [(a, b) for a in new for b in range(len(names)) if b not in new or b >= a]
         sums = [F.expr(f"{_dot(names[a], names[b], k)} AS p{a}_{b}") for a, b in pairs]
-        row = state.agg(*sums, *[F.expr(f"max(CASE WHEN term = '{BIAS}' THEN {n}{j} END) AS b_{n}{j}") for n in names for j in classes]).first()
+        row = state.agg(*sums, *[F.expr(f"sum(ga{j} - wa{j}) AS b{j}") for j in classes]).first()
+        bias["g"] = rest * bias["w"] + np.array([row[f"b{j}"] or 0.0 for j in classes])
+        if old is not None:
+            bias[names[-2]] = bias["g"] - old
         for a, b in pairs:
-            known[a, b] = known[b, a] = row[f"p{a}_{b}"] or 0.0
-        return known, {n: np.array([row[f"b_{n}{j}"] or 0.0 for j in classes]) for n in names}
+            known[a, b] = known[b, a] = (row[f"p{a}_{b}"] or 0.0) + bias[names[a]] @ bias[names[b]]
+        return known, bias
 
-    at = rows.selectExpr("row", "y", "weight", *[f"0D AS m{j}" for j in classes])
-    start = gradient(at).selectExpr("term", *[f"0D AS w{j}" for j in classes], *[f"n{j} AS g{j}" for j in classes])
+    def result(state: DataFrame, steps: int, converged: bool) -> Fit:
+        return Fit(state.selectExpr("row", *[f"wa{j} AS a{j}" for j in classes]), bias["w"], value, float(np.sqrt(max(gram[-1, -1], 0.0))), steps, converged)
+
+    own = np.zeros(k)
+    at = rows.selectExpr("row", "y", "weight", *[f"0D AS w{kind}{j}" for kind in "am" for j in classes])
+    start = with_gradient(at, own).selectExpr(*at.columns, *[f"n{kind}{j} AS g{kind}{j}" for kind in "am" for j in classes])
     state, held, names = materialize(start, "solver"), [], ["w", "g"]
-    gram, bias = products(state, names, [0, 1], np.zeros((2, 2)))
+    gram, bias = products(state, names, [0, 1], np.zeros((2, 2)), {"w": own}, None)
     first = gram[-1, -1]
-    value = at.agg(F.sum(F.lit(c) * F.col("weight") * loss(margins, F.col("y"))[0]).alias("f")).first()["f"] or 0.0
+    value = state.agg(F.sum(F.lit(c) * F.col("weight") * loss(margins(own), F.col("y"))[0]).alias("f")).first()["f"] or 0.0
     for step in range(most):
         if gram[-1, -1] <= tolerance**2 * first or not first:
-            return Fit(state, value, float(np.sqrt(gram[-1, -1])), step, True)
+            return result(state, step, True)
         parts = np.concatenate([[0.0], _two_loops(gram[1:, 1:], len(held))])
         if not held:
             parts /= np.sqrt(gram[-1, -1])
-        way = [" + ".join(f"{float(p)!r}D * {n}{j}" for p, n in zip(parts[1:], names[1:], strict=True)) for j in classes]
-        moved = state.selectExpr("*", *[f"{d} AS d{j}" for j, d in enumerate(way)])
-        along = by_term.join(moved.selectExpr("term", *[f"d{j}" for j in classes]), "term").groupBy("row").agg(*[F.expr(f"sum(x * d{j}) AS d{j}") for j in classes])
-        both = at.join(along, "row", "left").selectExpr("row", "y", "weight", *[f"m{j}" for j in classes], *[f"coalesce(d{j}, 0D) AS d{j}" for j in classes])
-        both = materialize(both, "margins")
+        way = [(f"d{kind}{j}", " + ".join(f"{float(p)!r}D * {n}{kind}{j}" for p, n in zip(parts[1:], names[1:], strict=True))) for kind in "am" for j in classes]
+        moved = state.selectExpr("*", *[f"{d} AS {name}" for name, d in way])
+        bias["d"] = sum(p * bias[n] for p, n in zip(parts, names, strict=True))
         lengths = LENGTHS if held else FIRST_LENGTHS
-        losses = [loss([F.expr(f"m{j} + {float(t)!r}D * d{j}") for j in classes], F.col("y"))[0] for t in lengths]
-        found = both.agg(*[F.sum(F.lit(c) * F.col("weight") * v).alias(f"f{n}") for n, v in enumerate(losses)]).first()
+        losses = [loss([F.expr(f"wm{j} + {float(t)!r}D * dm{j}") + F.lit(float(bias["w"][j] + t * bias["d"][j])) for j in classes], F.col("y"))[0] for t in lengths]
+        found = moved.agg(*[F.sum(F.lit(c) * F.col("weight") * v).alias(f"f{n}") for n, v in enumerate(losses)]).first()
         ww, wd, dd = gram[0, 0], gram[0] @ parts, parts @ gram @ parts
         if free_bias:
-            own = sum(p * bias[n] for p, n in zip(parts, names, strict=True))
-            ww, wd, dd = ww - bias["w"] @ bias["w"], wd - bias["w"] @ own, dd - own @ own
+            ww, wd, dd = ww - bias["w"] @ bias["w"], wd - bias["w"] @ bias["d"], dd - bias["d"] @ bias["d"]
         tried = [found[f"f{n}"] + 0.5 * (ww + 2 * t * wd + t * t * dd) for n, t in enumerate(lengths)]
         best = int(np.argmin(tried))
         if tried[best] >= value:
-            return Fit(state, value, float(np.sqrt(gram[-1, -1])), step, False)
+            return result(state, step, False)
         t, value = float(lengths[best]), tried[best]
-        at = both.selectExpr("row", "y", "weight", *[f"m{j} + {t!r}D * d{j} AS m{j}" for j in classes])
         kept = held[1:] if len(held) == HISTORY else held
-        after = [f"({rest} * (w{j} + {t!r}D * d{j}) + n{j})" for j in classes]
-        state = moved.join(gradient(at), "term").selectExpr(
-            "term",
-            *[f"w{j} + {t!r}D * d{j} AS w{j}" for j in classes],
-            *[f"{kind}{n}_{j}" for kind in "sy" for n in kept for j in classes],
-            *[f"{t!r}D * d{j} AS s{step}_{j}" for j in classes],
-            *[f"{after[j]} - g{j} AS y{step}_{j}" for j in classes],
-            *[f"{after[j]} AS g{j}" for j in classes],
+        after = moved.selectExpr(
+            "row", "y", "weight",
+            *[f"w{kind}{j} + {t!r}D * d{kind}{j} AS w{kind}{j}" for kind in "am" for j in classes],
+            *[f"{side}{n}_{kind}{j}" for side in "sy" for n in kept for kind in "am" for j in classes],
+            *[f"{t!r}D * d{kind}{j} AS s{step}_{kind}{j}" for kind in "am" for j in classes],
+            *[f"g{kind}{j}" for kind in "am" for j in classes],
+        )
+        old = bias["g"]
+        bias = {n: v for n, v in bias.items() if n not in ("d", "g")} | {"w": bias["w"] + t * bias["d"], f"s{step}_": t * bias["d"]}
+        state = with_gradient(after, bias["w"]).selectExpr(
+            *[n for n in after.columns if not n.startswith("g")],
+            *[f"n{kind}{j} - g{kind}{j} AS y{step}_{kind}{j}" for kind in "am" for j in classes],
+            *[f"n{kind}{j} AS g{kind}{j}" for kind in "am" for j in classes],
         )
         state = materialize(state, "solver")
         # Dot products of the new vectors with all; those of the others are known.
         grown = [*kept, step]
-        known = [f"{kind}{n}_" for kind in "sy" for n in kept]
-        old, names = names, ["w", *[f"s{n}_" for n in grown], *[f"y{n}_" for n in grown], "g"]
+        known = [f"{side}{n}_" for side in "sy" for n in kept]
+        before, names = names, ["w", *[f"s{n}_" for n in grown], *[f"y{n}_" for n in grown], "g"]
         dots = np.zeros((len(names), len(names)))
-        dots[np.ix_([names.index(n) for n in known], [names.index(n) for n in known])] = gram[np.ix_([old.index(n) for n in known], [old.index(n) for n in known])]
+        dots[np.ix_([names.index(n) for n in known], [names.index(n) for n in known])] = gram[np.ix_([before.index(n) for n in known], [before.index(n) for n in known])]
         fresh = [names.index(n) for n in ("w", f"s{step}_", f"y{step}_", "g")]
-        gram, bias = products(state, names, fresh, dots)
+        gram, bias = products(state, names, fresh, dots, bias, old)
         held, bend = grown, gram[fresh[1], fresh[2]]
         if bend <= 1e-12 * gram[fresh[2], fresh[2]]:
             # A step without curvature says nothing about the next one.
             held, names, gram = [], ["w", "g"], gram[np.ix_([0, -1], [0, -1])]
-    return Fit(state, value, float(np.sqrt(gram[-1, -1])), most, False)
+    return result(state, most, False)
 
 
 @dataclass
@@ -216,10 +291,11 @@ class LinearModel:
 
 @dataclass
 class Entries:
-    """The fitted rows as sparse unit vectors: ``term, row, x`` dealt by term and by row, the texts, the vocabulary and the classes."""
+    """The fitted rows as sparse unit vectors: ``row, term, x`` with the empty term as bias, the same packed by blocks of terms
+    without it, the texts, the vocabulary and the classes."""
 
-    by_term: DataFrame
     by_row: DataFrame
+    blocks: Blocks
     rows: DataFrame
     vocab: DataFrame
     sizes: list[tuple[str, int]]
@@ -233,11 +309,11 @@ def fit_entries(df: DataFrame, key: str = "row_id", label: str = "intent", text:
     vocab = materialize(fit_idf(bags, sum(n for _, n in sizes)), "linear-vocabulary")
     weighed = materialize(Tfidf(vocab).weigh(bags, key).select(F.col(key).alias("row"), "term", "weight"), "linear-weights")
     length = weighed.groupBy("row").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_n"))
-    entries = weighed.join(length, "row").select("row", "term", (F.col("weight") / F.col("_n")).alias("x"))
-    entries = entries.union(bags.select(F.col(key), F.lit(BIAS), F.lit(1.0)))
+    entries = materialize(weighed.join(length, "row").select("row", "term", (F.col("weight") / F.col("_n")).alias("x")), "linear-entries")
+    by_row = entries.union(bags.select(F.col(key), F.lit(BIAS), F.lit(1.0)))
     number = reduce(lambda c, p: c.when(F.col("_class") == p[1][0], p[0]), enumerate(sizes), F.when(F.lit(False), -1))
     texts = materialize(bags.select(F.col(key).alias("row"), number.alias("y")), "linear-rows")
-    return Entries(bucketed(entries, "term", "entries-by-term"), bucketed(entries, "row", "entries-by-row"), texts, vocab, sizes)
+    return Entries(by_row, pack_entries(entries), texts, vocab, sizes)
 
 
 def fit_linear(entries: Entries, name: str, c: float = 1.0, tolerance: float = TOLERANCE, most: int = MOST_STEPS) -> LinearModel:
@@ -247,8 +323,8 @@ def fit_linear(entries: Entries, name: str, c: float = 1.0, tolerance: float = T
     if name == "logreg":
         weight = F.element_at(F.array(*[F.lit(total / (k * n)) for _, n in entries.sizes]), F.col("y") + 1)
     rows = entries.rows.withColumn("weight", weight)
-    fit = minimise(entries.by_term, entries.by_row, rows, k, LOSSES[name], c, name == "logreg", tolerance, most)
-    bias = fit.weights.where(F.col("term") == BIAS).select(*_columns("w", k)).first()
-    terms = materialize(entries.vocab.join(fit.weights.select("term", *_columns("w", k)), "term"), f"linear-{name}")
+    fit = minimise(entries.blocks, rows, k, LOSSES[name], c, name == "logreg", tolerance, most)
+    weights = entries.by_row.where(F.col("term") != BIAS).join(fit.numbers, "row").groupBy("term").agg(*[F.expr(f"sum(x * a{j}) AS w{j}") for j in range(k)])
+    terms = materialize(entries.vocab.join(weights, "term"), f"linear-{name}")
     about = {"converged": fit.converged, "objective": float(fit.objective), "gradient": fit.gradient, "steps": fit.steps}
-    return LinearModel(name, terms, [float(b) for b in bias], [label for label, _ in entries.sizes], about)
+    return LinearModel(name, terms, [float(b) for b in fit.bias], [label for label, _ in entries.sizes], about)
