@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from utterlake.operators import respond, retrieve
+from utterlake.operators import classify, respond, retrieve
 from utterlake.operators.classify import NaiveBayesModel, fit_naive_bayes
 from utterlake.rules import Rules
 from utterlake.streaming.answers import answer_stream
@@ -319,3 +319,24 @@ def test_cells_move_texts_and_not_vectors(spark, index):
     # Pairs go out of the cells as they are: no join or shuffle comes after.
     text = retrieve.similarity_join(asked, index, 0.2)._jdf.queryExecution().optimizedPlan().toString()
     assert text.strip().startswith("FlatMapCoGroupsInArrow")
+
+
+def test_fits_by_columns_and_by_pairs_agree_and_look_up_no_single_terms(spark, examples, monkeypatch):
+    rows = examples.withColumnRenamed("ex_id", "row_id")
+    looked, plain = [], classify.Tfidf.lengths
+    monkeypatch.setattr(classify.Tfidf, "lengths", lambda self, *a: looked.append(self.vocab) or plain(self, *a))
+    wide = fit_naive_bayes(rows)
+    monkeypatch.setattr(classify, "WIDE_CLASSES", 1)
+    monkeypatch.setattr(classify, "BROADCAST_TEXTS", 1)
+    monkeypatch.setattr(classify, "HEAVY_TERMS", 2)
+    long = fit_naive_bayes(rows)
+    one, two = [{r["term"]: (r["df"], [tuple(x) for x in r["lifts"]]) for r in m.terms.collect()} for m in (wide, long)]
+    assert one.keys() == two.keys()
+    for term, (df, lifts) in one.items():
+        assert df == two[term][0] and [p for p, _ in lifts] == [p for p, _ in two[term][1]]
+        assert [x for _, x in lifts] == pytest.approx([x for _, x in two[term][1]])
+    assert all(v.where("df < 2").count() == 0 < v.count() for v in looked)
+    asked = spark.createDataFrame(QUESTIONS, "qid bigint, text string")
+    one, two = [{r.qid: (r.predicted_intent, r.confidence) for r in m.predict(asked, "qid").collect()} for m in (wide, long)]
+    assert {q: i for q, (i, _) in one.items()} == {q: i for q, (i, _) in two.items()}
+    assert [one[q][1] for q in sorted(one)] == pytest.approx([two[q][1] for q in sorted(two)])
