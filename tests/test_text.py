@@ -147,3 +147,12 @@ def test_pad_truncate(spark, tokens):
     assert one(spark, tokens, lambda c: num.pad_truncate(c, 3), "array<int>") == (tokens + [0] * 3)[:3]
     kept = min(len(tokens), 3)
     assert one(spark, tokens, lambda c: num.attention_mask(c, 3), "array<int>") == [1] * kept + [0] * (3 - kept)
+
+
+def test_clean_text_is_one_pass_and_equals_two(spark):
+    odd = [" ", "\u00a0a\u00a0", "a\u2003b", "A-B\t\n c", "\U0001f600x\U0001f600\U0001f600y", "\x0b\x0c\x1cq\x85z", "!!", "\u0130stanbul 1\u00bd", "a.b ,c", ""]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    two = F.trim(F.regexp_replace(F.regexp_replace(F.lower("t"), r"[^a-z0-9\s]", " "), r"\s+", " "))
+    assert [r[0] for r in df.select(tx.clean_text("t")).collect()] == [r[0] for r in df.select(two).collect()]
+    plan = df.select(tx.clean_text("t").alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
