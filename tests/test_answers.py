@@ -6,9 +6,10 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from utterlake.operators import classify, respond, retrieve
+from utterlake.operators import classify, joins, respond, retrieve
 from utterlake.operators.classify import NaiveBayesModel, fit_naive_bayes
 from utterlake.rules import Rules
+from utterlake.session import scratch_scope
 from utterlake.streaming.answers import answer_stream
 
 SF = "/root/testdata/sf0.001"
@@ -340,3 +341,32 @@ def test_fits_by_columns_and_by_pairs_agree_and_look_up_no_single_terms(spark, e
     one, two = [{r.qid: (r.predicted_intent, r.confidence) for r in m.predict(asked, "qid").collect()} for m in (wide, long)]
     assert {q: i for q, (i, _) in one.items()} == {q: i for q, (i, _) in two.items()}
     assert [one[q][1] for q in sorted(one)] == pytest.approx([two[q][1] for q in sorted(two)])
+
+
+def test_only_tables_that_are_read_later_stay_in_scratch(spark, examples):
+    asked = spark.createDataFrame([(n, text) for n, text in QUESTIONS], "qid bigint, text string")
+    with scratch_scope(spark) as folder:
+        fitted = fit_naive_bayes(examples.withColumnRenamed("ex_id", "row_id"))
+        known = retrieve.build_index(examples)
+        got = respond.answer(asked, fitted, known, Rules(), report=True)
+        assert got.count() == len(QUESTIONS)
+        left = {name.rsplit("-", 1)[0] for name in os.listdir(folder.removeprefix("file:"))}
+    assert left == {"nb-vocabulary", "nb-sums", "hot-values", "answer-index", "predictions", "top1", "top1-sizes"}
+
+
+def test_texts_of_examples_move_only_where_they_were_found(spark, examples, index, model, monkeypatch):
+    asked = spark.createDataFrame([(n, text) for n, text in QUESTIONS], "qid bigint, text string")
+    want = sorted(respond.answer(asked, model, index, Rules(), report=True).collect())
+    plan = respond.answer(asked, model, index, Rules(), report=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+    monkeypatch.setattr(joins, "BROADCAST_KEYS", 0)
+    assert sorted(respond.answer(asked, model, index, Rules(), report=True).collect()) == want
+
+
+def test_null_keys_of_a_left_lookup_are_kept_and_spread(spark):
+    facts = spark.range(400).select("id", F.when(F.col("id") < 4, F.col("id")).alias("k"))
+    table = spark.createDataFrame([(n, f"v{n}") for n in range(3)], "k bigint, v string")
+    hot = spark.createDataFrame([], "k bigint")
+    got = joins.salted_lookup(facts, table, ["k"], hot, ["id"], "left")
+    assert {r.id: r.v for r in got.collect()} == {n: f"v{n}" if n < 3 else None for n in range(400)}
+    assert "isnull(k" in got._jdf.queryExecution().optimizedPlan().toString()
