@@ -164,3 +164,19 @@ print("all ran")
     own = {k: v for k, v in os.environ.items() if k != "PYTHONPATH" and not k.startswith("SPARK") and not k.startswith("PYSPARK")}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=own, capture_output=True, text=True, timeout=900)
     assert "all ran" in done.stdout, done.stderr[-3000:]
+
+
+def test_minhash_moves_texts_and_no_runs(spark, table, monkeypatch):
+    words = [f"w{n}" for n in range(60)]
+    rows = [(n, " ".join(words)) for n in range(3)] + [(3, " ".join([*words, "more"])), (4, "a b"), (5, "A  B"), (6, None), (7, "alone")]
+    kept, plain = {}, minhash_dedup.materialize
+    monkeypatch.setattr(minhash_dedup, "materialize", lambda df, name: kept.setdefault(name, plain(df, name)))
+    nodes = []
+    monkeypatch.setattr(minhash_dedup, "keyed_table", lambda df, *a, **k: nodes.append(df) or df)
+    monkeypatch.setattr(minhash_dedup, "near_components", lambda *a: None)
+    found = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicate_groups(table(rows)).collect()}
+    assert found == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7}
+    assert "runs" not in kept["minhash-sets"].columns
+    plan = nodes[0]._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert "MapInArrow" in plan[0] and "runs" not in "".join(plan[1:])
+    assert {len(r.runs) for r in nodes[0].collect()} == {r.n for r in nodes[0].collect()}

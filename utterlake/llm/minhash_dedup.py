@@ -91,7 +91,7 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def set_rows(size: int):
-    """Sets of texts with their band keys."""
+    """Texts with the digest, size and band keys of their sets; the runs of a set have twice the bytes of its text and are not kept."""
 
     def run(batches):
         for batch in batches:
@@ -108,28 +108,28 @@ def set_rows(size: int):
                         pa.array(digest),
                         pa.array(n.astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.reshape(-1).view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(grams.view(np.int64))),
+                        part.column("text"),
                     ],
-                    names=["doc_id", "node", "n_shingles", "keys", "runs"],
+                    names=["doc_id", "node", "n_shingles", "keys", "text"],
                 )
 
     return run
 
 
-def signed():
-    """Adds ``sign``, a byte of each of ``HASHES`` min-hashes, eight in a number, and ``wide``, a bitmap of eight bits or more for each run."""
+def signed(size: int):
+    """``runs`` of each text, none empty, ``sign``, a byte of each of ``HASHES`` min-hashes, eight in a number, and ``wide``, a bitmap of eight bits or more for each run."""
 
     def run(batches):
         for batch in batches:
-            lists = batch.column("runs")
-            at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            found = min_hashes(lists.flatten().to_numpy().view(np.uint64), at, HASHES)
-            sign = (found & np.uint64(0xFF)).astype(np.uint8).reshape(-1).view(np.int64)
-            ends = np.arange(batch.num_rows + 1) * (HASHES // 8)
-            runs = lists.flatten().to_numpy().view(np.uint64)
-            wide = [bitmap(runs[i:j], 1 << max(0, int(j - i - 1).bit_length() - 3)) for i, j in zip(at[:-1], at[1:], strict=True)]
-            columns = [*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sign)), pa.array(wide, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "sign", "wide"])
+            for low, high in _slices(batch, SLICE_CHARS):
+                part = batch.slice(low, high - low)
+                _, runs, at, _ = block_sets(pa.Table.from_batches([part]), size)
+                sign = (min_hashes(runs, at, HASHES) & np.uint64(0xFF)).astype(np.uint8).reshape(-1).view(np.int64)
+                ends = np.arange(part.num_rows + 1) * (HASHES // 8)
+                wide = [bitmap(runs[i:j], 1 << max(0, int(j - i - 1).bit_length() - 3)) for i, j in zip(at[:-1], at[1:], strict=True)]
+                lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(v)) for e, v in ((at, runs.view(np.int64)), (ends, sign))]
+                columns = [part.column("node"), part.column("n"), *lists, pa.array(wide, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "runs", "sign", "wide"])
 
     return run
 
@@ -245,12 +245,14 @@ def near_components(tiles: DataFrame, nodes: DataFrame, percent: int, block: int
 
 def near_duplicate_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, bucket_block: int = BUCKET_BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every document."""
-    schema = "doc_id long, node long, n_shingles long, keys array<long>, runs array<long>"
+    schema = "doc_id long, node long, n_shingles long, keys array<long>, text string"
     sets = materialize(lean(docs).mapInArrow(set_rows(size), schema), "minhash-sets")
     some = sets.where("n_shingles > 0").withColumnRenamed("n_shingles", "n")
     tiles = buckets(some.select("node", "n", "keys").dropDuplicates(["node"]))
-    met = some.select("node", "n", "runs").join(tiles.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    nodes = keyed_table(met.mapInArrow(signed(), "node long, n long, runs array<long>, sign array<long>, wide array<long>"), "node", "minhash-nodes")
+    # One text of each set, dealt by set; its runs are made there and are not moved before they are written.
+    met = some.select("node", "n", "text").join(tiles.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    schema = "node long, n long, runs array<long>, sign array<long>, wide array<long>"
+    nodes = keyed_table(met.mapInArrow(signed(size), schema), "node", "minhash-nodes", dealt=True)
     labels = near_components(tiles, nodes, percent, bucket_block)
     rows = sets.select("doc_id", "node", "n_shingles")
     if labels is None:

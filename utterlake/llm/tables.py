@@ -34,12 +34,15 @@ def text_parts(docs: DataFrame, text: str, chars: int, least: int = 1) -> int:
     return max(least, -(-int(total) // chars))
 
 
-def keyed_table(df: DataFrame, key: str, name: str) -> DataFrame:
-    """``df`` written once to scratch, dealt and sorted by ``key``: joins on it move the other side only."""
+def keyed_table(df: DataFrame, key: str, name: str, dealt: bool = False) -> DataFrame:
+    """``df`` written once to scratch, dealt and sorted by ``key``: joins on it move the other side only.
+
+    ``dealt`` says that a shuffle by ``key`` was the last one of ``df``, so that its rows need not be moved again.
+    """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    writer = df.repartition(parts, key).write.format("parquet").option("path", scratch_path(spark, name))
+    writer = (df if dealt else df.repartition(parts, key)).write.format("parquet").option("path", scratch_path(spark, name))
     writer.bucketBy(parts, key).sortBy(key).saveAsTable(table)
     return spark.table(table)
 
