@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from utterlake.llm import alignment, centroids, minhash_dedup
 from utterlake.llm.alignment import diagonal_runs
+from utterlake.llm.tables import likely
+from utterlake.session import materialize
 
 from test_pairs_and_passages import brute_components, edited
 
@@ -180,3 +182,18 @@ def test_minhash_moves_texts_and_no_runs(spark, table, monkeypatch):
     plan = nodes[0]._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert "MapInArrow" in plan[0] and "runs" not in "".join(plan[1:])
     assert {len(r.runs) for r in nodes[0].collect()} == {r.n for r in nodes[0].collect()}
+
+
+def test_rows_without_partner_are_not_moved(spark, table, prose, monkeypatch):
+    """Exact after the join; before it nearly all other rows are gone, null keys too."""
+    keys = materialize(spark.range(0, 40_000, 20).withColumnRenamed("id", "node"), "keys")
+    rows = spark.range(40_000).select(F.col("id").alias("node"), F.lit("x").alias("text")).union(spark.sql("SELECT cast(NULL AS bigint), 'x'"))
+    some = likely(rows, keys, "node")
+    assert some.columns == ["node", "text"] and some.join(keys, "node", "left_semi").count() == 2_000
+    assert 2_000 <= some.count() < 2_000 + 38_000 // 8
+    assert likely(rows, keys.where("node < 0"), "node").count() == 0
+    nodes = []
+    monkeypatch.setattr(minhash_dedup, "keyed_table", lambda df, *a, **k: nodes.append(df) or df)
+    monkeypatch.setattr(minhash_dedup, "near_components", lambda *a: None)
+    minhash_dedup.near_duplicate_groups(table([(1, prose(1, 40)), (2, prose(1, 40) + " tail"), (3, prose(2, 40))]))
+    assert "bitmap_construct_agg" in nodes[0]._jdf.queryExecution().optimizedPlan().toString()

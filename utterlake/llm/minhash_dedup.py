@@ -38,7 +38,7 @@ from utterlake.llm.components import components
 from utterlake.llm.grams import mix
 from utterlake.llm.jaccard_join import _open, _placed, _side, bitmap, block_sets, exact
 from utterlake.llm.packing import _slices
-from utterlake.llm.tables import keyed_table, lean, read
+from utterlake.llm.tables import keyed_table, lean, likely, read
 from utterlake.session import materialize
 
 SIZE = 4
@@ -166,7 +166,8 @@ def buckets(leads: DataFrame) -> DataFrame:
     rows = leads.select("node", "n", F.explode("keys").alias("key"))
     names = [F.min(F.xxhash64("node", F.lit(k))).alias(f"_m{k}") for k in range(2)]
     held = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), *names).where("_n > 1").select("key", F.xxhash64("_m0", "_m1").alias("tile"))
-    return materialize(rows.join(held, "key").select("tile", "node", "n").distinct(), "buckets")
+    held = materialize(held, "shared-keys")
+    return materialize(likely(rows, held, "key").join(held, "key").select("tile", "node", "n").distinct(), "buckets")
 
 
 def agreeing(first: str, second: str, numbers: range) -> str:
@@ -248,9 +249,10 @@ def near_duplicate_groups(docs: DataFrame, size: int = SIZE, percent: int = PERC
     schema = "doc_id long, node long, n_shingles long, keys array<long>, text string"
     sets = materialize(lean(docs).mapInArrow(set_rows(size), schema), "minhash-sets")
     some = sets.where("n_shingles > 0").withColumnRenamed("n_shingles", "n")
-    tiles = buckets(some.select("node", "n", "keys").dropDuplicates(["node"]))
+    tiles = buckets(materialize(some.select("node", "n", "keys").dropDuplicates(["node"]), "leads"))
     # One text of each set, dealt by set; its runs are made there and are not moved before they are written.
-    met = some.select("node", "n", "text").join(tiles.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    wanted = materialize(tiles.select("node").distinct(), "met-nodes")
+    met = likely(some.select("node", "n", "text"), wanted, "node").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     schema = "node long, n long, runs array<long>, sign array<long>, wide array<long>"
     nodes = keyed_table(met.mapInArrow(signed(size), schema), "node", "minhash-nodes", dealt=True)
     labels = near_components(tiles, nodes, percent, bucket_block)
