@@ -1,6 +1,7 @@
 """Substring dedup and the Jaccard join beside brute force."""
 
 import hashlib
+import os
 import re
 
 import pytest
@@ -8,6 +9,7 @@ import pytest
 from utterlake.llm.components import components
 from utterlake.llm.jaccard_join import jaccard_components
 from utterlake.llm.substring_dedup import substring_dedup
+from utterlake.session import scratch_scope
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -149,3 +151,13 @@ def test_digest_of_kept_words(spark, table):
 
     row = substring_dedup(table([(1, "a\tb\n c")])).select(F.sha2("kept_text", 256).alias("h")).first()
     assert row["h"] == hashlib.sha256(b"a b c").hexdigest()
+
+
+def test_join_leaves_only_its_result_in_scratch(spark, table, prose):
+    """Sets, tiles and links are as large as the texts; later stages must not find them on the disk."""
+    text = prose(1, 60)
+    with scratch_scope(spark) as folder:
+        out = jaccard_components(table([(1, text), (2, text + " tail"), (3, prose(2, 60)), (4, None)]))
+        left = [p for p in os.listdir(folder) if not p.startswith(".")]
+        assert len(left) == 1 and spark.read.parquet(f"{folder}/{left[0]}").columns == out.columns
+        assert found_components(out) == [(1, 56, 1), (2, 57, 1), (3, 56, 3), (4, 0, 4)]

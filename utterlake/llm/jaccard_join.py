@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from utterlake.llm.components import components
 from utterlake.llm.grams import Words, inside, mix, runs
 from utterlake.llm.tables import keyed_table, lean, read, text_parts
-from utterlake.session import materialize
+from utterlake.session import materialize, scratch_path, scratch_scope
 
 SIZE = 5
 PERCENT = 75
@@ -350,7 +350,14 @@ def follow(tiles: DataFrame, nodes: DataFrame, percent: int, tile_block: int = T
 def jaccard_components(
     docs: DataFrame, size: int = SIZE, percent: int = PERCENT, block_chars: int = BLOCK_CHARS, tile_block: int = TILE_BLOCK
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every document."""
+    """``doc_id, n_shingles, component_id`` for every document, written to scratch; all other scratch tables are gone by then."""
+    spark = docs.sparkSession
+    path = scratch_path(spark, "jaccard-components")
+    with scratch_scope(spark, "jaccard"):
+        return materialize(_jaccard_components(docs, size, percent, block_chars, tile_block), "jaccard-components", path)
+
+
+def _jaccard_components(docs: DataFrame, size: int, percent: int, block_chars: int, tile_block: int) -> DataFrame:
     rows = lean(docs)
     frequent = np.array(frequent_runs(rows, size), np.int64).view(np.uint64)
     block = F.pmod(F.xxhash64("doc_id"), F.lit(text_parts(rows, "text", block_chars))).alias("block")
