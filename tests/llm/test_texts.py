@@ -406,3 +406,19 @@ def test_entries_hold_from_their_day(spark):
     assert uf.url_filter(captures, entries.limit(0)).where("NOT kept").count() == 0
 
 
+def test_packing_holds_a_bounded_slice(prose):
+    """Arrays of a few million characters, whatever the batch; smaller slices give the same pieces."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from utterlake.llm import packing
+
+    text = prose(5, 5_000)
+    rows = pa.record_batch({"doc_id": list(range(200)), "text": [text[n % 50 :] for n in range(200)]})
+    tracemalloc.start()
+    whole = pa.Table.from_batches(packing.piece_rows(packing.vocabulary(), 4096, 1, False)([rows]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(text) * 200 > 4_000_000 and peak < 60_000_000, peak
+    parts = [rows.slice(n, 50) for n in range(0, 200, 50)]
+    assert whole.to_pylist() == pa.Table.from_batches(packing.piece_rows(packing.vocabulary(), 4096, 1, False)(parts)).to_pylist()

@@ -29,7 +29,7 @@ from utterlake.session import materialize
 CAPACITY = 4096
 END_ID = 1
 #: Characters of text that a worker holds as arrays at once.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 
 def _byte_letters() -> dict[int, str]:
