@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from utterlake.llm import jaccard_join
 from utterlake.llm.components import components
 from utterlake.llm.jaccard_join import jaccard_components
 from utterlake.llm.substring_dedup import substring_dedup
@@ -161,3 +162,22 @@ def test_join_leaves_only_its_result_in_scratch(spark, table, prose):
         left = [p for p in os.listdir(folder) if not p.startswith(".")]
         assert len(left) == 1 and spark.read.parquet(f"{folder}/{left[0]}").columns == out.columns
         assert found_components(out) == [(1, 56, 1), (2, 57, 1), (3, 56, 3), (4, 0, 4)]
+
+
+def test_open_pairs_are_made_in_one_tile(table, prose, monkeypatch):
+    """Sets that share many tiles meet once; the join must not make a pair again in each of them."""
+    template, counted, plain = prose(5, 400), [], jaccard_join._meetings
+
+    def meetings(*args):
+        out = plain(*args)
+        counted.append((out.count(), out.distinct().count()))
+        return out
+
+    rows = [(n, mixed(template, 5 * n, 9 + n % 8, prose)) for n in range(40)]
+    want = brute_components(rows)
+    monkeypatch.setattr(jaccard_join, "_meetings", meetings)
+    for tiles in (jaccard_join.FIRST_TILES, 0):
+        monkeypatch.setattr(jaccard_join, "FIRST_TILES", tiles)
+        assert found_components(jaccard_components(table(rows), tile_block=7)) == want
+    (once, pairs), (often, same) = counted
+    assert 0 < once == pairs == same < often

@@ -15,8 +15,8 @@ documents link when ``100 * common >= percent * union``. The result is exact up
 * Links inside a tile are followed, not listed: in each turn a component is compared with the likeliest of
   a few sets of its tiles that are not in it yet, until few turn out to link. Then every pair of a tile
   that is still in two components is compared; large tiles are cut into blocks, and each pair of blocks is
-  a key of its own. Pairs inside a component need no comparison, so a group of thousands of near copies
-  costs a few pairs for each of them.
+  a key of its own, and a pair is made in the first tile that it shares. Pairs inside a component need no
+  comparison, so a group of thousands of near copies costs a few pairs for each of them.
 * A pair is bounded by its signatures: a bit set in one and not in the other is a run that they do not
   share. Bitmaps of a fixed size keep most pairs from being made, bitmaps with four bits or more for each run of
   the tile's largest set nearly all others, and only pairs that may still link load their sorted arrays.
@@ -51,6 +51,8 @@ AGREED_OF = 16
 SHORT_WORDS = 8
 #: Sets of a tile that its other sets are compared with in a turn; turns end when fewer than one pair in WORTH links.
 PIVOTS, WORTH = 4, 20
+#: Tiles of a set, the first ones, that tell whether a pair was already met in one of them.
+FIRST_TILES = 16
 #: Sets of a block, when a tile is cut into pairs of blocks.
 TILE_BLOCK = 4_000
 
@@ -300,6 +302,14 @@ def _best_pairs(rows: DataFrame, nodes: DataFrame, turn: int, percent: int) -> D
 
 def open_pairs(rows: DataFrame, nodes: DataFrame, percent: int, block: int = TILE_BLOCK) -> DataFrame:
     """Pairs ``a, b`` of sets of one tile in two components whose bitmaps allow a link, from rows of ``_open``."""
+    return _meetings(rows, nodes, percent, block).distinct()
+
+
+def _meetings(rows: DataFrame, nodes: DataFrame, percent: int, block: int) -> DataFrame:
+    """``open_pairs``; a pair comes once, unless its sets have more than ``FIRST_TILES`` tiles of a band."""
+    # Tiles of one band that come before a row's own one: a pair that shares one of them is made there.
+    firsts = rows.groupBy("node", "band").agg(F.slice(F.array_sort(F.collect_set("tile")), 1, FIRST_TILES).alias("firsts"))
+    rows = rows.join(firsts, ["node", "band"]).withColumn("before", F.filter("firsts", lambda t: t < F.col("tile")))
     signed = rows.join(nodes.select("node", "short", "bits", "half"), "node")
     count = F.size("bits") / 2
     halves = [F.slice("bits", start, count.cast("int")) for start in (F.lit(1), (count + 1).cast("int"))]
@@ -307,7 +317,7 @@ def open_pairs(rows: DataFrame, nodes: DataFrame, percent: int, block: int = TIL
     wide = F.when(F.col("home") & F.col("half"), folded).otherwise(F.col("bits"))
     words = [F.get("short", F.lit(k)).alias(f"s{k}") for k in range(SHORT_WORDS)]
     ones = F.aggregate("wide", F.lit(0), lambda s, v: s + F.bit_count(v))
-    signed = signed.select("tile", "home", "node", "n", "component", "held", *words, wide.alias("wide")).withColumn("ones", ones)
+    signed = signed.select("tile", "home", "node", "n", "component", "held", "before", *words, wide.alias("wide")).withColumn("ones", ones)
     signed = signed.withColumn("short_ones", F.expr(" + ".join(f"bit_count(s{k})" for k in range(SHORT_WORDS))))
     # A tile of many sets is dealt to blocks; a set goes to each pair of blocks that holds its own.
     parts = F.ceil(F.col("held") / block)
@@ -320,8 +330,8 @@ def open_pairs(rows: DataFrame, nodes: DataFrame, percent: int, block: int = TIL
     least = may_link(f"least(x.n - x.short_ones + {near}, y.n - y.short_ones + {near})", percent)
     full = "aggregate(zip_with(x.wide, y.wide, (a, b) -> bit_count(a & b)), 0, (s, v) -> s + v)"
     most = may_link(f"({full} + least(x.n - x.ones, y.n - y.ones))", percent)
-    both = dealt.alias("x").join(dealt.alias("y"), ["tile", "p", "q"]).where(F.expr(f"x.node < y.node AND {compatible} AND {least} AND {most}"))
-    return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    both = dealt.alias("x").join(dealt.alias("y"), ["tile", "p", "q"]).where(F.expr(f"x.node < y.node AND {compatible} AND {least} AND {most} AND NOT arrays_overlap(x.before, y.before)"))
+    return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def follow(tiles: DataFrame, nodes: DataFrame, percent: int, tile_block: int = TILE_BLOCK) -> DataFrame | None:
