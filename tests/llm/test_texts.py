@@ -406,6 +406,28 @@ def test_entries_hold_from_their_day(spark):
     assert uf.url_filter(captures, entries.limit(0)).where("NOT kept").count() == 0
 
 
+def test_words_met_often_are_built_once(prose, monkeypatch):
+    """Clearing the kept lattices leaves the words that come again, and changes no sample."""
+    import pyarrow as pa
+
+    pieces = sp.load_pieces(sp.vocabulary())
+    rows = pa.record_batch({"doc_id": list(range(60)), "text": ["again and again " + prose(3000 + n, 40) for n in range(60)]})
+    plain, built = sp.Lattice, []
+
+    def lattice(pieces, data, at):
+        built.extend(data[a:b].tobytes() for a, b in zip(at, at[1:], strict=False))
+        return plain(pieces, data, at)
+
+    monkeypatch.setattr(sp, "Lattice", lattice)
+    monkeypatch.setattr(sp, "SLICE_CHARS", 600)
+    wanted = [b.to_pylist() for b in sp.sample_rows(pieces, 2, 20)([rows])]
+    assert built.count(b" again") == 1
+    built.clear()
+    monkeypatch.setattr(sp, "KEPT_BYTES", 1_500)
+    assert [b.to_pylist() for b in sp.sample_rows(pieces, 2, 20)([rows])] == wanted
+    assert built.count(b" again") == 1 and len(built) > len(set(built))
+
+
 def test_packing_holds_a_bounded_slice(prose):
     """Arrays of a few million characters, whatever the batch; smaller slices give the same pieces."""
     import tracemalloc

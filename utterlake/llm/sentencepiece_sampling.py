@@ -4,7 +4,7 @@ A text is a lattice: positions between bytes, and an edge for every piece of the
 there; characters without a piece of their own are spelled by byte pieces. A word starts at the first of a
 run of blanks. No piece has a blank behind another character, so none reaches over the start of a word (a
 vocabulary with such a piece is refused), the lattice of a text is a chain of word lattices, and a task
-keeps those of the words that it has met, up to a limit. The vocabulary is a merge list, so an edge weighs a power of its rank, ``(rank + 2) **
+keeps those of the words that it has met, up to a limit; then words met in one slice of text only go first. The vocabulary is a merge list, so an edge weighs a power of its rank, ``(rank + 2) **
 -POWER``, and a segmentation the product of its edges.
 
 Sums over all ways to the end of a word give each edge its probability. Sampling is a search for the
@@ -43,7 +43,7 @@ SLICE_CHARS = 200_000
 #: Ids that are decoded at once.
 DECODED_IDS = 300_000
 #: Bytes of distinct words whose lattices a task keeps.
-KEPT_BYTES = 200_000
+KEPT_BYTES = 400_000
 
 
 class Pieces:
@@ -84,10 +84,29 @@ class Pieces:
             own = [(h[-1], n) for h, n in zip(hashes, ids, strict=True) if len(h) == length]
             whole[np.searchsorted(found, np.array([h for h, _ in own], np.uint64))] = [n for _, n in own]
             self.begin.append((found, whole))
+        #: For each length where a hash's first bits point to: its place in ``begin``, -1 without one, -2 with several.
+        self.slots: list[tuple[np.uint64, np.ndarray]] = []
+        for found, _ in self.begin:
+            bits = (8 * len(found)).bit_length()
+            slot = (found >> np.uint64(64 - bits)).astype(np.int64)
+            places = np.full(1 << bits, -1, np.int32)
+            places[slot] = np.arange(len(found))
+            places[np.flatnonzero(np.bincount(slot, minlength=1 << bits) > 1)] = -2
+            self.slots.append((np.uint64(64 - bits), places))
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.at = np.concatenate([[0], np.cumsum([len(b) for b in self.bytes])]).astype(np.int64)
 
 
+    def places(self, length: int, hashed: np.ndarray) -> np.ndarray:
+        """Where the hashes of beginnings of this length stand in ``begin``; any place for those that do not."""
+        shift, slots = self.slots[length]
+        where = slots[(hashed >> shift).astype(np.int64)]
+        several = np.flatnonzero(where == -2)
+        if len(several):
+            where[several] = np.searchsorted(self.begin[length][0], hashed[several])
+        return np.clip(where, 0, len(self.begin[length][0]) - 1)
+
+
 @lru_cache(maxsize=2)
 def load_pieces(path: str, power: float = POWER) -> Pieces:
     return Pieces(path, power)
@@ -97,7 +116,7 @@ class Lattice:
     """Lattices of distinct words, one after the other in ``data``; word i is bytes ``at[i]`` to ``at[i + 1]``.
 
     Node ``at[i] + j + i`` lies before byte j of word i, so that each word has a node at its end. Edges are
-    sorted by their node: ``to``, ``piece``, ``log`` and ``p`` (probability among the edges of a node),
+    sorted by their node, whose first one is ``first[node]``: ``to``, ``piece``, ``log`` and ``p`` (probability among the edges of a node),
     ``key`` (node plus the probability up to and with the edge).
     """
 
@@ -109,6 +128,9 @@ class Lattice:
         letter = (data & 0xC0) != 0x80
         src, length, piece = [], [], []
         alive, hashed = np.flatnonzero(letter), np.zeros(int(letter.sum()), np.uint64)
+        heads = np.append(np.flatnonzero(letter), len(data))
+        chars = np.zeros(len(data), np.int64)
+        chars[heads[:-1]] = np.diff(heads)
         single = np.zeros(len(data), bool)
         ends = np.append(letter, True)
         for n in range(1, len(pieces.begin)):
@@ -118,14 +140,15 @@ class Lattice:
                 break
             hashed = hashed + pieces.codes[data[alive + n - 1]] * pieces.powers[n - 1]
             table, ids = pieces.begin[n]
-            where = np.minimum(np.searchsorted(table, hashed), len(table) - 1)
+            where = pieces.places(n, hashed)
             known = table[where] == hashed
             hit = known & (ids[where] >= 0) & ends[alive + n]
             src.append(alive[hit])
             length.append(np.full(int(hit.sum()), n))
             piece.append(ids[where[hit]])
-            inner = np.add.reduceat(letter.astype(np.int64), np.stack([alive[hit], np.minimum(alive[hit] + n, len(data) - 1)], 1).reshape(-1))[::2] if hit.any() else np.zeros(0)
-            single[alive[hit][inner == 1]] = True
+            if n <= 4:
+                one = alive[hit]
+                single[one[chars[one] == n]] = True
             alive, hashed = alive[known], hashed[known]
         # Characters without a piece of their own: one edge for each of their bytes.
         head = np.maximum.accumulate(np.where(letter, place, 0)) if len(data) else place
@@ -182,17 +205,51 @@ class Lattice:
         last = np.append(node[1:] != node[:-1], True) if len(node) else np.zeros(0, bool)
         self.key[last] = node[last] + 1.0
         self.nodes = len(total)
+        self.first = np.searchsorted(node, np.arange(self.nodes + 1))
+        self.room: dict[str, np.ndarray] = {}
 
     def extend(self, other: Lattice) -> None:
         """Puts the words of another lattice behind the own ones."""
+        nodes, edges, self.first = self.nodes, len(self.piece), self.first[:-1]
         for name in ("base", "end", "node", "to", "key"):
-            setattr(self, name, np.concatenate([getattr(self, name), getattr(other, name) + self.nodes]))
+            self._put(name, getattr(other, name), nodes)
         for name in ("piece", "log", "p", "rest"):
-            setattr(self, name, np.concatenate([getattr(self, name), getattr(other, name)]))
+            self._put(name, getattr(other, name), 0)
+        self._put("first", other.first, edges)
         self.nodes += other.nodes
 
+    def _put(self, name: str, more: np.ndarray, shift: int) -> None:
+        """Puts ``more + shift`` behind an array, which has some room to grow."""
+        own = getattr(self, name)
+        n = len(own) + len(more)
+        if len(self.room.get(name, ())) < n:
+            self.room[name] = np.empty(n + n // 2, own.dtype)
+            self.room[name][: len(own)] = own
+        np.add(more, shift, out=self.room[name][len(own) : n])
+        setattr(self, name, self.room[name][:n])
+
+    def keep(self, words: np.ndarray) -> None:
+        """Keeps these words only, in this order."""
+        size = self.end[words] - self.base[words] + 1
+        base = np.cumsum(size) - size
+        nodes = np.arange(int(size.sum())) + np.repeat(self.base[words] - base, size)
+        held = self.first[nodes + 1] - self.first[nodes]
+        first = np.concatenate([[0], np.cumsum(held)])
+        edges = np.arange(int(first[-1])) + np.repeat(self.first[nodes] - first[:-1], held)
+        moved = np.repeat(nodes - np.arange(len(nodes)), held)
+        for name in ("node", "to", "key"):
+            setattr(self, name, getattr(self, name)[edges] - moved)
+        for name in ("piece", "log", "p", "rest"):
+            setattr(self, name, getattr(self, name)[edges])
+        self.first, self.base, self.end, self.nodes, self.room = first, base, base + size - 1, len(nodes), {}
+
     def draw(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
-        return np.minimum(np.searchsorted(self.key, nodes + u * (1 - 1e-12), "right"), len(self.key) - 1)
+        value, edge, last = nodes + u * (1 - 1e-12), self.first[nodes], self.first[nodes + 1] - 1
+        live = np.flatnonzero((self.key[edge] <= value) & (edge < last))
+        while len(live):
+            edge[live] += 1
+            live = live[(self.key[edge[live]] <= value[live]) & (edge[live] < last[live])]
+        return edge
 
     def walk(self, nodes: np.ndarray, ends: np.ndarray, uniform) -> tuple[np.ndarray, np.ndarray]:
         """Edges from each node to its word's end, in order, and how many of each; ``uniform(which, step)`` gives the random numbers."""
@@ -249,8 +306,7 @@ def search(lattice: Lattice, words: np.ndarray, k: int, rng):
             first = 0
         else:
             node = lattice.node[path[branch]]
-            low, high = np.searchsorted(lattice.node, [node, node + 1])
-            edges = np.array([e for e in range(low, high) if e not in barred])
+            edges = np.array([e for e in range(lattice.first[node], lattice.first[node + 1]) if e not in barred])
             share = np.cumsum(lattice.p[edges])
             edge = edges[min(int(np.searchsorted(share, rng.random() * share[-1], "right")), len(edges) - 1)]
             word = int(np.searchsorted(np.cumsum(counts), branch, "right"))
@@ -313,13 +369,15 @@ class KnownWords:
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
         self.number: dict[bytes, int] = {}
+        #: In how many slices each word was met, less at each clearing; words of one slice only go then.
+        self.met = np.zeros(0, np.int64)
         self.size = 0
         self.lattice: Lattice | None = None
 
     def find(self, names: list[bytes]) -> np.ndarray:
-        """The number of each word in ``lattice``; new words are built, and all are forgotten when they have become too many."""
+        """The number of each word in ``lattice``; new words are built, and those met least are forgotten when they have become too many."""
         if self.size > KEPT_BYTES:
-            self.number, self.size, self.lattice = {}, 0, None
+            self._clear()
         new = [n for n in names if n not in self.number]
         if new or self.lattice is None:
             data = np.frombuffer(b"".join(new), np.uint8)
@@ -329,8 +387,21 @@ class KnownWords:
             else:
                 self.lattice.extend(built)
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+            self.met = np.append(self.met, np.zeros(len(new), np.int64))
             self.size += len(data)
-        return np.array([self.number[n] for n in names], np.int64)
+        found = np.array([self.number[n] for n in names], np.int64)
+        self.met[found] += 1
+        return found
+
+    def _clear(self) -> None:
+        """Keeps the words met most, two times at least and of half the limit at most."""
+        size, often = self.lattice.end - self.lattice.base, np.flatnonzero(self.met > 1)
+        order = often[np.argsort(-self.met[often], kind="stable")]
+        kept = np.sort(order[np.cumsum(size[order]) <= KEPT_BYTES // 2])
+        self.lattice.keep(kept)
+        names = list(self.number)
+        self.number = {names[n]: place for place, n in enumerate(kept.tolist())}
+        self.met, self.size = (self.met[kept] + 1) // 2, int(size[kept].sum())
 
 
 def sample_rows(pieces: Pieces, k: int, seed: int):
