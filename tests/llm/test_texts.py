@@ -428,6 +428,33 @@ def test_words_met_often_are_built_once(prose, monkeypatch):
     assert built.count(b" again") == 1 and len(built) > len(set(built))
 
 
+def test_known_words_stay_in_arrow_and_in_place(prose, monkeypatch):
+    """Words are found as an Arrow array; clearing keeps the memory, and what is kept equals lattices built anew."""
+    import pyarrow as pa
+
+    pieces = sp.load_pieces(sp.vocabulary())
+    monkeypatch.setattr(sp, "KEPT_BYTES", 400)
+    known = sp.KnownWords(pieces)
+    often = pa.array([b" again", " \u00e9t\u00e9".encode(), b" and"], pa.large_binary())
+    for n in range(8):
+        other = sorted({f" {word}{n}".encode() for word in prose(n, 30).split()})
+        found = known.find(pa.concat_arrays([often, pa.array(other, pa.large_binary())]))
+        assert len(set(found.tolist())) == len(often) + len(other)
+        held = known.lattice.room.get("to")
+        if n > 2:
+            assert held is not None and np.shares_memory(held, known.lattice.to)
+    again = known.find(often)
+    assert known.words.take(pa.array(again)).to_pylist() == often.to_pylist()
+    for place, word in zip(again.tolist(), often.to_pylist(), strict=True):
+        one, kept = sp.Lattice(pieces, np.frombuffer(word, np.uint8), np.array([0, len(word)])), known.lattice
+        low, high = kept.first[kept.base[place]], kept.first[kept.end[place] + 1]
+        assert kept.piece[low:high].tolist() == one.piece.tolist()
+        assert (kept.to[low:high] - kept.base[place]).tolist() == one.to.tolist()
+        assert np.allclose(kept.log[low:high], one.log) and np.allclose(kept.rest[low:high], one.rest)
+        # The last edge of each node takes every number that is left.
+        assert np.isinf(one.key[one.first[1:][one.first[1:] > one.first[:-1]] - 1]).all()
+
+
 def test_packing_holds_a_bounded_slice(prose):
     """Arrays of a few million characters, whatever the batch; smaller slices give the same pieces."""
     import tracemalloc

@@ -44,6 +44,7 @@ SLICE_CHARS = 200_000
 DECODED_IDS = 300_000
 #: Bytes of distinct words whose lattices a task keeps.
 KEPT_BYTES = 400_000
+KEPT_FREE = 30_000_000
 
 
 class Pieces:
@@ -116,8 +117,8 @@ class Lattice:
     """Lattices of distinct words, one after the other in ``data``; word i is bytes ``at[i]`` to ``at[i + 1]``.
 
     Node ``at[i] + j + i`` lies before byte j of word i, so that each word has a node at its end. Edges are
-    sorted by their node, whose first one is ``first[node]``: ``to``, ``piece``, ``log`` and ``p`` (probability among the edges of a node),
-    ``key`` (node plus the probability up to and with the edge).
+    sorted by their node, whose first one is ``first[node]``: ``to``, ``piece``, ``log`` (of the probability among the edges of a node), ``rest``
+    (the probability of the node's other edges), ``key`` (node plus the probability up to and with the edge, without a bound for a node's last edge).
     """
 
     def __init__(self, pieces: Pieces, data: np.ndarray, at: np.ndarray) -> None:
@@ -176,44 +177,47 @@ class Lattice:
         far = left[s]
         # Short numbers are sorted by counting.
         turn = np.argsort(far.astype(np.uint16) if size.max(initial=0) < 1 << 16 else far, kind="stable")
-        cuts = np.searchsorted(far[turn], np.arange(1, int(size.max(initial=0)) + 2))
-        for d in range(len(cuts) - 1):
-            edges = turn[cuts[d] : cuts[d + 1]]
-            if len(edges):
-                heads = np.flatnonzero(np.append(True, node[edges][1:] != node[edges][:-1]))
-                total[node[edges[heads]]] = np.logaddexp.reduceat(weight[edges] + total[self.to[edges]], heads)
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(far, minlength=1))])
+        turn_node, turn_to, turn_weight = node[turn], self.to[turn], weight[turn]
+        heads = np.flatnonzero(np.append(True, turn_node[1:] != turn_node[:-1])) if len(turn) else turn
+        head_node, head_cuts = turn_node[heads], np.searchsorted(heads, cuts).tolist()
+        cuts = cuts.tolist()
+        for low, high, i, j in zip(cuts, cuts[1:], head_cuts, head_cuts[1:], strict=False):
+            if low < high:
+                total[head_node[i:j]] = np.logaddexp.reduceat(turn_weight[low:high] + total[turn_to[low:high]], heads[i:j] - low)
         # Nodes inside a character that is a piece lead nowhere and are never reached.
         with np.errstate(invalid="ignore"):
             self.log = np.minimum(weight + total[self.to] - total[node], 0.0)
         self.log[~np.isfinite(self.log)] = -np.inf
-        self.p = np.exp(self.log)
-        sums = np.cumsum(self.p)
-        begin = first[s]
-        low = sums - self.p - (sums[begin] - self.p[begin])
+        share = np.exp(self.log)
+        sums = np.cumsum(share)
+        sums -= share
+        held = held[1:]
+        heads = first[held > 0]
+        many = held[held > 0]
+        low = sums - np.repeat(sums[heads], many)
         # What the other edges of the node have, added up where one minus the largest would lose small ones.
-        heads = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
-        self.rest = 1.0 - self.p
+        self.rest = 1.0 - share
         if len(heads):
-            top = np.repeat(np.maximum.reduceat(self.p, heads), np.diff(np.append(heads, len(node))))
-            large = np.flatnonzero(self.p == top)
+            large = np.flatnonzero(share == np.repeat(np.maximum.reduceat(share, heads), many))
             most = large[np.append(True, node[large][1:] != node[large][:-1])]
-            others = self.p.copy()
+            others = share.copy()
             others[most] = 0.0
             self.rest[most] = np.add.reduceat(others, heads)
-        self.node = node
-        self.key = node + low + self.p
-        last = np.append(node[1:] != node[:-1], True) if len(node) else np.zeros(0, bool)
-        self.key[last] = node[last] + 1.0
+        self.key = node + low + share
+        self.key[heads + many - 1] = np.inf
         self.nodes = len(total)
-        self.first = np.searchsorted(node, np.arange(self.nodes + 1))
+        count = np.zeros(self.nodes + 1, np.int64)
+        count[place + word + 1] = held
+        self.first = np.cumsum(count)
         self.room: dict[str, np.ndarray] = {}
 
     def extend(self, other: Lattice) -> None:
         """Puts the words of another lattice behind the own ones."""
         nodes, edges, self.first = self.nodes, len(self.piece), self.first[:-1]
-        for name in ("base", "end", "node", "to", "key"):
+        for name in ("base", "end", "to", "key"):
             self._put(name, getattr(other, name), nodes)
-        for name in ("piece", "log", "p", "rest"):
+        for name in ("piece", "log", "rest"):
             self._put(name, getattr(other, name), 0)
         self._put("first", other.first, edges)
         self.nodes += other.nodes
@@ -237,18 +241,25 @@ class Lattice:
         first = np.concatenate([[0], np.cumsum(held)])
         edges = np.arange(int(first[-1])) + np.repeat(self.first[nodes] - first[:-1], held)
         moved = np.repeat(nodes - np.arange(len(nodes)), held)
-        for name in ("node", "to", "key"):
-            setattr(self, name, getattr(self, name)[edges] - moved)
-        for name in ("piece", "log", "p", "rest"):
-            setattr(self, name, getattr(self, name)[edges])
-        self.first, self.base, self.end, self.nodes, self.room = first, base, base + size - 1, len(nodes), {}
+        kept = {"first": first, "base": base, "end": base + size - 1}
+        kept |= {name: getattr(self, name)[edges] - moved for name in ("to", "key")}
+        kept |= {name: getattr(self, name)[edges] for name in ("piece", "log", "rest")}
+        self.nodes = len(nodes)
+        for name, own in kept.items():
+            if name in self.room:  # touched memory is used again
+                self.room[name][: len(own)] = own
+                own = self.room[name][: len(own)]
+            setattr(self, name, own)
 
     def draw(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
-        value, edge, last = nodes + u * (1 - 1e-12), self.first[nodes], self.first[nodes + 1] - 1
-        live = np.flatnonzero((self.key[edge] <= value) & (edge < last))
+        value, edge = nodes + u * (1 - 1e-12), self.first[nodes]
+        live = np.flatnonzero(self.key[edge] <= value)
+        wanted, ahead = value[live], edge[live]
         while len(live):
-            edge[live] += 1
-            live = live[(self.key[edge[live]] <= value[live]) & (edge[live] < last[live])]
+            ahead += 1
+            edge[live] = ahead
+            on = self.key[ahead] <= wanted
+            live, wanted, ahead = live[on], wanted[on], ahead[on]
         return edge
 
     def walk(self, nodes: np.ndarray, ends: np.ndarray, uniform) -> tuple[np.ndarray, np.ndarray]:
@@ -272,8 +283,13 @@ class Lattice:
 def _below(location, bound: float, rng) -> np.ndarray:
     """Gumbel draws at ``location``, given that they lie below ``bound``."""
     location = np.atleast_1d(np.asarray(location, float))
-    with np.errstate(divide="ignore", over="ignore"):
-        return np.where(np.isfinite(location), location - np.log(np.exp(np.minimum(location - bound, 700)) - np.log(rng.random(len(location)) + 1e-300)), -np.inf)
+    below = np.minimum(location - bound, 700)
+    np.exp(below, out=below)
+    noise = rng.random(len(location))
+    noise += 1e-300
+    below -= np.log(noise, out=noise)
+    # What has no probability stays at minus infinity.
+    return location - np.log(below, out=below)
 
 
 def keyed_uniform(keys: np.ndarray, counts: np.ndarray):
@@ -305,9 +321,9 @@ def search(lattice: Lattice, words: np.ndarray, k: int, rng):
             path, counts = yield base, ends
             first = 0
         else:
-            node = lattice.node[path[branch]]
+            node = int(np.searchsorted(lattice.first, path[branch], "right")) - 1
             edges = np.array([e for e in range(lattice.first[node], lattice.first[node + 1]) if e not in barred])
-            share = np.cumsum(lattice.p[edges])
+            share = np.cumsum(np.exp(lattice.log[edges]))
             edge = edges[min(int(np.searchsorted(share, rng.random() * share[-1], "right")), len(edges) - 1)]
             word = int(np.searchsorted(np.cumsum(counts), branch, "right"))
             nodes = np.concatenate([[lattice.to[edge]], base[word + 1 :]])
@@ -320,15 +336,19 @@ def search(lattice: Lattice, words: np.ndarray, k: int, rng):
         out.append((score, float(logs.sum()), path))
         # The parts that are left: another edge at the branch, or at any later place.
         prefix = np.concatenate([[0.0], np.cumsum(logs)])
-        with np.errstate(divide="ignore"):
-            mass = prefix[first:-1] + np.log(lattice.rest[path[first:]])
-            if barred and len(path):
-                mass[0] = prefix[first] + np.log(lattice.p[edges[edges != path[first]]].sum())
+        mass = lattice.rest[path[first:]]
+        np.log(mass, out=mass)
+        mass += prefix[first:-1]
+        if barred and len(path):
+            mass[0] = prefix[first] + np.log(np.exp(lattice.log[edges[edges != path[first]]]).sum())
         scores = _below(mass, score, rng) if len(mass) else mass
         # Only the best parts can be opened or give the threshold.
         wanted = k + 1 - len(out)
-        best = np.argpartition(-scores, wanted - 1)[:wanted] if len(scores) > wanted else np.arange(len(scores))
-        for n in best.tolist():
+        if wanted == 1 and len(scores):
+            best = [int(scores.argmax())]
+        else:
+            best = np.argpartition(scores, -wanted)[-wanted:].tolist() if len(scores) > wanted else range(len(scores))
+        for n in best:
             if np.isfinite(scores[n]):
                 bars = (*(barred if n == 0 else ()), int(path[first + n]))
                 heapq.heappush(heap, (-float(scores[n]), made, path, counts, first + n, bars))
@@ -344,22 +364,23 @@ def top_k(lattice: Lattice, chains: list[np.ndarray], k: int, seed: int, keys: l
     found: list = [None] * len(keys)
     asked = [(n, next(one)) for n, one in enumerate(searches)]
     turn = 0
-    while asked:
-        which = np.array([n for n, _ in asked])
-        sizes = np.array([len(nodes) for _, (nodes, _) in asked])
-        # Each walk of a row has random numbers of its own.
-        uniform = keyed_uniform(mix(numbers[which]) + np.uint64(turn), sizes)
-        path, counts = lattice.walk(np.concatenate([nodes for _, (nodes, _) in asked]), np.concatenate([ends for _, (_, ends) in asked]), uniform)
-        word_at = np.concatenate([[0], np.cumsum(sizes)])
-        edge_at = np.concatenate([[0], np.cumsum(counts)])[word_at]
-        more = []
-        for place, (n, _) in enumerate(asked):
-            walked = path[edge_at[place] : edge_at[place + 1]], counts[word_at[place] : word_at[place + 1]]
-            try:
-                more.append((n, searches[n].send(walked)))
-            except StopIteration as end:
-                found[n] = end.value
-        asked, turn = more, turn + 1
+    with np.errstate(divide="ignore", over="ignore"):
+        while asked:
+            which = np.array([n for n, _ in asked])
+            sizes = np.array([len(nodes) for _, (nodes, _) in asked])
+            # Each walk of a row has random numbers of its own.
+            uniform = keyed_uniform(mix(numbers[which]) + np.uint64(turn), sizes)
+            path, counts = lattice.walk(np.concatenate([nodes for _, (nodes, _) in asked]), np.concatenate([ends for _, (_, ends) in asked]), uniform)
+            word_at = np.concatenate([[0], np.cumsum(sizes)])
+            edge_at = np.concatenate([[0], np.cumsum(counts)])[word_at]
+            more = []
+            for place, (n, _) in enumerate(asked):
+                walked = path[edge_at[place] : edge_at[place + 1]], counts[word_at[place] : word_at[place + 1]]
+                try:
+                    more.append((n, searches[n].send(walked)))
+                except StopIteration as end:
+                    found[n] = end.value
+            asked, turn = more, turn + 1
     return found
 
 
@@ -368,28 +389,32 @@ class KnownWords:
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
-        self.number: dict[bytes, int] = {}
+        self.words = pa.array([], pa.large_binary())
         #: In how many slices each word was met, less at each clearing; words of one slice only go then.
         self.met = np.zeros(0, np.int64)
         self.size = 0
         self.lattice: Lattice | None = None
 
-    def find(self, names: list[bytes]) -> np.ndarray:
-        """The number of each word in ``lattice``; new words are built, and those met least are forgotten when they have become too many."""
+    def find(self, names) -> np.ndarray:
+        """The number of each of these distinct words in ``lattice``; new ones are built, and those met least are forgotten when they have become too many."""
         if self.size > KEPT_BYTES:
             self._clear()
-        new = [n for n in names if n not in self.number]
-        if new or self.lattice is None:
-            data = np.frombuffer(b"".join(new), np.uint8)
-            built = Lattice(self.pieces, data, np.concatenate([[0], np.cumsum([len(n) for n in new])]).astype(np.int64))
+        place = pc.index_in(names, value_set=self.words)
+        new = names.filter(place.is_null())
+        found = place.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(new) or self.lattice is None:
+            _, offsets, data = new.buffers()
+            at = np.frombuffer(offsets, np.int64)[new.offset : new.offset + len(new) + 1] if len(new) else np.zeros(1, np.int64)
+            data = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+            built = Lattice(self.pieces, data, at - at[0])
             if self.lattice is None:
                 self.lattice = built
             else:
                 self.lattice.extend(built)
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+            found[place.is_null().to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(new))
+            self.words = pa.concat_arrays([self.words, new])
             self.met = np.append(self.met, np.zeros(len(new), np.int64))
             self.size += len(data)
-        found = np.array([self.number[n] for n in names], np.int64)
         self.met[found] += 1
         return found
 
@@ -399,13 +424,14 @@ class KnownWords:
         order = often[np.argsort(-self.met[often], kind="stable")]
         kept = np.sort(order[np.cumsum(size[order]) <= KEPT_BYTES // 2])
         self.lattice.keep(kept)
-        names = list(self.number)
-        self.number = {names[n]: place for place, n in enumerate(kept.tolist())}
+        self.words = self.words.take(pa.array(kept))
         self.met, self.size = (self.met[kept] + 1) // 2, int(size[kept].sum())
 
 
 def sample_rows(pieces: Pieces, k: int, seed: int):
     def run(batches):
+        # Once a block of this size was freed, the C library keeps the memory of smaller arrays and does not ask for it again for each.
+        np.empty(KEPT_FREE, np.uint8)
         known = KnownWords(pieces)
         blank = np.zeros(256, bool)
         for batch in batches:
@@ -423,7 +449,7 @@ def sample_rows(pieces: Pieces, k: int, seed: int):
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
                 strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
                 coded = strings.dictionary_encode()
-                number = known.find(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
+                number = known.find(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
                 lattice = known.lattice
                 first = np.searchsorted(starts, at).tolist()
                 # The blank before a text without characters is no word.
