@@ -8,13 +8,17 @@ sums of losses come to the driver. All classes share a pass.
 
 The entries of the texts are blocks of terms, written once as packed arrays. A product sends the numbers of the texts to each
 block, and a block returns one row for each text. The bias is kept beside the vectors, one number for each class.
+
+Up to ``LOCAL_NUMBERS`` numbers, texts times classes, a vector is an array on the driver, its numbers are broadcast, and entries
+are the packed terms of ``postings``; terms of one text take no part in products but by the sum of their squares. Beyond that,
+vectors are rows of tables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 from operator import add
 
 import numpy as np
@@ -24,7 +28,8 @@ from pyspark.sql import functions as F
 from utterlake.functions.numeric import argmax, sigmoid, softmax
 from utterlake.operators.features import Tfidf, fit_idf, term_rows, word_bags
 from utterlake.operators.joins import hot_values, hybrid_lookup
-from utterlake.session import bucketed, materialize
+from utterlake.operators.postings import Postings, _packer, _term_packer, block_count, build_postings, text_sizes, whole_keys
+from utterlake.session import bucketed, materialize, sweep
 
 #: A fit ends when the gradient has this part of its first length, or after so many steps.
 TOLERANCE = 1e-2
@@ -37,6 +42,10 @@ BIAS = ""
 #: Entries of a block of terms, and of a packed piece of it.
 BLOCK_ENTRIES = 4_000_000
 PACK = 1 << 18
+#: Numbers of a vector, texts times classes, up to which the driver holds vectors: 18 at a time, 8 bytes each.
+LOCAL_NUMBERS = 3_000_000
+#: Bytes that the tasks of a product return together.
+RETURNED_BYTES = 128 << 20
 
 
 def _softmax_loss(margins: Sequence[Column], label: Column) -> tuple[Column, list[Column]]:
@@ -242,6 +251,231 @@ def minimise(blocks: Blocks, rows: DataFrame, k: int, loss, c: float, free_bias:
     return result(state, most, False)
 
 
+@dataclass
+class Packed:
+    """Packed terms of the fitted texts and what the driver knows of each text, in the order of ``rows``: its class, the length of
+    its vector, the sum of squares of its terms that no other text has, and whether it has a key. Texts without one take part
+    in the frequencies of terms only."""
+
+    postings: Postings
+    solver: DataFrame
+    total: int
+    rows: np.ndarray
+    y: np.ndarray
+    lengths: np.ndarray
+    single: np.ndarray
+    keyed: np.ndarray
+
+    @classmethod
+    def build(cls, source: DataFrame, key: str, labels: Sequence[str], total: int, chars: int) -> Packed:
+        postings = build_postings(source, key, "_class", "_doc", "linear-postings", block_count(source, chars))
+        texts = postings.texts.toArrow().sort_by("row")
+        rows, keyed = texts.column("row").to_numpy(), texts.column("key").is_valid().to_numpy()
+        places = {label: n for n, label in enumerate(labels)}
+        encoded = texts.column("class").combine_chunks().dictionary_encode()
+        y = np.array([places[n] for n in encoded.dictionary.to_pylist()], "int64")[encoded.indices.to_numpy()] if len(rows) else np.zeros(0, "int64")
+        squares, several, single = postings.squares(total).toArrow(), np.zeros(len(rows)), np.zeros(len(rows))
+        at = np.searchsorted(rows, squares.column("row").to_numpy())
+        several[at], single[at] = squares.column("several").to_numpy(), squares.column("single").to_numpy()
+        lengths = np.sqrt(several + single)
+        lengths[lengths == 0] = 1.0
+        known = postings.table.sparkSession.sparkContext.broadcast(rows)
+
+        def placed(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            for batch in batches:
+                at = [squeeze(np.searchsorted(known.value, expand(r, "int64")).astype("int32")) for r in batch.column("rows").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("counts"), batch.column("tfs"), pa.array(at, pa.binary())], names=["counts", "tfs", "at"])
+
+        squeeze, expand = _packer()
+        shared = postings.parts.where("not single").select("counts", "tfs", "rows")
+        solver = materialize(shared.mapInArrow(placed, "counts binary, tfs binary, at binary"), "linear-solver")
+        sweep(source.sparkSession)
+        return cls(postings, solver, total, rows, y, lengths, single, keyed)
+
+    def product(self, numbers: np.ndarray) -> np.ndarray:
+        """The margins that the vectors ``X' r`` give to all texts."""
+        spark, (n, k), total = self.solver.sparkSession, numbers.shape, self.total
+        sent = spark.sparkContext.broadcast(numbers / self.lengths[:, None])
+
+        def run(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            r, out = sent.value, np.zeros((k, n))
+            for part in (row for b in batches for row in b.to_pylist()):
+                counts, tf, at = (expand(part[c], "int32") for c in ("counts", "tfs", "at"))
+                tf = tf.astype("float64")
+                sums = np.add.reduceat(r[at] * tf[:, None], np.cumsum(counts) - counts, axis=0)
+                sums *= ((np.log((total + 1) / (counts + 1.0)) + 1) ** 2)[:, None]
+                for j in range(k):
+                    out[j] += np.bincount(at, np.repeat(sums[:, j], counts) * tf, minlength=n)
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["out"])
+
+        _, expand = _packer()
+        tasks = max(1, min(spark.sparkContext.defaultParallelism, RETURNED_BYTES // max(8 * n * k, 1)))
+        found = self.solver.coalesce(tasks).mapInArrow(run, "out binary").toLocalIterator()
+        back = np.zeros((k, n))
+        for row in found if n else []:
+            back += np.frombuffer(row["out"], "float64").reshape(k, n)
+        sent.destroy()
+        return (back.T + self.single[:, None] * numbers / self.lengths[:, None]) / self.lengths[:, None]
+
+    def weights(self, numbers: np.ndarray) -> DataFrame:
+        """``(term, df, idf, w0, w1, ...)`` of the vector ``X' r``, made when it is read."""
+        spark, k, total = self.solver.sparkSession, numbers.shape[1], self.total
+        sent = spark.sparkContext.broadcast((self.rows, numbers / self.lengths[:, None], self.keyed))
+
+        def run(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            rows, r, keyed = sent.value
+            for part in (row for b in batches for row in b.to_pylist()):
+                counts, tf = expand(part["counts"], "int32"), expand(part["tfs"], "int32")
+                at, idf, starts = np.searchsorted(rows, expand(part["rows"], "int64")), np.log((total + 1) / (counts + 1.0)) + 1, np.cumsum(counts) - counts
+                sums = np.add.reduceat(r[at] * tf[:, None], starts, axis=0) * idf[:, None]
+                columns = [expand_terms(part["terms"]), pa.array(counts.astype("int64")), pa.array(idf), *[pa.array(np.ascontiguousarray(sums[:, j])) for j in range(k)]]
+                out = pa.RecordBatch.from_arrays(columns, names=["term", "df", "idf", *[f"w{j}" for j in range(k)]])
+                yield out.filter(pa.array(np.logical_or.reduceat(keyed[at], starts)))
+
+        (_, expand), (_, expand_terms) = _packer(), _term_packer()
+        names = ", ".join(f"w{j} double" for j in range(k))
+        return self.postings.parts.mapInArrow(run, f"term string, df bigint, idf double, {names}")
+
+    def sums(self, asked: Postings, numbers: np.ndarray) -> DataFrame:
+        """``(row, uu, s0, s1, ...)``, parts by block of the squared lengths of asked texts and of their products with ``X' r``."""
+        spark, k, total = self.solver.sparkSession, numbers.shape[1], self.total
+        sent = spark.sparkContext.broadcast((self.rows, numbers / self.lengths[:, None], self.keyed))
+        schema = [("row", "int64"), ("uu", "float64"), *[(f"s{j}", "float64") for j in range(k)]]
+
+        def run(left, right):
+            import numpy as np
+            import pyarrow as pa
+            import pyarrow.compute as pc
+
+            rows, r, keyed = sent.value
+            held = right.to_pylist()
+            names = pa.concat_arrays([expand_terms(p["terms"]) for p in held]) if held else pa.array([], pa.string())
+            idf, weight = np.zeros(len(names)), np.zeros((len(names), k))
+            for part in left.to_pylist():
+                counts, tf = expand(part["counts"], "int32"), expand(part["tfs"], "int32")
+                terms = expand_terms(part["terms"])
+                mine = pc.index_in(terms, value_set=names)
+                hit = np.nonzero(mine.is_valid().to_numpy(zero_copy_only=False))[0]
+                if not len(hit):
+                    continue
+                own = np.repeat(mine.is_valid().to_numpy(zero_copy_only=False), counts)
+                at = np.searchsorted(rows, expand(part["rows"], "int64")[own])
+                place, sizes = mine.take(pa.array(hit)).to_numpy().astype("int64"), counts[hit]
+                starts = np.cumsum(sizes) - sizes
+                one = (np.log((total + 1) / (sizes + 1.0)) + 1) * np.logical_or.reduceat(keyed[at], starts)
+                idf[place] = one
+                weight[place] = np.add.reduceat(r[at] * tf[own][:, None], starts, axis=0) * one[:, None]
+            found, at = [], 0
+            for part in held:
+                counts = expand(part["counts"], "int32")
+                term = np.repeat(np.arange(at, at + len(counts)), counts)
+                at += len(counts)
+                kept = idf[term] > 0
+                term, row = term[kept], expand(part["rows"], "int64")[kept]
+                u = expand(part["tfs"], "int32")[kept] * idf[term]
+                texts, which = np.unique(row, return_inverse=True)
+                found.append([texts, *[np.bincount(which, v, minlength=len(texts)) for v in (u * u, *(u * weight[term, j] for j in range(k)))]])
+            columns = [np.concatenate([np.zeros(0, t), *[f[n] for f in found]]) for n, (_, t) in enumerate(schema)]
+            return pa.Table.from_arrays([pa.array(c) for c in columns], names=[n for n, _ in schema])
+
+        (_, expand), (_, expand_terms) = _packer(), _term_packer()
+        names = ", ".join(f"s{j} double" for j in range(k))
+        both = [p.parts.groupBy("block") for p in (self.postings, asked)]
+        return both[0].cogroup(both[1]).applyInArrow(run, f"row bigint, uu double, {names}")
+
+
+def _softmax_here(margins: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_softmax_loss`` of arrays."""
+    most = margins.max(axis=1, keepdims=True)
+    powers = np.exp(margins - most)
+    total, at = powers.sum(axis=1, keepdims=True), np.arange(len(y))
+    loss = most[:, 0] + np.log(total[:, 0]) - margins[at, y]
+    powers /= total
+    powers[at, y] -= 1.0
+    return loss, powers
+
+
+def _hinge_here(margins: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_hinge_loss`` of arrays."""
+    signs = np.full(margins.shape, -1.0)
+    signs[np.arange(len(y)), y] = 1.0
+    short = np.maximum(1.0 - signs * margins, 0.0)
+    return (short * short).sum(axis=1), -2.0 * signs * short
+
+
+LOCAL_LOSSES = {"logreg": _softmax_here, "svm": _hinge_here}
+
+
+def minimise_here(packed: Packed, weight: np.ndarray, k: int, loss, c: float, free_bias: bool, tolerance: float, most: int) -> tuple[np.ndarray, Fit]:
+    """The steps of ``minimise`` on arrays: a vector is its numbers, its margins and its bias."""
+    y, rest = packed.y, 0.0 if free_bias else 1.0
+    weight = c * weight * packed.keyed
+
+    def gradient(w):
+        r = loss(w[1] + w[2], y)[1] * weight[:, None]
+        return w[0] + r, w[1] + packed.product(r), rest * w[2] + r.sum(axis=0)
+
+    def dot(u, v):
+        return float(np.vdot(u[0], v[1]) + u[2] @ v[2])
+
+    def mixed(parts, vectors):
+        out = [np.zeros((len(y), k)), np.zeros((len(y), k)), np.zeros(k)]
+        for part, vector in zip(parts, vectors, strict=True):
+            for o, v in zip(out, vector, strict=True):
+                o += part * v
+        return tuple(out)
+
+    def losses(w):
+        return float(weight @ loss(w[1] + w[2], y)[0])
+
+    w = mixed([], [])
+    g, held = gradient(w), []
+    value, gg = losses(w), dot(g, g)
+    first = gg
+
+    def result(steps, converged):
+        return w[0], Fit(None, w[2], value, float(np.sqrt(max(gg, 0.0))), steps, converged)
+
+    for step in range(most):
+        if gg <= tolerance**2 * first or not first:
+            return result(step, True)
+        vectors = [*[s for s, _ in held], *[v for _, v in held], g]
+        gram = np.array([[dot(a, b) for b in vectors] for a in vectors])
+        parts = _two_loops(gram, len(held))
+        if not held:
+            parts /= np.sqrt(gg)
+        d = mixed(parts, vectors)
+        ww, wd, dd = dot(w, w), dot(w, d), dot(d, d)
+        if free_bias:
+            ww, wd, dd = ww - w[2] @ w[2], wd - w[2] @ d[2], dd - d[2] @ d[2]
+        lengths = LENGTHS if held else FIRST_LENGTHS
+        tried = [losses(mixed([1.0, t], [w, d])) + 0.5 * (ww + 2 * t * wd + t * t * dd) for t in lengths]
+        best = int(np.argmin(tried))
+        if tried[best] >= value:
+            return result(step, False)
+        value = tried[best]
+        s = mixed([float(lengths[best])], [d])
+        del d, vectors
+        w = mixed([1.0, 1.0], [w, s])
+        after = gradient(w)
+        turn = mixed([1.0, -1.0], [after, g])
+        g, gg = after, dot(after, after)
+        held = [*(held[1:] if len(held) == HISTORY else held), (s, turn)]
+        if dot(s, turn) <= 1e-12 * dot(turn, turn):
+            # A step without curvature says nothing about the next one.
+            held = []
+    return result(most, False)
+
+
 @dataclass
 class LinearModel:
     """``terms(term, df, idf, w0, w1, ...)``, the bias of each class and the sorted classes; how the fit ended is in ``about``."""
@@ -251,6 +485,8 @@ class LinearModel:
     bias: list[float]
     labels: list[str]
     about: dict = field(default_factory=dict)
+    #: Packed terms and the numbers of the texts, of a model that was fitted on them and not loaded.
+    packed: tuple[Packed, np.ndarray] | None = None
 
     @property
     def converged(self) -> bool:
@@ -259,6 +495,8 @@ class LinearModel:
     def scores(self, df: DataFrame, key: str = "row_id", text: str = "text") -> DataFrame:
         """``(key, scores[k])`` in class order; a text without known terms scores the biases."""
         k = len(self.labels)
+        if self.packed and whole_keys(df, key):
+            return self._packed_scores(df, key, text)
         rows = term_rows(materialize(word_bags(df, key, text), "linear-asked"), key)
         joined = hybrid_lookup(rows, self.terms.drop("df"), ["term"], hot_values(self.terms, ["term"], "df").drop("df"))
         joined = joined.withColumn("_u", F.col("tf") * F.col("idf"))
@@ -267,6 +505,17 @@ class LinearModel:
         total = F.array(*[F.coalesce(F.col(f"_a{j}") / F.col("_n"), F.lit(0.0)) + F.lit(b) for j, b in enumerate(self.bias)])
         return df.select(key).join(parts, key, "left").select(key, total.alias("scores"))
 
+    def _packed_scores(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        """The same by blocks of packed terms: no row for a term of a text or of the model is made."""
+        packed, numbers = self.packed
+        asked = df.select(F.col(key).alias("_key"), F.lit("").alias("_class"), F.col(text).alias("_doc"))
+        asked = build_postings(asked, "_key", "_class", "_doc", "linear-asked", packed.postings.blocks)
+        sums = packed.sums(asked, numbers).join(asked.texts.select("row", F.col("key").alias(key)), "row")
+        sums = sums.groupBy(key).agg(F.sqrt(F.sum("uu")).alias("_n"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(len(self.labels))])
+        parts = materialize(sums, "linear-sums")
+        total = F.array(*[F.coalesce(F.col(f"s{j}") / F.col("_n"), F.lit(0.0)) + F.lit(b) for j, b in enumerate(self.bias)])
+        return df.select(key).join(parts, key, "left").select(key, total.alias("scores"))
+
     def predict(self, df: DataFrame, key: str = "row_id", text: str = "text") -> DataFrame:
         """``df`` with ``predicted_intent`` and ``confidence``; the first class wins ties."""
         names = F.array(*[F.lit(label) for label in self.labels])
@@ -291,40 +540,72 @@ class LinearModel:
 
 @dataclass
 class Entries:
-    """The fitted rows as sparse unit vectors: ``row, term, x`` with the empty term as bias, the same packed by blocks of terms
-    without it, the texts, the vocabulary and the classes."""
+    """The fitted rows ``key, _class, _doc``, the sorted classes with their sizes and, of few rows, their packed terms.
+
+    The other tables are made when they are asked for: the rows as sparse unit vectors, ``row, term, x`` with the empty term as bias,
+    the same packed by blocks of terms without it, the texts and the vocabulary."""
 
-    by_row: DataFrame
-    blocks: Blocks
-    rows: DataFrame
-    vocab: DataFrame
+    source: DataFrame
+    key: str
     sizes: list[tuple[str, int]]
+    packed: Packed | None = None
+
+    @cached_property
+    def bags(self) -> DataFrame:
+        return materialize(word_bags(self.source, self.key, "_doc", ["_class"]), "linear-bags")
+
+    @cached_property
+    def vocab(self) -> DataFrame:
+        return materialize(fit_idf(self.bags, sum(n for _, n in self.sizes)), "linear-vocabulary")
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        key = self.key
+        weighed = materialize(Tfidf(self.vocab).weigh(self.bags, key).select(F.col(key).alias("row"), "term", "weight"), "linear-weights")
+        length = weighed.groupBy("row").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_n"))
+        return materialize(weighed.join(length, "row").select("row", "term", (F.col("weight") / F.col("_n")).alias("x")), "linear-entries")
+
+    @cached_property
+    def by_row(self) -> DataFrame:
+        return self.entries.union(self.bags.select(F.col(self.key), F.lit(BIAS), F.lit(1.0)))
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        number = reduce(lambda c, p: c.when(F.col("_class") == p[1][0], p[0]), enumerate(self.sizes), F.when(F.lit(False), -1))
+        return materialize(self.bags.select(F.col(self.key).alias("row"), number.alias("y")), "linear-rows")
+
+    @cached_property
+    def blocks(self) -> Blocks:
+        return pack_entries(self.entries)
 
 
 def fit_entries(df: DataFrame, key: str = "row_id", label: str = "intent", text: str = "text") -> Entries:
     """TF-IDF over the whole vocabulary of all labelled rows; both linear models are fitted on it."""
     rows = df.select(key, F.col(label).cast("string").alias("_class"), F.col(text).alias("_doc")).where("_class is not null and _doc is not null")
-    bags = materialize(word_bags(rows, key, "_doc", ["_class"]), "linear-bags")
-    sizes = sorted((r["_class"], r["n"]) for r in bags.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).collect())
-    vocab = materialize(fit_idf(bags, sum(n for _, n in sizes)), "linear-vocabulary")
-    weighed = materialize(Tfidf(vocab).weigh(bags, key).select(F.col(key).alias("row"), "term", "weight"), "linear-weights")
-    length = weighed.groupBy("row").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_n"))
-    entries = materialize(weighed.join(length, "row").select("row", "term", (F.col("weight") / F.col("_n")).alias("x")), "linear-entries")
-    by_row = entries.union(bags.select(F.col(key), F.lit(BIAS), F.lit(1.0)))
-    number = reduce(lambda c, p: c.when(F.col("_class") == p[1][0], p[0]), enumerate(sizes), F.when(F.lit(False), -1))
-    texts = materialize(bags.select(F.col(key).alias("row"), number.alias("y")), "linear-rows")
-    return Entries(by_row, pack_entries(entries), texts, vocab, sizes)
+    sizes = sorted((r["_class"], r["n"]) for r in rows.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).collect())
+    found = Entries(rows, key, sizes)
+    total, chars = text_sizes(rows, "_doc")
+    if whole_keys(rows, key) and total * len(sizes) <= LOCAL_NUMBERS:
+        found.packed = Packed.build(rows, key, [label for label, _ in sizes], total, chars)
+    else:
+        found.by_row, found.rows, found.blocks  # noqa: B018 - made once, before fits run side by side
+    return found
 
 
 def fit_linear(entries: Entries, name: str, c: float = 1.0, tolerance: float = TOLERANCE, most: int = MOST_STEPS) -> LinearModel:
     """``logreg``: multinomial, balanced class weights, free bias. ``svm``: squared hinge, one class against the others."""
     k, total = len(entries.sizes), sum(n for _, n in entries.sizes)
-    weight = F.lit(1.0)
-    if name == "logreg":
-        weight = F.element_at(F.array(*[F.lit(total / (k * n)) for _, n in entries.sizes]), F.col("y") + 1)
+    balanced = [total / (k * n) if name == "logreg" else 1.0 for _, n in entries.sizes]
+    labels = [label for label, _ in entries.sizes]
+    if entries.packed:
+        packed = entries.packed
+        numbers, fit = minimise_here(packed, np.array(balanced)[packed.y], k, LOCAL_LOSSES[name], c, name == "logreg", tolerance, most)
+        about = {"converged": fit.converged, "objective": float(fit.objective), "gradient": fit.gradient, "steps": fit.steps}
+        return LinearModel(name, packed.weights(numbers), [float(b) for b in fit.bias], labels, about, (packed, numbers))
+    weight = F.element_at(F.array(*[F.lit(float(b)) for b in balanced]), F.col("y") + 1)
     rows = entries.rows.withColumn("weight", weight)
     fit = minimise(entries.blocks, rows, k, LOSSES[name], c, name == "logreg", tolerance, most)
     weights = entries.by_row.where(F.col("term") != BIAS).join(fit.numbers, "row").groupBy("term").agg(*[F.expr(f"sum(x * a{j}) AS w{j}") for j in range(k)])
     terms = materialize(entries.vocab.join(weights, "term"), f"linear-{name}")
     about = {"converged": fit.converged, "objective": float(fit.objective), "gradient": fit.gradient, "steps": fit.steps}
-    return LinearModel(name, terms, [float(b) for b in fit.bias], [label for label, _ in entries.sizes], about)
+    return LinearModel(name, terms, [float(b) for b in fit.bias], labels, about)

@@ -16,7 +16,7 @@ from utterlake.operators.linear import fit_entries, fit_linear
 from utterlake.operators.split import stratified_split
 from utterlake.operators.stats import response_pool
 from utterlake.rules import EVAL_SHARE, MODEL_ORDER, NB_ALPHA, SEED
-from utterlake.session import materialize
+from utterlake.session import materialize, sweep
 from utterlake.sources.writers import run_id, run_path, write_report, write_response_pool
 
 
@@ -56,8 +56,8 @@ def train_classical(
     """Fit one or all models, report on held-out rows and name the best one.
 
     With ``eval_df`` all of ``df`` is for training; otherwise ``df`` is split, by class where the
-    classes allow it. All models are fitted on all rows; the two linear ones share their entries and are
-    fitted side by side, as their steps wait for small results.
+    classes allow it. All models are fitted on all rows; the two linear ones share their entries and, beyond what the
+    driver holds, are fitted side by side, as their steps wait for small results.
     """
     names = MODEL_ORDER if model == "all" else [model]
     unknown = [n for n in names if n not in MODEL_ORDER]
@@ -78,14 +78,17 @@ def train_classical(
 
     models, reports, metrics = {}, {}, None
     linear = [n for n in names if n != "naive_bayes"]
-    fits = {}
+    fits, postings = {}, None
     if linear:
         entries = fit_entries(train, key, "intent", "text")
-        with ThreadPoolExecutor(len(linear)) as pool:
+        # On packed terms the driver holds the vectors of a fit, so one goes after the other.
+        with ThreadPoolExecutor(1 if entries.packed else len(linear)) as pool:
             jobs = {n: pool.submit(copy_context().run, fit_linear, entries, n) for n in linear}
             fits = {n: job.result() for n, job in jobs.items()}
+        postings = entries.packed.postings if entries.packed else None
     for name in names:
-        fitted = fits.get(name) or fit_naive_bayes(train, key, alpha=NB_ALPHA)
+        fitted = fits.get(name) or fit_naive_bayes(train, key, alpha=NB_ALPHA, postings=postings)
+        sweep(df.sparkSession)
         scored = fitted.predict(held, key)
         scored = materialize(scored.select("intent", "predicted_intent"), f"scored-{name}")
         models[name] = fitted
