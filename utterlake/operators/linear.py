@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from utterlake.functions.numeric import argmax, sigmoid, softmax
 from utterlake.operators.features import Tfidf, fit_idf, term_rows, word_bags
 from utterlake.operators.joins import hot_values, hybrid_lookup
-from utterlake.operators.postings import Postings, _packer, _term_packer, block_count, build_postings, text_sizes, whole_keys
+from utterlake.operators.postings import Postings, _packer, _term_packer, block_count, build_postings, whole_keys
 from utterlake.session import bucketed, materialize, sweep
 
 #: A fit ends when the gradient has this part of its first length, or after so many steps.
@@ -268,7 +268,8 @@ class Packed:
 
     @classmethod
     def build(cls, source: DataFrame, key: str, labels: Sequence[str], total: int, chars: int) -> Packed:
-        postings = build_postings(source, key, "_class", "_doc", "linear-postings", block_count(source, chars))
+        postings = build_postings(source, key, "_class", "_doc", "linear-postings", block_count(source, chars), True)
+        sweep(source.sparkSession)
         texts = postings.texts.toArrow().sort_by("row")
         rows, keyed = texts.column("row").to_numpy(), texts.column("key").is_valid().to_numpy()
         places = {label: n for n, label in enumerate(labels)}
@@ -292,7 +293,6 @@ class Packed:
         squeeze, expand = _packer()
         shared = postings.parts.where("not single").select("counts", "tfs", "rows")
         solver = materialize(shared.mapInArrow(placed, "counts binary, tfs binary, at binary"), "linear-solver")
-        sweep(source.sparkSession)
         return cls(postings, solver, total, rows, y, lengths, single, keyed)
 
     def product(self, numbers: np.ndarray) -> np.ndarray:
@@ -349,8 +349,6 @@ class Packed:
         """``(row, uu, s0, s1, ...)``, parts by block of the squared lengths of asked texts and of their products with ``X' r``."""
         spark, k, total = self.solver.sparkSession, numbers.shape[1], self.total
         sent = spark.sparkContext.broadcast((self.rows, numbers / self.lengths[:, None], self.keyed))
-        schema = [("row", "int64"), ("uu", "float64"), *[(f"s{j}", "float64") for j in range(k)]]
-
         def run(left, right):
             import numpy as np
             import pyarrow as pa
@@ -381,11 +379,11 @@ class Packed:
                 at += len(counts)
                 kept = idf[term] > 0
                 term, row = term[kept], expand(part["rows"], "int64")[kept]
-                u = expand(part["tfs"], "int32")[kept] * idf[term]
-                texts, which = np.unique(row, return_inverse=True)
-                found.append([texts, *[np.bincount(which, v, minlength=len(texts)) for v in (u * u, *(u * weight[term, j] for j in range(k)))]])
-            columns = [np.concatenate([np.zeros(0, t), *[f[n] for f in found]]) for n, (_, t) in enumerate(schema)]
-            return pa.Table.from_arrays([pa.array(c) for c in columns], names=[n for n, _ in schema])
+                found.append((term, row, expand(part["tfs"], "int32")[kept] * idf[term]))
+            term, row, u = (np.concatenate([np.zeros(0, t), *[f[n] for f in found]]) for n, t in enumerate(("int64", "int64", "float64")))
+            texts, which = np.unique(row, return_inverse=True)
+            columns = [texts, *[np.bincount(which, v, minlength=len(texts)) for v in (u * u, *(u * weight[term, j] for j in range(k)))]]
+            return pa.Table.from_arrays([pa.array(c) for c in columns], names=["row", "uu", *[f"s{j}" for j in range(k)]])
 
         (_, expand), (_, expand_terms) = _packer(), _term_packer()
         names = ", ".join(f"s{j} double" for j in range(k))
@@ -582,9 +580,10 @@ class Entries:
 def fit_entries(df: DataFrame, key: str = "row_id", label: str = "intent", text: str = "text") -> Entries:
     """TF-IDF over the whole vocabulary of all labelled rows; both linear models are fitted on it."""
     rows = df.select(key, F.col(label).cast("string").alias("_class"), F.col(text).alias("_doc")).where("_class is not null and _doc is not null")
-    sizes = sorted((r["_class"], r["n"]) for r in rows.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).collect())
+    held = rows.groupBy("_class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("_doc").cast("bigint")).alias("chars")).collect()
+    sizes = sorted((r["_class"], r["n"]) for r in held)
     found = Entries(rows, key, sizes)
-    total, chars = text_sizes(rows, "_doc")
+    total, chars = sum(n for _, n in sizes), sum(r["chars"] for r in held)
     if whole_keys(rows, key) and total * len(sizes) <= LOCAL_NUMBERS:
         found.packed = Packed.build(rows, key, [label for label, _ in sizes], total, chars)
     else:
