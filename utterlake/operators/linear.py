@@ -382,7 +382,8 @@ class Packed:
                 found.append((term, row, expand(part["tfs"], "int32")[kept] * idf[term]))
             term, row, u = (np.concatenate([np.zeros(0, t), *[f[n] for f in found]]) for n, t in enumerate(("int64", "int64", "float64")))
             texts, which = np.unique(row, return_inverse=True)
-            columns = [texts, *[np.bincount(which, v, minlength=len(texts)) for v in (u * u, *(u * weight[term, j] for j in range(k)))]]
+            # Sums of no values would be whole numbers.
+            columns = [texts, *[np.bincount(which, v, minlength=len(texts)).astype("float64") for v in (u * u, *(u * weight[term, j] for j in range(k)))]]
             return pa.Table.from_arrays([pa.array(c) for c in columns], names=["row", "uu", *[f"s{j}" for j in range(k)]])
 
         (_, expand), (_, expand_terms) = _packer(), _term_packer()
