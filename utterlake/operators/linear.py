@@ -305,7 +305,7 @@ class Packed:
             import pyarrow as pa
 
             r, out = sent.value, np.zeros((k, n))
-            for part in (row for b in batches for row in b.to_pylist()):
+            for part in (row for b in batches for i in range(b.num_rows) for row in b.slice(i, 1).to_pylist()):
                 counts, tf, at = (expand(part[c], "int32") for c in ("counts", "tfs", "at"))
                 tf = tf.astype("float64")
                 sums = np.add.reduceat(r[at] * tf[:, None], np.cumsum(counts) - counts, axis=0)
@@ -333,7 +333,7 @@ class Packed:
             import pyarrow as pa
 
             rows, r, keyed = sent.value
-            for part in (row for b in batches for row in b.to_pylist()):
+            for part in (row for b in batches for i in range(b.num_rows) for row in b.slice(i, 1).to_pylist()):
                 counts, tf = expand(part["counts"], "int32"), expand(part["tfs"], "int32")
                 at, idf, starts = np.searchsorted(rows, expand(part["rows"], "int64")), np.log((total + 1) / (counts + 1.0)) + 1, np.cumsum(counts) - counts
                 sums = np.add.reduceat(r[at] * tf[:, None], starts, axis=0) * idf[:, None]
@@ -358,7 +358,7 @@ class Packed:
             held = right.to_pylist()
             names = pa.concat_arrays([expand_terms(p["terms"]) for p in held]) if held else pa.array([], pa.string())
             idf, weight = np.zeros(len(names)), np.zeros((len(names), k))
-            for part in left.to_pylist():
+            for part in (row for i in range(left.num_rows) for row in left.slice(i, 1).to_pylist()):
                 counts, tf = expand(part["counts"], "int32"), expand(part["tfs"], "int32")
                 terms = expand_terms(part["terms"])
                 mine = pc.index_in(terms, value_set=names)
