@@ -44,8 +44,8 @@ BLOCK_ENTRIES = 4_000_000
 PACK = 1 << 18
 #: Numbers of a vector, texts times classes, up to which the driver holds vectors: 18 at a time, 8 bytes each.
 LOCAL_NUMBERS = 3_000_000
-#: Bytes that the tasks of a product return together.
-RETURNED_BYTES = 128 << 20
+#: Bytes that the tasks of a product return together, if these are more than two.
+RETURNED_BYTES = 16 << 20
 
 
 def _softmax_loss(margins: Sequence[Column], label: Column) -> tuple[Column, list[Column]]:
@@ -315,7 +315,7 @@ class Packed:
             yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["out"])
 
         _, expand = _packer()
-        tasks = max(1, min(spark.sparkContext.defaultParallelism, RETURNED_BYTES // max(8 * n * k, 1)))
+        tasks = min(spark.sparkContext.defaultParallelism, max(2, RETURNED_BYTES // max(8 * n * k, 1)))
         # All tasks side by side; what they return is bounded.
         found = self.solver.coalesce(tasks).mapInArrow(run, "out binary").collect() if n else []
         back = np.zeros((k, n))
